@@ -1,0 +1,40 @@
+"""Repeatable draws: a key decides the outcome, so reruns and lost tasks agree."""
+
+from __future__ import annotations
+
+from collections.abc import Mapping
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+STRIDE = 7919  # fixed prime that spreads neighbouring keys
+
+
+def spread(key: Column, buckets: int) -> Column:
+    return F.pmod(key.cast("long") * F.lit(STRIDE), F.lit(buckets))
+
+
+def weighted_choice(key: Column, weights: Mapping[str, int]) -> Column:
+    """One of the names, in proportion to its whole-number weight."""
+    draw, upto, choice = spread(key, sum(weights.values())), 0, None
+    for name, weight in weights.items():
+        upto += weight
+        hit = draw < upto
+        choice = F.when(hit, F.lit(name)) if choice is None else choice.when(hit, F.lit(name))
+    return choice
+
+
+def null_share(key: Column, value: Column, percent: int) -> Column:
+    """``value``, missing for a fixed share of the keys."""
+    return F.when(spread(key, 100) >= percent, value)
+
+
+def date_in_range(key: Column, first: Column, last: Column) -> Column:
+    """A day in ``[first, last]``."""
+    days = F.datediff(last, first) + 1
+    return F.date_add(first, F.pmod(key.cast("long") * F.lit(STRIDE), days).cast("int"))
+
+
+def to_hundreds(amount: Column) -> Column:
+    """Nearest hundred, halves to the even hundred."""
+    return F.bround(amount, -2)
