@@ -12,7 +12,7 @@ from countinghouse.session import fresh_path
 Tables = dict[str, DataFrame]
 LAYERS = ("raw", "cleaned", "analytics")
 
-# Doubled quotes, untouched blanks, an empty field for NULL.
+# Doubled quotes, untouched blanks; an empty field, quoted or not, is NULL.
 _CSV = {
     "header": "true",
     "escape": '"',
