@@ -717,6 +717,18 @@ def _statements() -> dict[str, str]:
         UNION ALL
         SELECT 'supplier', supplier_id,
                CASE WHEN supplier_id * 7919 % 100 >= 10 THEN phone END, city FROM suppliers"""
+    # reports that write files and read them back
+    q["io_csv_sink"] = q["clean_products"]
+    q["io_cached_mart"] = q["v_monthly_sales_summary"]
+    q["io_full_refresh"] = q["dq_row_counts"]
+    q["io_create_layers"] = _union(
+        [
+            f"SELECT '{layer}' AS layer, count(*) AS row_count FROM {source}"
+            for layer, source in
+            {"raw": "raw_branches", "cleaned": "branches", "analytics": "branch_view"}.items()
+        ]
+    )
+    q["x_layout"] = q["x_sales_in_range"]
     return q
 
 

@@ -14,7 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from countinghouse.session import checkpointed
+from countinghouse.session import checkpointed, stored
 
 _SLOT_BITS = 33  # fixed layout of monotonically_increasing_id: partition, then row
 
@@ -99,7 +99,8 @@ def with_rank(
 
     Ranks are worked out over the distinct values and joined back, so neither a
     hot group nor a value shared by many rows has to fit in one task. Rows whose
-    ``value`` is NULL rank first, as a descending order puts them there.
+    ``value`` is NULL rank first, as a descending order puts them there. ``df``
+    is read twice, so pass a stored frame if it is costly to compute.
     """
     if not by:
         df = df.withColumn("_group", F.lit(0))
@@ -118,6 +119,7 @@ def with_rank(
         F.col(f"r.{value}").alias("_value"),
         (F.col("_start") - F.col("_first") + 1).cast("int").alias(name),
     )
+    ranks = stored(ranks, "ranks")
     match = [F.col(c).eqNullSafe(F.col(f"_by_{c}")) for c in by]
     match.append(F.col(value).eqNullSafe(F.col("_value")))
     return df.join(ranks, match).drop("_value", *(f"_by_{c}" for c in by))

@@ -13,8 +13,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from countinghouse.operators.quality import lost_keys
 from countinghouse.schemas import TABLES, Table
-from countinghouse.session import checkpointed
+from countinghouse.session import stored
 
 Tables = dict[str, DataFrame]
 
@@ -92,14 +93,15 @@ def check(tables: Tables) -> DataFrame:
 
 
 def foreign_key(tables: Tables) -> DataFrame:
-    """Rows whose known key value has no parent row."""
+    """Rows whose known key value has no parent row, counted per key before the join."""
     results = []
     for name, df in tables.items():
         for column, parent in TABLES[name].parents.items():
             keys = tables[parent].select(F.col(TABLES[parent].key[0]).alias(column))
-            lost = df.filter(F.col(column).isNotNull()).join(keys, column, "left_anti")
+            held = df.dropna(subset=[column]).groupBy(column).agg(F.count(F.lit(1)).alias("rows"))
+            lost = held.join(keys, column, "left_anti")
             results.append(
-                lost.agg(F.count(F.lit(1)).alias("violations")).select(
+                lost.agg(F.coalesce(F.sum("rows"), F.lit(0)).alias("violations")).select(
                     F.lit(name).alias("table_name"),
                     F.lit(column).alias("column_name"),
                     F.lit(parent).alias("parent_table"),
@@ -139,44 +141,33 @@ def not_future(branches: DataFrame, as_of: str) -> DataFrame:
     return branches.filter(F.col("opening_date") > F.lit(as_of).cast("date"))
 
 
-def _key_flags(df: DataFrame, columns: Sequence[str], label: str) -> DataFrame:
-    """Mark every copy of a repeated key; there is no rule to prefer one copy."""
-    repeated = _repeated(df, columns).select(*columns, F.lit(label).alias("_repeat"))
-    marked = df.join(repeated, list(columns), "left")
-    return marked.withColumn("reasons", F.array_append("reasons", F.col("_repeat"))).drop("_repeat")
+def _flagged(df: DataFrame, keys: DataFrame, columns: Sequence[str], label: str) -> DataFrame:
+    """Append ``label`` to the reasons of the rows whose key is listed in ``keys``.
 
-
-def _parent_lookup(name: str, column: str) -> Column:
-    """The foreign key, with unknown values scattered so that they share no task.
-
-    The stand-in for NULL is never reported: an optional key may be missing.
+    ``keys`` is a stored list of offending keys, broadcast when it is small.
     """
-    if column not in TABLES[name].optional:
-        return F.col(column)
-    return F.coalesce(F.col(column), -1 - F.pmod(F.hash(*TABLES[name].key), F.lit(1 << 20)))
+    listed = keys.select(*columns, F.lit(label).alias("_label"))
+    marked = df.join(listed, list(columns), "left")
+    return marked.withColumn("reasons", F.array_append("reasons", F.col("_label"))).drop("_label")
 
 
 def judged(name: str, df: DataFrame, parent_keys: Tables) -> DataFrame:
-    """``df`` with ``reasons``, an array that is empty for a valid row."""
+    """``df`` with ``reasons``, an array that is empty for a valid row.
+
+    Every copy of a repeated key is rejected: no rule prefers one of them.
+    """
     spec = TABLES[name]
     present = [c for c in spec.required if c in df.columns]
     reasons = [F.when(F.col(c).isNull(), F.lit(f"not_null:{c}")) for c in present]
     reasons += [F.when(_broken(p), F.lit(f"check:{c}")) for c, p in spec.checks.items()]
     out = df.withColumn("reasons", F.array(*reasons))
     for columns in (spec.key, *spec.unique):
-        out = _key_flags(out, columns, f"unique:{','.join(columns)}")
+        repeated = stored(_repeated(df, columns).select(*columns), f"repeated-{name}")
+        out = _flagged(out, repeated, columns, f"unique:{','.join(columns)}")
     for column, parent in spec.parents.items():
-        known = parent_keys[parent].toDF("_key").withColumn("_known", F.lit(True))
-        lost = F.col("_known").isNull() & F.col(column).isNotNull()
-        out = (
-            out.withColumn("_key", _parent_lookup(name, column))
-            .join(known, "_key", "left")
-            .withColumn(
-                "reasons",
-                F.array_append("reasons", F.when(lost, F.lit(f"foreign_key:{column}"))),
-            )
-            .drop("_key", "_known")
-        )
+        known = parent_keys[parent].toDF(column)
+        lost = lost_keys(df, known, column)
+        out = _flagged(out, lost, [column], f"foreign_key:{column}")
     return out.withColumn("reasons", F.array_compact("reasons"))
 
 
@@ -184,19 +175,19 @@ def _judge_all(tables: Tables) -> Tables:
     """Every table judged, parents first.
 
     A child of a rejected parent is rejected too, since its parent would be
-    absent from the cleaned layer. The surviving keys of a table with several
-    children are written to the shared folder, so they are worked out once.
+    absent from the cleaned layer. The surviving keys of each parent are stored
+    once for all its children.
     """
-    children = [parent for spec in TABLES.values() for parent in spec.parents.values()]
+    parents = {parent for spec in TABLES.values() for parent in spec.parents.values()}
     results: Tables = {}
     keys: Tables = {}
     for name, spec in TABLES.items():
         if name not in tables:
             continue
         results[name] = judged(name, tables[name], keys)
-        if name in children:
+        if name in parents:
             kept = results[name].filter(F.size("reasons") == 0).select(*spec.key)
-            keys[name] = checkpointed(kept) if children.count(name) > 1 else kept
+            keys[name] = stored(kept, f"valid-{name}")
     return results
 
 

@@ -85,48 +85,66 @@ def employee_net(tables: Tables) -> DataFrame:
 HOT_SALE_LINES = 1_000_000
 
 
-def discount_allocation(
-    tables: Tables, *product_columns: str, hot_lines: int = HOT_SALE_LINES
-) -> DataFrame:
-    """Lines with their share of the header discount, in proportion to revenue.
+def _share(discount: Column, revenue_: Column, gross: Column) -> Column:
+    """Part of the discount in proportion to revenue; NULL if there is no revenue."""
+    part = discount.cast("double") * revenue_.cast("double")
+    return (part / F.nullif(gross.cast("double"), F.lit(0.0))).cast("decimal(24,8)")
+
+
+def discount_allocation(tables: Tables, hot_lines: int = HOT_SALE_LINES) -> DataFrame:
+    """Lines with their share of the header discount.
 
-    ``allocated_discount`` is NULL where the sale has no revenue to divide by.
     A sale with more than ``hot_lines`` lines is looked up in a broadcast table
     and its lines are scattered over all tasks. That table has at most
     ``lines / hot_lines`` rows, two million for two trillion lines; all other
-    sales take the shuffle join.
+    sales take the shuffle join. A scattered key may happen to equal some sale,
+    which is harmless because the broadcast match is preferred.
     """
-    lines = priced_lines(tables, *product_columns)
+    lines = priced_lines(tables)
     per_sale = lines.groupBy("sale_id").agg(
         F.sum("line_revenue").alias("sale_gross"), F.count(F.lit(1)).alias("sale_lines")
     )
     totals = per_sale.join(_headers(tables["sales"], ()), "sale_id")
-    hot = totals.filter(F.col("sale_lines") > hot_lines).select(
-        "sale_id", F.struct("discount_amount", "sale_gross").alias("hot")
-    )
-    rest = totals.filter(F.col("sale_lines") <= hot_lines).select(
-        "sale_id", F.lit(0).alias("salt"), F.struct("discount_amount", "sale_gross").alias("rest")
-    )
-    scatter = 1 + F.pmod(F.hash("product_id", "quantity", "line_revenue"), F.lit(1 << 20))
+    sale = F.struct("discount_amount", "sale_gross")
+    hot = totals.filter(F.col("sale_lines") > hot_lines).select("sale_id", sale.alias("hot"))
+    rest = totals.select(F.col("sale_id").alias("key"), sale.alias("rest"))
+    scatter = F.xxhash64("product_id", "quantity", "line_revenue")
     marked = lines.join(F.broadcast(hot), "sale_id", "left").withColumn(
-        "salt", F.when(F.col("hot").isNull(), 0).otherwise(scatter)
-    )
-    sale = F.coalesce("hot", "rest")
-    share = (
-        sale["discount_amount"].cast("double")
-        * F.col("line_revenue").cast("double")
-        / F.nullif(sale["sale_gross"].cast("double"), F.lit(0.0))
+        "key", F.when(F.col("hot").isNull(), F.col("sale_id")).otherwise(scatter)
     )
+    found = F.coalesce("hot", "rest")
     return (
-        marked.join(rest, ["sale_id", "salt"], "left")
-        .filter(sale.isNotNull())
+        marked.join(rest, "key", "left")
+        .filter(found.isNotNull())
         .select(
             "sale_id", "product_id", "quantity", "line_revenue", "line_profit",
-            share.cast("decimal(24,8)").alias("allocated_discount"), *product_columns,
+            _share(found["discount_amount"], F.col("line_revenue"), found["sale_gross"]).alias(
+                "allocated_discount"
+            ),
         )
     )
 
 
+def category_allocation(tables: Tables) -> DataFrame:
+    """Per sale and category: units, revenue, profit and share of the discount.
+
+    Lines are summed per sale and category first, so the window over a sale
+    sees at most one row per category, however many lines the sale has.
+    """
+    parts = priced_lines(tables, "category").groupBy("sale_id", "category").agg(
+        F.sum("quantity").alias("quantity"),
+        F.sum("line_revenue").alias("line_revenue"),
+        F.sum("line_profit").alias("line_profit"),
+    )
+    whole = F.sum("line_revenue").over(Window.partitionBy("sale_id"))
+    share = _share(F.col("discount_amount"), F.col("line_revenue"), F.col("sale_gross"))
+    return (
+        parts.withColumn("sale_gross", whole)
+        .join(_headers(tables["sales"], ()), "sale_id")
+        .withColumn("allocated_discount", share)
+    )
+
+
 def reference_date(tables: Tables, plus_days: int = 0) -> DataFrame:
     """One row: the day of the latest sale, walk-in sales included."""
     latest = day_of(F.max("sale_date"))

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from countinghouse.functions.dates import day_of
+from countinghouse.session import stored
 
 Tables = dict[str, DataFrame]
 
@@ -92,30 +93,46 @@ def invalid_rows(tables: Tables, name: str) -> DataFrame:
     return tables[name].filter(INVALID[name])
 
 
+def lost_keys(child: DataFrame, parent: DataFrame, key: str) -> DataFrame:
+    """Distinct known keys of ``child`` that have no parent.
+
+    Only distinct keys are shuffled, so a key shared by very many rows weighs
+    no more than any other. The result is stored: when it is small, as it
+    should be, it is broadcast and the child rows never move.
+    """
+    keys = child.select(key).dropna().distinct()
+    return stored(keys.join(parent.select(key), key, "left_anti"), f"lost-{key}")
+
+
 def orphans(child: DataFrame, parent: DataFrame, key: str) -> DataFrame:
-    """Rows whose key has no parent; a NULL key has none either."""
-    return child.join(parent.select(key), key, "left_anti")
+    """Rows whose known key has no parent."""
+    return child.join(lost_keys(child, parent, key), key, "left_semi")
 
 
 def orphan_sales_customer(tables: Tables) -> DataFrame:
-    registered = tables["sales"].filter(F.col("customer_id").isNotNull())
-    return orphans(registered, tables["customers"], "customer_id")
+    return orphans(tables["sales"], tables["customers"], "customer_id")
 
 
 def orphan_sales_employee(tables: Tables) -> DataFrame:
-    return orphans(tables["sales"], tables["employees"], "employee_id")
+    """A sale without any employee counts as well."""
+    sales = tables["sales"]
+    return orphans(sales, tables["employees"], "employee_id").unionByName(
+        sales.filter(F.col("employee_id").isNull())
+    )
 
 
 def orphan_sale_items(tables: Tables) -> DataFrame:
     """Items whose sale or product is missing."""
-    sales = tables["sales"].select("sale_id", F.lit(True).alias("_sale")).distinct()
-    products = tables["products"].select("product_id", F.lit(True).alias("_product")).distinct()
+    items = tables["sale_items"]
+    sales = lost_keys(items, tables["sales"], "sale_id").withColumn("_sale", F.lit(True))
+    products = lost_keys(items, tables["products"], "product_id").withColumn(
+        "_product", F.lit(True)
+    )
     return (
-        tables["sale_items"]
-        .join(products, "product_id", "left")
+        items.join(products, "product_id", "left")
         .join(sales, "sale_id", "left")
-        .filter("_sale is null or _product is null")
-        .drop("_sale", "_product")
+        .filter("_sale or _product or sale_id is null or product_id is null")
+        .select(*items.columns)
     )
 
 

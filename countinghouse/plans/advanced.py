@@ -10,6 +10,7 @@ from countinghouse.functions.numbers import average, money, percent, percent_cha
 from countinghouse.functions.ordering import with_rank, with_running_total
 from countinghouse.operators.measures import Tables, with_previous
 from countinghouse.plans.sales import monthly_revenue
+from countinghouse.session import stored
 
 PARETO_PERCENT = 80
 
@@ -38,7 +39,7 @@ def product_revenue(t: Tables) -> DataFrame:
 
 
 def product_rank(t: Tables) -> DataFrame:
-    products = product_revenue(t)
+    products = stored(product_revenue(t), "product-revenue")
     totals = products.groupBy("category").agg(F.sum("gross").alias("category_gross"))
     ranked = with_rank(
         products, "gross", "revenue_rank_within_category", by=["category"], dense=True

@@ -15,6 +15,7 @@ from countinghouse.operators.measures import (
     transaction_totals,
     with_previous,
 )
+from countinghouse.session import stored
 
 
 def _branch_totals(t: Tables) -> DataFrame:
@@ -116,6 +117,7 @@ def employee_rankings(t: Tables) -> DataFrame:
         "employee_id", "employee_name", "job_title", "branch_id", "branch_name",
         or_zero(F.col("n")).alias("transaction_count"), or_zero(F.col("net")).alias("net"),
     )
+    people = stored(people, "employee-totals")
     ranked = with_rank(people, "net", "rank_within_branch", by=["branch_id"])
     ranked = with_rank(ranked, "net", "overall_rank")
     return ranked.select(

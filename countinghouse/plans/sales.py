@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from countinghouse.functions.dates import weekday_name, weekday_number
+from countinghouse.functions.dates import month_of, weekday_name, weekday_number
 from countinghouse.functions.numbers import average, money
 from countinghouse.operators.measures import (
     Tables,
+    category_allocation,
     change_percent,
     discount_allocation,
     sale_net_revenue,
@@ -76,31 +77,38 @@ def month_growth(t: Tables) -> DataFrame:
     ).orderBy("sales_month")
 
 
-def _allocated(t: Tables, *by: str) -> DataFrame:
-    """Per group: units and revenue after each line's share of the discount.
-
-    A line without an allocation counts in gross revenue only.
-    """
+def _after_discount() -> list[Column]:
+    """A line without an allocation counts in gross revenue only."""
     share = F.col("allocated_discount")
-    return discount_allocation(t, *(c for c in by if c != "product_id")).groupBy(*by).agg(
-        F.count_distinct("sale_id").alias("transaction_count"),
+    return [
         F.sum("quantity").alias("units_sold"),
         _sum("line_revenue", "gross_revenue"),
         money(F.round(F.sum(share), 2)).alias("allocated_discounts"),
         money(F.round(F.sum(F.col("line_revenue") - share), 2)).alias("net_revenue"),
         money(F.round(F.sum(F.col("line_profit") - share), 2)).alias("estimated_net_profit"),
-    )
+    ]
 
 
 def by_category(t: Tables) -> DataFrame:
-    return _allocated(t, "category").orderBy(F.desc("net_revenue"))
+    return category_allocation(t).groupBy("category").agg(_count(), *_after_discount()).orderBy(
+        F.desc("net_revenue")
+    )
 
 
-def top_products(t: Tables) -> DataFrame:
-    ranked = _allocated(t, "product_id", "product_name", "category").drop(
-        "gross_revenue", "allocated_discounts"
+def top_products(t: Tables, top: int = TOP) -> DataFrame:
+    """Names are looked up for the chosen products only."""
+    best = (
+        discount_allocation(t)
+        .groupBy("product_id")
+        .agg(F.count_distinct("sale_id").alias("transaction_count"), *_after_discount())
+        .drop("gross_revenue", "allocated_discounts")
+        .orderBy(F.desc_nulls_first("net_revenue"), "product_id")
+        .limit(top)
+    )
+    names = t["products"].select("product_id", "product_name", "category")
+    return names.join(F.broadcast(best), "product_id").orderBy(
+        F.desc_nulls_first("net_revenue"), "product_id"
     )
-    return ranked.orderBy(F.desc_nulls_first("net_revenue"), "product_id").limit(TOP)
 
 
 def by_payment(t: Tables) -> DataFrame:
@@ -137,10 +145,11 @@ def discounted_vs_not(t: Tables) -> DataFrame:
 def sales_in_range(t: Tables, first: str, until: str) -> DataFrame:
     """Gross revenue of each sale in the half-open interval ``[first, until)``."""
     moment = F.col("sale_date")
-    chosen = t["sales"].filter(
-        (moment >= F.lit(first).cast("timestamp_ntz"))
-        & (moment < F.lit(until).cast("timestamp_ntz"))
-    )
+    start, end = F.lit(first).cast("timestamp_ntz"), F.lit(until).cast("timestamp_ntz")
+    chosen = t["sales"].filter((moment >= start) & (moment < end))
+    if "sale_month" in chosen.columns:  # stored by month: read only the months that overlap
+        month = F.col("sale_month")
+        chosen = chosen.filter(month.between(month_of(start), month_of(end)))
     return sale_net_revenue(t, "sale_date", "branch_id", sales=chosen).select(
         "sale_id", "sale_date", "branch_id", money(F.col("gross_revenue")).alias("gross_revenue")
     )

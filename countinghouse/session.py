@@ -14,6 +14,7 @@ def local_session(cpus: str = "8", **conf: str) -> SparkSession:
         SparkSession.builder.master(f"local[{cpus}]")
         .appName("countinghouse")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.shuffle.partitions", "8")
         .config("spark.driver.memory", "16g")
@@ -54,3 +55,16 @@ def checkpointed(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the shared folder, so a lost executor re-reads it."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back.
+
+    Besides surviving the loss of executors, the result has a known size: Spark
+    broadcasts it in a join only if the files are below its threshold, and
+    otherwise shuffles both sides, where hot keys can be split at run time.
+    """
+    spark = df.sparkSession
+    path = fresh_path(spark, name)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

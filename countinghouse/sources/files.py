@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from countinghouse.functions.dates import month_of
 from countinghouse.operators.cleaning import clean
 from countinghouse.schemas import TABLES
-from countinghouse.session import fresh_path
 
 Tables = dict[str, DataFrame]
 LAYERS = ("raw", "cleaned", "analytics")
@@ -79,37 +79,29 @@ def refresh_mart(df: DataFrame, path: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def write_layout(cleaned: Tables, root: str, buckets: int | None = None) -> Tables:
+def write_layout(cleaned: Tables, root: str) -> Tables:
     """Sales and items laid out for the usual access paths.
 
-    Sales are partitioned by month, so a date range reads only its months, and
-    sorted by time inside. With ``buckets`` both facts are bucketed tables on
-    ``sale_id`` instead, which makes their join and the per-sale sums free of
-    a shuffle. ``cluster`` rows go through a shuffle on month and a key salt,
-    so a month with many sales is written by many tasks.
+    Sales are partitioned by month, so a date range reads only its months. The
+    shuffle is by ranges of time and sale, which spreads a busy month over many
+    tasks and still gives few files per month. Items are ranged and sorted by
+    sale, so file statistics narrow a look-up; a sale of any size is split.
     """
     spark = cleaned["sales"].sparkSession
-    if buckets:
-        names = {}
-        for name in ("sales", "sale_items"):
-            table = f"{name}_{abs(hash(root)) % 10**9}"
-            cleaned[name].write.mode("overwrite").option("path", f"{root}/{name}").bucketBy(
-                buckets, "sale_id"
-            ).sortBy("sale_id").saveAsTable(table)
-            names[name] = spark.table(table)
-        return names
-    month = F.date_format("sale_date", "yyyy-MM")
-    sales = cleaned["sales"].withColumn("sale_month", month)
+    sales = cleaned["sales"].withColumn("sale_month", month_of(F.col("sale_date")))
+    items = cleaned["sale_items"]
     (
-        sales.repartition("sale_month", F.pmod(F.hash("sale_id"), F.lit(4)))
+        sales.repartitionByRange("sale_date", "sale_id")
         .sortWithinPartitions("sale_date")
         .write.mode("overwrite")
         .partitionBy("sale_month")
         .parquet(f"{root}/sales")
     )
-    items = cleaned["sale_items"]
-    items.repartition("sale_id").sortWithinPartitions("sale_id").write.mode("overwrite").parquet(
-        f"{root}/sale_items"
+    (
+        items.repartitionByRange("sale_id", "product_id")
+        .sortWithinPartitions("sale_id")
+        .write.mode("overwrite")
+        .parquet(f"{root}/sale_items")
     )
     return {
         "sales": spark.read.schema(sales.schema).parquet(f"{root}/sales"),
@@ -117,5 +109,22 @@ def write_layout(cleaned: Tables, root: str, buckets: int | None = None) -> Tabl
     }
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    return fresh_path(spark, name)
+def write_bucketed(cleaned: Tables, root: str, database: str, buckets: int) -> Tables:
+    """Both facts bucketed on ``sale_id``, so that joining them moves no row.
+
+    Meant for facts without very hot sales: one sale always stays in one bucket.
+    """
+    spark = cleaned["sales"].sparkSession
+    tables = {}
+    for name in ("sales", "sale_items"):
+        table = f"{database}.{name}"
+        (
+            cleaned[name].repartition(buckets, "sale_id")
+            .write.mode("overwrite")
+            .option("path", f"{root}/{name}")
+            .bucketBy(buckets, "sale_id")
+            .sortBy("sale_id")
+            .saveAsTable(table)
+        )
+        tables[name] = spark.table(table)
+    return tables
