@@ -21,11 +21,11 @@ def money(amount: Column) -> Column:
 
 def ratio(numerator: Column, denominator: Column, digits: int = 2) -> Column:
     """``round(numerator / denominator, digits)``; NULL for a zero denominator."""
-    top, bottom = numerator.cast(_WHOLE), F.nullif(denominator.cast(_WHOLE), F.lit(0).cast(_WHOLE))
+    top, bottom = numerator.cast(_WHOLE), denominator.cast(_WHOLE)
     scaled = F.abs(top) * F.lit(2 * 10**digits) + F.abs(bottom)
     size = F.call_function("div", scaled, F.abs(bottom) * F.lit(2))
-    opposite = (top < 0) != (bottom < 0)
-    return F.when(opposite, -size).otherwise(size).cast("double") / F.lit(10.0**digits)
+    signed = F.when((top < 0) != (bottom < 0), -size).otherwise(size)
+    return F.when(bottom != 0, signed.cast("double") / F.lit(10.0**digits))
 
 
 def percent(part: Column, whole: Column) -> Column:

@@ -176,4 +176,9 @@ def change_percent(value: str, previous: str) -> Column:
 
 def share_of_total(df: DataFrame, count: str, name: str) -> DataFrame:
     """Add each row's percent of the sum; ``df`` is already aggregated and small."""
-    return df.withColumn(name, percent(F.col(count), F.sum(count).over(Window.partitionBy())))
+    whole = F.sum(count).over(Window.partitionBy())
+    return (
+        df.withColumn("_whole", whole)
+        .withColumn(name, percent(F.col(count), F.col("_whole")))
+        .drop("_whole")
+    )

@@ -21,13 +21,17 @@ def cumulative_rolling(t: Tables) -> DataFrame:
     so_far = by_month.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     last_three = by_month.rowsBetween(-2, Window.currentRow)
     net = F.sum("net_revenue")
-    return monthly_revenue(t).select(
+    months = monthly_revenue(t).select(
+        "sales_month", "net_revenue",
+        net.over(so_far).alias("so_far"),
+        net.over(last_three).alias("recent"),
+        F.count("net_revenue").over(last_three).alias("recent_months"),
+    )
+    return months.select(
         "sales_month",
         money(F.col("net_revenue")).alias("monthly_net_revenue"),
-        money(net.over(so_far)).alias("cumulative_net_revenue"),
-        average(net.over(last_three), F.count("net_revenue").over(last_three)).alias(
-            "three_month_rolling_average"
-        ),
+        money(F.col("so_far")).alias("cumulative_net_revenue"),
+        average(F.col("recent"), F.col("recent_months")).alias("three_month_rolling_average"),
     ).orderBy("sales_month")
 
 

@@ -188,10 +188,14 @@ def monthly_branch_share(t: Tables) -> DataFrame:
     net = F.col("net")
     month = Window.partitionBy("sales_month")
     names = t["branches"].select("branch_id", "branch_name")
-    shares = branch_months(t).join(names, "branch_id")
+    shares = branch_months(t).join(names, "branch_id").select(
+        "sales_month", "branch_name", "transaction_count", "net",
+        F.sum("net").over(month).alias("month_net"),
+        F.rank().over(month.orderBy(F.desc("net"))).alias("monthly_branch_rank"),
+    )
     return shares.select(
         "sales_month", "branch_name", "transaction_count",
         money(net).alias("net_revenue"),
-        percent(net, F.sum("net").over(month)).alias("monthly_revenue_share_percentage"),
-        F.rank().over(month.orderBy(F.desc("net"))).alias("monthly_branch_rank"),
+        percent(net, F.col("month_net")).alias("monthly_revenue_share_percentage"),
+        "monthly_branch_rank",
     ).orderBy("sales_month", "monthly_branch_rank")
