@@ -74,9 +74,9 @@ ATV = f"{mean_money('sum(net)', 'count(*)')} AS average_transaction_value"
 
 SPLIT_SUMS = f"""count(DISTINCT sale_id) AS transaction_count, {BIG("sum(q)")} AS units_sold,
     {money("sum(rev)")} AS gross_revenue, {TWO("sum(cut)")} AS allocated_discounts,
-    {TWO("CAST(sum(rev) FILTER (WHERE cut IS NOT NULL) AS DECIMAL(36, 8)) / 100 - sum(cut)")}
+    {TWO("CAST(sum(rev) FILTER (WHERE cut IS NOT NULL) AS DECIMAL(38, 12)) / 100 - sum(cut)")}
         AS net_revenue,
-    {TWO("CAST(sum(gain) FILTER (WHERE cut IS NOT NULL) AS DECIMAL(36, 8)) / 100 - sum(cut)")}
+    {TWO("CAST(sum(gain) FILTER (WHERE cut IS NOT NULL) AS DECIMAL(38, 12)) / 100 - sum(cut)")}
         AS estimated_net_profit"""
 
 STAFF_COLUMNS = f"""employee_id, employee_name, job_title, branch_name, n AS transaction_count,
@@ -380,7 +380,9 @@ def _statements() -> dict[str, str]:
         SELECT sales_month, {money("net")} AS net_revenue,
                {money(months_lag("net"))} AS previous_month_revenue,
                {growth("net", months_lag("net"))} AS monthly_growth_percentage FROM months"""
-    q["sales_by_category"] = f"SELECT category, {SPLIT_SUMS} FROM split GROUP BY category"
+    q["sales_by_category"] = (
+        f"SELECT category, {SPLIT_SUMS} FROM split_category GROUP BY category"
+    )
     q["sales_by_payment"] = f"""
         SELECT payment_method, {TX_SUMS}, {ATV} FROM tx GROUP BY payment_method"""
     q["sales_top_products"] = f"""

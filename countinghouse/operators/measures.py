@@ -88,7 +88,7 @@ HOT_SALE_LINES = 1_000_000
 def _share(discount: Column, revenue_: Column, gross: Column) -> Column:
     """Part of the discount in proportion to revenue; NULL if there is no revenue."""
     part = discount.cast("double") * revenue_.cast("double")
-    return (part / F.nullif(gross.cast("double"), F.lit(0.0))).cast("decimal(24,8)")
+    return (part / F.nullif(gross.cast("double"), F.lit(0.0))).cast("decimal(30,12)")
 
 
 def discount_allocation(tables: Tables, hot_lines: int = HOT_SALE_LINES) -> DataFrame:
