@@ -7,8 +7,9 @@ counts its violations, ``enforce`` fails on the first broken rule, and
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
-from functools import reduce
+from collections.abc import Callable, Iterable, Sequence
+from concurrent.futures import ThreadPoolExecutor
+from functools import partial, reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -151,44 +152,85 @@ def _flagged(df: DataFrame, keys: DataFrame, columns: Sequence[str], label: str)
     return marked.withColumn("reasons", F.array_append("reasons", F.col("_label"))).drop("_label")
 
 
-def judged(name: str, df: DataFrame, parent_keys: Tables) -> DataFrame:
+def _rules(name: str, df: DataFrame) -> list[Column]:
+    """Reasons that a row shows by itself."""
+    spec = TABLES[name]
+    present = [c for c in spec.required if c in df.columns]
+    reasons = [F.when(F.col(c).isNull(), F.lit(f"not_null:{c}")) for c in present]
+    reasons += [F.when(_broken(p), F.lit(f"check:{c}")) for c, p in spec.checks.items()]
+    return reasons
+
+
+def judged(name: str, df: DataFrame, repeated: Tables, lost: Tables) -> DataFrame:
     """``df`` with ``reasons``, an array that is empty for a valid row.
 
     Every copy of a repeated key is rejected: no rule prefers one of them.
     """
     spec = TABLES[name]
-    present = [c for c in spec.required if c in df.columns]
-    reasons = [F.when(F.col(c).isNull(), F.lit(f"not_null:{c}")) for c in present]
-    reasons += [F.when(_broken(p), F.lit(f"check:{c}")) for c, p in spec.checks.items()]
-    out = df.withColumn("reasons", F.array(*reasons))
+    out = df.withColumn("reasons", F.array(*_rules(name, df)))
     for columns in (spec.key, *spec.unique):
-        repeated = stored(_repeated(df, columns).select(*columns), f"repeated-{name}")
-        out = _flagged(out, repeated, columns, f"unique:{','.join(columns)}")
-    for column, parent in spec.parents.items():
-        known = parent_keys[parent].toDF(column)
-        lost = lost_keys(df, known, column)
-        out = _flagged(out, lost, [column], f"foreign_key:{column}")
+        label = ",".join(columns)
+        out = _flagged(out, repeated[f"{name}:{label}"], columns, f"unique:{label}")
+    for column in spec.parents:
+        out = _flagged(out, lost[f"{name}:{column}"], [column], f"foreign_key:{column}")
     return out.withColumn("reasons", F.array_compact("reasons"))
 
 
+def _stored_together(jobs: dict[str, Callable[[], DataFrame]]) -> Tables:
+    """Run independent jobs side by side; each stores one list of keys."""
+    if not jobs:
+        return {}
+    with ThreadPoolExecutor(max_workers=8) as pool:
+        return dict(zip(jobs, pool.map(lambda job: job(), jobs.values())))
+
+
 def _judge_all(tables: Tables) -> Tables:
     """Every table judged, parents first.
 
     A child of a rejected parent is rejected too, since its parent would be
-    absent from the cleaned layer. The surviving keys of each parent are stored
-    once for all its children.
+    absent from the cleaned layer. Only lists of keys are stored on the way:
+    repeated keys, keys without a parent, and the surviving keys of parents.
     """
-    parents = {parent for spec in TABLES.values() for parent in spec.parents.values()}
+    specs = {name: TABLES[name] for name in TABLES if name in tables}
+    parents = {parent for spec in specs.values() for parent in spec.parents.values()}
+    repeated = _stored_together(
+        {
+            f"{name}:{','.join(columns)}": partial(
+                lambda n, c: stored(_repeated(tables[n], c).select(*c), f"repeated-{n}"),
+                name, columns,
+            )
+            for name, spec in specs.items()
+            for columns in (spec.key, *spec.unique)
+        }
+    )
     results: Tables = {}
     keys: Tables = {}
-    for name, spec in TABLES.items():
-        if name not in tables:
-            continue
-        results[name] = judged(name, tables[name], keys)
-        if name in parents:
-            kept = results[name].filter(F.size("reasons") == 0).select(*spec.key)
-            keys[name] = stored(kept, f"valid-{name}")
-    return results
+    while len(results) < len(specs):
+        level = [
+            name
+            for name, spec in specs.items()
+            if name not in results and all(p in keys for p in spec.parents.values())
+        ]
+        lost = _stored_together(
+            {
+                f"{name}:{column}": partial(
+                    lambda n, c, p: lost_keys(tables[n], keys[p].toDF(c), c), name, column, parent
+                )
+                for name in level
+                for column, parent in specs[name].parents.items()
+            }
+        )
+        for name in level:
+            results[name] = judged(name, tables[name], repeated, lost)
+        kept = {
+            name: results[name].filter(F.size("reasons") == 0).select(*specs[name].key)
+            for name in level
+            if name in parents
+        }
+        keys |= _stored_together(
+            {name: partial(stored, df, f"valid-{name}") for name, df in kept.items()}
+        )
+    return {name: results[name] for name in specs}
 
 
 def quarantine(tables: Tables) -> tuple[Tables, Tables]:
