@@ -21,9 +21,15 @@ DERIVED = {
 }
 
 
-def _headers(sales: DataFrame, columns: tuple[str, ...]) -> DataFrame:
-    made = [DERIVED[c]().alias(c) if c in DERIVED else F.col(c) for c in columns]
-    return sales.select("sale_id", "discount_amount", *made)
+SALE_FACTS = "sale_facts"
+
+
+def _headers(sales: DataFrame, columns: tuple[str, ...], *more: str) -> DataFrame:
+    made = [
+        DERIVED[c]().alias(c) if c in DERIVED and c not in sales.columns else F.col(c)
+        for c in columns
+    ]
+    return sales.select("sale_id", "discount_amount", *made, *more)
 
 
 def priced_lines(tables: Tables, *product_columns: str) -> DataFrame:
@@ -45,31 +51,70 @@ def priced_lines(tables: Tables, *product_columns: str) -> DataFrame:
 
 def transaction_totals(tables: Tables, *header: str) -> DataFrame:
     """One row per sale with units, gross revenue and profit before discount."""
-    per_sale = priced_lines(tables).groupBy("sale_id").agg(
-        F.sum("quantity").alias("units_sold"),
-        F.sum("line_revenue").alias("gross_revenue"),
-        F.sum("line_profit").alias("profit_before_discount"),
-    )
+    if SALE_FACTS in tables:
+        priced = tables[SALE_FACTS].filter(F.col("units_sold").isNotNull())
+        priced = priced.withColumn("gross_revenue", F.col("priced_revenue"))
+        totals = _headers(
+            priced, header, "units_sold", "gross_revenue", "profit_before_discount"
+        )
+    else:
+        per_sale = priced_lines(tables).groupBy("sale_id").agg(
+            F.sum("quantity").alias("units_sold"),
+            F.sum("line_revenue").alias("gross_revenue"),
+            F.sum("line_profit").alias("profit_before_discount"),
+        )
+        totals = per_sale.join(_headers(tables["sales"], header), "sale_id")
     net = F.col("gross_revenue") - F.col("discount_amount")
     profit = F.col("profit_before_discount") - F.col("discount_amount")
-    return per_sale.join(_headers(tables["sales"], header), "sale_id").withColumns(
-        {"net_revenue": net, "estimated_net_profit": profit}
-    )
+    return totals.withColumns({"net_revenue": net, "estimated_net_profit": profit})
 
 
-def sale_net_revenue(
-    tables: Tables, *header: str, sales: DataFrame | None = None
-) -> DataFrame:
+def sale_source(tables: Tables) -> DataFrame:
+    """The frame with one row per sale that a condition on sales applies to."""
+    return tables.get(SALE_FACTS, tables["sales"])
+
+
+def sale_net_revenue(tables: Tables, *header: str, where: Column | None = None) -> DataFrame:
     """One row per sale with gross and net revenue; products are not consulted."""
+    chosen = sale_source(tables)
+    if where is not None:
+        chosen = chosen.filter(where)
+    if SALE_FACTS in tables:
+        totals = _headers(chosen, header, "gross_revenue")
+    else:
+        per_sale = (
+            tables["sale_items"]
+            .groupBy("sale_id")
+            .agg(F.sum(revenue()).alias("gross_revenue"))
+        )
+        totals = per_sale.join(_headers(chosen, header), "sale_id")
+    return totals.withColumn("net_revenue", F.col("gross_revenue") - F.col("discount_amount"))
+
+
+def sale_facts(tables: Tables) -> DataFrame:
+    """One row per sale with items: its header, month and all its measures.
+
+    Stored once and put under ``sale_facts`` in the tables, it serves every
+    report on sales without another look at the lines. Lines of an unknown
+    product count in ``gross_revenue`` only, as reports without profit do.
+    """
+    products = tables["products"].select("product_id", "cost_price")
+    products = products.withColumn("known", F.lit(True))
+    quantity, known = F.col("quantity"), F.col("known")
+    margin = quantity * (F.col("unit_price") - F.col("cost_price"))
     per_sale = (
         tables["sale_items"]
+        .join(products, "product_id", "left")
         .groupBy("sale_id")
-        .agg(F.sum(revenue()).alias("gross_revenue"))
-    )
-    chosen = tables["sales"] if sales is None else sales
-    return per_sale.join(_headers(chosen, header), "sale_id").withColumn(
-        "net_revenue", F.col("gross_revenue") - F.col("discount_amount")
+        .agg(
+            F.sum(revenue()).alias("gross_revenue"),
+            F.sum(F.when(known, quantity)).alias("units_sold"),
+            F.sum(F.when(known, revenue())).alias("priced_revenue"),
+            F.sum(F.when(known, margin)).alias("profit_before_discount"),
+        )
     )
+    sales = tables["sales"].withColumn("sales_month", month_of(F.col("sale_date")))
+    return per_sale.join(sales, "sale_id")
 
 
 def registered_sales(tables: Tables) -> DataFrame:

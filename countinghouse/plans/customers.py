@@ -22,7 +22,8 @@ INACTIVE_AFTER_DAYS = 180
 
 def customer_totals(t: Tables) -> DataFrame:
     """One row per customer with a purchase."""
-    sales = sale_net_revenue(t, "customer_id", "sale_day", sales=registered_sales(t))
+    registered = F.col("customer_id").isNotNull()
+    sales = sale_net_revenue(t, "customer_id", "sale_day", where=registered)
     return sales.groupBy("customer_id").agg(
         F.count(F.lit(1)).alias("purchase_count"),
         F.min("sale_day").alias("first_purchase_date"),

@@ -13,6 +13,7 @@ from countinghouse.operators.measures import (
     change_percent,
     discount_allocation,
     sale_net_revenue,
+    sale_source,
     transaction_totals,
     with_previous,
 )
@@ -146,10 +147,9 @@ def sales_in_range(t: Tables, first: str, until: str) -> DataFrame:
     """Gross revenue of each sale in the half-open interval ``[first, until)``."""
     moment = F.col("sale_date")
     start, end = F.lit(first).cast("timestamp_ntz"), F.lit(until).cast("timestamp_ntz")
-    chosen = t["sales"].filter((moment >= start) & (moment < end))
-    if "sale_month" in chosen.columns:  # stored by month: read only the months that overlap
-        month = F.col("sale_month")
-        chosen = chosen.filter(month.between(month_of(start), month_of(end)))
-    return sale_net_revenue(t, "sale_date", "branch_id", sales=chosen).select(
+    where = (moment >= start) & (moment < end)
+    if "sales_month" in sale_source(t).columns:  # stored by month: read only those that overlap
+        where &= F.col("sales_month").between(month_of(start), month_of(end))
+    return sale_net_revenue(t, "sale_date", "branch_id", where=where).select(
         "sale_id", "sale_date", "branch_id", money(F.col("gross_revenue")).alias("gross_revenue")
     )
