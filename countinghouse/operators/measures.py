@@ -151,8 +151,10 @@ def discount_allocation(tables: Tables, hot_lines: int = HOT_SALE_LINES) -> Data
     )
     totals = per_sale.join(_headers(tables["sales"], ()), "sale_id")
     sale = F.struct("discount_amount", "sale_gross")
-    hot = totals.filter(F.col("sale_lines") > hot_lines).select("sale_id", sale.alias("hot"))
-    rest = totals.select(F.col("sale_id").alias("key"), sale.alias("rest"))
+    # both sides need the same columns of the totals, so their shuffles are shared
+    is_hot = F.col("sale_lines") > hot_lines
+    hot = totals.filter(is_hot).select("sale_id", sale.alias("hot"))
+    rest = totals.filter(~is_hot).select(F.col("sale_id").alias("key"), sale.alias("rest"))
     scatter = F.xxhash64("product_id", "quantity", "line_revenue")
     marked = lines.join(F.broadcast(hot), "sale_id", "left").withColumn(
         "key", F.when(F.col("hot").isNull(), F.col("sale_id")).otherwise(scatter)
