@@ -226,11 +226,6 @@ CTES: dict[str, str] = {
         SELECT lines.*, CAST(CAST(discount_amount AS DOUBLE) / 100 * (CAST(rev AS DOUBLE) / 100)
                              / nullif(CAST(gross AS DOUBLE) / 100, 0) AS DECIMAL(30, 12)) AS cut
         FROM lines JOIN tx USING (sale_id)""",
-    "split_category": """
-        SELECT x.*, CAST(CAST(discount_amount AS DOUBLE) / 100 * (CAST(rev AS DOUBLE) / 100)
-                         / nullif(CAST(gross AS DOUBLE) / 100, 0) AS DECIMAL(30, 12)) AS cut
-        FROM (SELECT sale_id, category, sum(q) AS q, sum(rev) AS rev, sum(gain) AS gain
-              FROM lines GROUP BY sale_id, category) AS x JOIN tx USING (sale_id)""",
     "months": "SELECT sales_month, sum(net) AS net FROM nx GROUP BY ALL",
     "branch_months": "SELECT branch_id, sales_month, count(*) AS n, sum(net) AS net"
     " FROM nx GROUP BY ALL",
