@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from countinghouse.llm import bpe
+from countinghouse.llm import bpe, line_frequency, line_spread, simhash
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -28,12 +28,64 @@ def op1_byte_level_bpe(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op3_line_frequency(spark: SparkSession, folder: str) -> DataFrame:
+    return line_frequency.verdicts(table(spark, folder, "documents")).select(
+        F.col("id").alias("doc_id"),
+        *line_frequency.MEASURES,
+        "base_failed",
+        "kept",
+        "words_left",
+    )
+
+
+def op6_line_spread(spark: SparkSession, folder: str) -> DataFrame:
+    return line_spread.remove_spread_lines(
+        table(spark, folder, "documents"), removed_col="n_removed"
+    ).select("doc_id", "text", "n_removed")
+
+
+OP6_SQL = f"""
+with lines as (
+    select d.rowid as row, doc_id, source, n, line,
+        case when trim(line) <> '' then lower(trim(line)) end as norm
+    from (select row_number() over () as rowid, * from documents) d,
+        unnest(string_split(text, chr(10))) with ordinality as u(line, n)
+), spread as (
+    select norm from lines where norm is not null
+    group by norm having count(distinct source) > {line_spread.MAX_SITES}
+), flagged as (
+    select row, doc_id, n, line, norm, norm in (select norm from spread) as gone from lines
+), rows as (
+    select row, doc_id,
+        coalesce(sum(length(line)) filter (gone), 0) * 2
+            <= sum(length(line)) filter (norm is not null) as few,
+        string_agg(line, chr(10) order by n) as whole,
+        string_agg(line, chr(10) order by n) filter (gone is not true) as rest,
+        count(*) filter (gone) as gone
+    from flagged group by row, doc_id
+)
+select doc_id,
+    case when few and gone > 0 then coalesce(rest, '') else whole end as text,
+    cast(case when few then gone else 0 end as bigint) as n_removed
+from rows
+"""
+
+
+def op9_simhash(spark: SparkSession, folder: str) -> DataFrame:
+    return simhash.near_duplicates(
+        table(spark, folder, "documents"), words=4, distance=4
+    ).select("doc_id", simhash.hex_digits("fingerprint").alias("fingerprint"), "component_id")
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_byte_level_bpe": op1_byte_level_bpe,
+        "op3_line_frequency": op3_line_frequency,
+        "op6_line_spread": op6_line_spread,
+        "op9_simhash": op9_simhash,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     """DuckDB statements for the queries that SQL can express."""
-    return {}
+    return {"op6_line_spread": OP6_SQL}
