@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from countinghouse.llm import bpe, line_frequency, line_spread, simhash
+from countinghouse.llm import bpe, line_frequency, line_spread, packing, simhash
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -38,6 +38,22 @@ def op3_line_frequency(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op4_mixture_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.pack(
+        table(spark, folder, "documents"),
+        public_tokenizers.path("byte_bpe_50k.json"),
+        public_tokenizers.PATTERN,
+    ).select(
+        "doc_id",
+        "start",
+        "length",
+        F.crc32("ids").alias("ids_crc32"),
+        "doc_tokens",
+        "sequence_id",
+        "offset",
+    )
+
+
 def op6_line_spread(spark: SparkSession, folder: str) -> DataFrame:
     return line_spread.remove_spread_lines(
         table(spark, folder, "documents"), removed_col="n_removed"
@@ -81,6 +97,7 @@ def queries() -> dict[str, Query]:
     return {
         "op1_byte_level_bpe": op1_byte_level_bpe,
         "op3_line_frequency": op3_line_frequency,
+        "op4_mixture_packing": op4_mixture_packing,
         "op6_line_spread": op6_line_spread,
         "op9_simhash": op9_simhash,
     }
