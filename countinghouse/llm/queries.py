@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from countinghouse.llm import bpe, line_frequency, line_spread, packing, simhash
+from countinghouse.llm import bpe, line_frequency, line_spread, packing, simhash, topk
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -54,6 +54,31 @@ def op4_mixture_packing(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op5_uniform_threshold(spark: SparkSession, folder: str) -> DataFrame:
+    return topk.top_k(
+        table(spark, folder, "embeddings"), F.col("vec_id") % 50 == 0, k=5, factor=256
+    )
+
+
+OP5_SQL = """
+with v as (
+    select vec_id,
+        list_transform(embedding, lambda x: cast(floor(256 * cast(x as double)) as bigint)) as e
+    from embeddings
+    where vec_id is not null and len(embedding) > 0
+        and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+), s as (
+    select q.vec_id as query_id, c.vec_id,
+        cast(list_sum(list_transform(range(1, 1 + least(len(q.e), len(c.e))),
+            lambda i: q.e[i] * c.e[i])) as bigint) as score
+    from v q join v c on q.vec_id % 50 = 0 and q.vec_id <> c.vec_id
+), r as (
+    select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from s
+)
+select query_id, cast(rank as integer) as rank, vec_id, score from r where rank <= 5
+"""
+
+
 def op6_line_spread(spark: SparkSession, folder: str) -> DataFrame:
     return line_spread.remove_spread_lines(
         table(spark, folder, "documents"), removed_col="n_removed"
@@ -98,6 +123,7 @@ def queries() -> dict[str, Query]:
         "op1_byte_level_bpe": op1_byte_level_bpe,
         "op3_line_frequency": op3_line_frequency,
         "op4_mixture_packing": op4_mixture_packing,
+        "op5_uniform_threshold": op5_uniform_threshold,
         "op6_line_spread": op6_line_spread,
         "op9_simhash": op9_simhash,
     }
@@ -105,4 +131,4 @@ def queries() -> dict[str, Query]:
 
 def oracle_sql() -> dict[str, str]:
     """DuckDB statements for the queries that SQL can express."""
-    return {"op6_line_spread": OP6_SQL}
+    return {"op5_uniform_threshold": OP5_SQL, "op6_line_spread": OP6_SQL}
