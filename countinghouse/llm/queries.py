@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from countinghouse.llm import bpe, line_frequency, line_spread, packing, simhash, topk
+from countinghouse.llm import bpe, line_frequency, line_spread, nbsvm, packing, simhash, topk
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -28,6 +28,19 @@ def op1_byte_level_bpe(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op2_naive_bayes_svm(spark: SparkSession, folder: str) -> DataFrame:
+    docs, labels = table(spark, folder, "documents"), table(spark, folder, "labels")
+    fold = F.crc32(F.col("id").cast("string").cast("binary")) % 5
+    model = nbsvm.train(docs, labels, usable=fold != 0)
+    scores = nbsvm.scored(docs.withColumnRenamed("doc_id", "id"), model, id_col="id")
+    return scores.select(
+        F.col("id").alias("doc_id"),
+        (fold == 0).alias("held_out"),
+        "score",
+        (F.col("score") >= 0.3).cast("int").alias("predicted"),
+    )
+
+
 def op3_line_frequency(spark: SparkSession, folder: str) -> DataFrame:
     return line_frequency.verdicts(table(spark, folder, "documents")).select(
         F.col("id").alias("doc_id"),
@@ -121,6 +134,7 @@ def op9_simhash(spark: SparkSession, folder: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     return {
         "op1_byte_level_bpe": op1_byte_level_bpe,
+        "op2_naive_bayes_svm": op2_naive_bayes_svm,
         "op3_line_frequency": op3_line_frequency,
         "op4_mixture_packing": op4_mixture_packing,
         "op5_uniform_threshold": op5_uniform_threshold,
