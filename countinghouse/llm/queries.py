@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from countinghouse.llm import bpe, line_frequency, line_spread, nbsvm, packing, simhash, topk
+from countinghouse.llm import bpe, html_template, line_frequency, line_spread, nbsvm, packing, simhash, topk
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -131,6 +131,12 @@ def op9_simhash(spark: SparkSession, folder: str) -> DataFrame:
     ).select("doc_id", simhash.hex_digits("fingerprint").alias("fingerprint"), "component_id")
 
 
+def op10_site_templates(spark: SparkSession, folder: str) -> DataFrame:
+    return html_template.main_text(table(spark, folder, "pages")).select(
+        "page_id", "url", "text", F.length("text").cast("long").alias("n_chars")
+    )
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_byte_level_bpe": op1_byte_level_bpe,
@@ -140,6 +146,7 @@ def queries() -> dict[str, Query]:
         "op5_uniform_threshold": op5_uniform_threshold,
         "op6_line_spread": op6_line_spread,
         "op9_simhash": op9_simhash,
+        "op10_site_templates": op10_site_templates,
     }
 
 

@@ -140,7 +140,9 @@ class Ring:
 def links(marks: DataFrame, distance: int) -> DataFrame:
     """``node`` and ``label`` of each distinct ``fingerprint`` that is linked with another."""
     ring = Ring(distance)
-    filed = marks.select(
+    # 64 rows come of each: dealt out first, or a few files would make all of them.
+    partitions = int(marks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    filed = marks.repartition(partitions, "fingerprint").select(
         F.col("fingerprint"), F.explode(ring.places(F.col("fingerprint"))).alias("place")
     ).select("place.slot", "place.part", "fingerprint")
     order = Window.partitionBy("slot", "part").orderBy("fingerprint")
