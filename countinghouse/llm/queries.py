@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from countinghouse.llm import bpe, html_template, line_frequency, line_spread, nbsvm, packing, simhash, topk
+from countinghouse.llm import bpe, html_template, licenses, line_frequency, line_spread, nbsvm, packing, simhash, topk
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -125,6 +125,10 @@ from rows
 """
 
 
+def op8_license_rules(spark: SparkSession, folder: str) -> DataFrame:
+    return licenses.scan(table(spark, folder, "documents"))
+
+
 def op9_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.near_duplicates(
         table(spark, folder, "documents"), words=4, distance=4
@@ -145,6 +149,7 @@ def queries() -> dict[str, Query]:
         "op4_mixture_packing": op4_mixture_packing,
         "op5_uniform_threshold": op5_uniform_threshold,
         "op6_line_spread": op6_line_spread,
+        "op8_license_rules": op8_license_rules,
         "op9_simhash": op9_simhash,
         "op10_site_templates": op10_site_templates,
     }
