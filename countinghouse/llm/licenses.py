@@ -78,6 +78,7 @@ SENTENCES = {
 # Ordered rules: sequence of sentence identifiers, then the license it shows.
 RULES = [
     (("mit-title", "mit-grant", "mit-condition", "mit-disclaimer"), "MIT"),
+    (("mit-title", "mit-grant", "mit-condition"), "MIT"),
     (("mit-grant", "mit-condition", "mit-disclaimer"), "MIT"),
     (("mit-grant", "mit-condition"), "MIT"),
     (("apache-2-notice", "apache-2-compliance", "apache-2-copy", "apache-2-disclaimer"), "Apache-2.0"),

@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from countinghouse.llm import bpe, html_template, licenses, line_frequency, line_spread, nbsvm, packing, simhash, topk
+from countinghouse.llm import bpe, html_template, licenses, line_frequency, line_spread, nbsvm, packing, pii, simhash, topk
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -125,6 +125,25 @@ from rows
 """
 
 
+def op7_candidate_boosting(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+
+    def joined(spans: str) -> Column:
+        return F.array_join(
+            F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"], x["stop"])), ","
+        )
+
+    return pii.detect(docs, pii.train(docs)).select(
+        "doc_id",
+        *(
+            F.expr(f"size(filter(base, x -> x.kind = '{kind}'))").cast("long").alias(f"n_{kind}")
+            for kind in pii.KINDS
+        ),
+        F.sha2(joined("base"), 256).alias("base_sha256"),
+        joined("spans").alias("spans"),
+    )
+
+
 def op8_license_rules(spark: SparkSession, folder: str) -> DataFrame:
     return licenses.scan(table(spark, folder, "documents"))
 
@@ -149,6 +168,7 @@ def queries() -> dict[str, Query]:
         "op4_mixture_packing": op4_mixture_packing,
         "op5_uniform_threshold": op5_uniform_threshold,
         "op6_line_spread": op6_line_spread,
+        "op7_candidate_boosting": op7_candidate_boosting,
         "op8_license_rules": op8_license_rules,
         "op9_simhash": op9_simhash,
         "op10_site_templates": op10_site_templates,
