@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from countinghouse.llm.arrow import bytes_of, list_array, lists, sliced
+from countinghouse.llm.sampling import smallest_hashes
 from countinghouse.session import stored
 
 ORDERS = (1, 2, 3, 4)
@@ -174,11 +175,10 @@ def train(
         F.col(f"`{id_col}`").alias("id"), F.col(f"`{label_col}`").cast("int").alias("label")
     ).filter(usable & F.col("label").isin(0, 1))
     sample = stored(
-        known.groupBy("id")
-        .agg(F.max("label").alias("label"))
-        .orderBy(F.xxhash64("id"), "id")
-        .limit(max_train),
-        "sample",
+        known.join(smallest_hashes(known, max_train), "id")
+        .groupBy("id")
+        .agg(F.max("label").alias("label")),
+        "labels",
     )
     found = (
         bytes_of(docs, id_col, text_col)
