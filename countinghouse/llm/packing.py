@@ -19,16 +19,16 @@ further columns are left out. Only the last sequence can be shorter than a windo
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import regex
+import tiktoken
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
-from tokenizers import Tokenizer
 
 from countinghouse.llm.arrow import sliced
 from countinghouse.session import stored
@@ -41,33 +41,32 @@ GRAIN = 128
 PARTS = 512
 #: Sources with a queue of their own, by tokens; the rest shares one.
 MAX_QUEUES = 256
-REMEMBERED = 400_000
 
 
-class WordIds(dict):
-    """Pre-token to its ids as packed 16-bit or 32-bit integers."""
-
-    def __init__(self, path: str, pattern: str):
-        super().__init__()
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # in a text their names are ordinary text
-        self.kind = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
-        self.pattern = regex.compile(pattern)
-
-    def __missing__(self, word: str) -> bytes:
-        if len(self) >= REMEMBERED:
-            self.clear()
-        ids = self.tokenizer.encode(word, add_special_tokens=False).ids
-        packed = self[word] = np.asarray(ids, self.kind).tobytes()
-        return packed
-
-    def ids(self, text: str) -> bytes:
-        return b"".join(map(self.__getitem__, self.pattern.findall(text)))
+def byte_letters() -> dict[str, int]:
+    """The letters by which byte-level vocabularies write bytes: printable Latin-1
+    characters stand for themselves, the other bytes in order for those from 256 on."""
+    printable = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    others = [byte for byte in range(256) if byte not in printable]
+    return {chr(byte): byte for byte in printable} | {
+        chr(256 + n): byte for n, byte in enumerate(others)
+    }
 
 
 @lru_cache(maxsize=4)
-def word_ids(path: str, pattern: str) -> WordIds:
-    return WordIds(path, pattern)
+def encoder(path: str, pattern: str) -> tiktoken.Encoding:
+    """The tokenizer of a ``tokenizers`` file, without special tokens: their names in a text
+    are ordinary text. The ids of such a vocabulary are in the order of its merges."""
+    with open(path, encoding="utf-8") as file:
+        content = json.load(file)
+    special = {token["content"] for token in content["added_tokens"]}
+    letters = byte_letters()
+    ranks = {
+        bytes(map(letters.__getitem__, piece)): number
+        for piece, number in content["model"]["vocab"].items()
+        if piece not in special
+    }
+    return tiktoken.Encoding(path, pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
 
 def tokenized(
@@ -85,13 +84,16 @@ def tokenized(
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = word_ids(tokenizer_path, pattern)
-        width, end = int(words.kind[-1]), np.asarray([END], words.kind).tobytes()
+        encoding = encoder(tokenizer_path, pattern)
+        kind = "<u2" if encoding.max_token_value < 1 << 16 else "<u4"
         handed: dict[str, int] = {}
         for batch in batches:
             for part in sliced(batch, 500):
-                ids = [words.ids(text) + end for text in part["text"].to_pylist()]
-                tokens, before = [len(x) // width for x in ids], []
+                ids, tokens, before = [], [], []
+                for text in part["text"].to_pylist():
+                    found = encoding.encode_to_numpy(text, disallowed_special=())
+                    tokens.append(len(found) + 1)
+                    ids.append(np.append(found, END).astype(kind).tobytes())
                 for source, count in zip(part["source"].to_pylist(), tokens):
                     before.append(handed.get(source, 0))
                     handed[source] = before[-1] + count
@@ -147,29 +149,41 @@ class Rounds:
         grains = (rounds * self.weights + self.phases * PARTS) // (self.grain * PARTS)
         return np.minimum(grains * self.grain, self.tokens)
 
-    def pieces(self, start: int, tokens: int, queue: int) -> tuple[np.ndarray, ...]:
-        """Start in the document, length and place of the pieces of a document that is
-        at ``start`` of its queue."""
-        stop, grain, weight = start + tokens, self.grain, self.weights[queue]
-        grains = np.arange(start // grain, (stop - 1) // grain + 1, dtype=np.int64)
-        needed = ((grains + 1) * grain - self.phases[queue]) * PARTS
-        rounds = (needed + weight - 1) // weight - 1
-        new = np.concatenate([[True], rounds[1:] != rounds[:-1]])
-        begins = np.maximum(grains[new] * grain, start)
-        ends = np.concatenate([begins[1:], [stop]])
-        rounds = rounds[new]
-        now, then = self.handed(rounds), self.handed(rounds + 1)
-        place = now.sum(axis=1) + (then - now)[:, :queue].sum(axis=1) + begins - now[:, queue]
+    def pieces(
+        self, starts: np.ndarray, tokens: np.ndarray, queues: np.ndarray
+    ) -> tuple[np.ndarray, ...]:
+        """The pieces of documents that are at ``starts`` of their queues, in order: the
+        document's number, start in it, length and place."""
+        stops, first = starts + tokens, starts // self.grain
+        counts = (stops - 1) // self.grain - first + 1
+        doc = np.repeat(np.arange(len(starts)), counts)
+        grains = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts - first, counts)
+        queue = queues[doc]
+        needed = ((grains + 1) * self.grain - self.phases[queue]) * PARTS
+        rounds = (needed + self.weights[queue] - 1) // self.weights[queue] - 1
+        new = np.ones(len(doc), bool)
+        new[1:] = (rounds[1:] != rounds[:-1]) | (doc[1:] != doc[:-1])
+        doc, queue, rounds, grains = doc[new], queue[new], rounds[new], grains[new]
+        begins = np.maximum(grains * self.grain, starts[doc])
+        ends = np.empty_like(begins)
+        ends[:-1] = begins[1:]
+        last = np.ones(len(doc), bool)
+        last[:-1] = doc[1:] != doc[:-1]
+        ends[last] = stops[doc[last]]
+        now = self.handed(rounds)
+        gained = np.cumsum(self.handed(rounds + 1) - now, axis=1)
+        row = np.arange(len(doc))
+        earlier = np.where(queue > 0, gained[row, np.maximum(queue - 1, 0)], 0)
+        place = now.sum(axis=1) + earlier + begins - now[row, queue]
         # No piece is longer than a window, so it crosses one border at most.
         border = (place // self.window + 1) * self.window
-        over = place + (ends - begins) > border
-        parts = [
-            (begins, np.where(over, begins + border - place, ends), place),
-            ((begins + border - place)[over], ends[over], border[over]),
-        ]
-        begins, ends, place = map(np.concatenate, zip(*parts))
-        order = np.argsort(begins)
-        return (begins - start)[order], (ends - begins)[order], place[order]
+        cut = np.minimum(ends, begins + border - place)
+        over = cut < ends
+        parts = [(doc, begins, cut, place), (doc[over], cut[over], ends[over], border[over])]
+        doc, begins, ends, place = map(np.concatenate, zip(*parts))
+        order = np.lexsort((begins, doc))
+        doc, begins, ends, place = doc[order], begins[order], ends[order], place[order]
+        return doc, begins - starts[doc], ends - begins, place
 
 
 def pack(
@@ -239,30 +253,25 @@ def _cut(state: Rounds):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in sliced(batch, 200):
-                out: list[list] = [[], [], [], [], []]
-                for row, (queue, at, tokens, ids) in enumerate(
-                    zip(*(part[name].to_pylist() for name in ("queue", "at", "tokens", "ids")))
-                ):
-                    start, length, place = state.pieces(at, tokens, queue)
-                    wide = np.frombuffer(ids, f"<u{len(ids) // tokens}").astype("<u4").tobytes()
-                    out[0].append(np.full(len(start), row))
-                    out[1].append(start)
-                    out[2].append(length)
-                    out[3].append(place)
-                    out[4] += [
-                        wide[a * 4 : b * 4]
-                        for a, b in zip(start.tolist(), (start + length).tolist())
-                    ]
-                which, start, length, place = map(np.concatenate, out[:4])
+                at, tokens, queue = (
+                    part[name].to_numpy().astype(np.int64) for name in ("at", "tokens", "queue")
+                )
+                doc, start, length, place = state.pieces(at, tokens, queue)
+                # The pieces in order are the ids in order, so they share one buffer.
+                packed = b"".join(part["ids"].to_pylist())
+                ids = np.frombuffer(packed, f"<u{len(packed) // tokens.sum()}").astype("<u4")
+                ends = np.concatenate([[0], np.cumsum(length) * 4])
                 yield pa.RecordBatch.from_arrays(
                     [
-                        part["id"].take(pa.array(which)),
-                        pa.array(start, pa.int64()),
-                        pa.array(length, pa.int64()),
-                        pa.array(out[4], pa.binary()),
-                        part["tokens"].take(pa.array(which)),
-                        pa.array(place // state.window, pa.int64()),
-                        pa.array(place % state.window, pa.int64()),
+                        part["id"].take(pa.array(doc)),
+                        pa.array(start),
+                        pa.array(length),
+                        pa.LargeBinaryArray.from_buffers(
+                            pa.large_binary(), len(doc), [None, pa.py_buffer(ends), pa.py_buffer(ids)]
+                        ).cast(pa.binary()),
+                        pa.array(tokens[doc]),
+                        pa.array(place // state.window),
+                        pa.array(place % state.window),
                     ],
                     names=["id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"],
                 )
