@@ -1,15 +1,5 @@
 """Parameters of the registered reports."""
 
-# Weights in hundredths of a gram and making charges, per category.
-PRICING = {
-    "Economy": (200, 1200, 40_000, 180_000),
-    "Large": (800, 4000, 100_000, 500_000),
-    "Medium": (500, 2500, 80_000, 350_000),
-    "Promo": (100, 800, 30_000, 150_000),
-    "Small": (100, 1000, 30_000, 180_000),
-    "Standard": (800, 3500, 100_000, 450_000),
-}
 RANGE_FROM, RANGE_UNTIL = "1998-01-01 00:00:00", "1998-02-01 00:00:00"
-SPAN_FROM, SPAN_UNTIL = "1992-01-01", "2001-08-01"
 AS_OF = "2001-08-01"
 SELECTED_BRANCH = "Nation_3 Branch"

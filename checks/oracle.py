@@ -8,7 +8,9 @@ from __future__ import annotations
 
 import re
 
+from countinghouse.plans.customers import OTHER_SEGMENT, SEGMENT_RULES
 from countinghouse.schemas import TABLES
+from countinghouse.sources.star import thousandths
 
 
 def money(cents: str) -> str:
@@ -35,13 +37,6 @@ def growth(now: str, before: str) -> str:
     return percent(f"({now}) - ({before})", before)
 
 
-def half_even(value: str, unit: int) -> str:
-    """Number of ``unit`` steps nearest to a non-negative whole ``value``."""
-    q, r = f"(({value}) // {unit})", f"(({value}) % {unit})"
-    up = f"(2 * {r} > {unit} OR (2 * {r} = {unit} AND {q} % 2 = 1))"
-    return f"({q} + CASE WHEN {up} THEN 1 ELSE 0 END)"
-
-
 def words(text: str) -> str:
     parts = rf"regexp_extract_all(lower({text}), '[\p{{L}}\p{{N}}]+|[^\p{{L}}\p{{N}}]+')"
     return f"array_to_string(list_transform({parts}, lambda w: upper(w[1]) || w[2:]), '')"
@@ -54,6 +49,11 @@ def cents(column: str) -> str:
 CTES: dict[str, str] = {
     "n_supp": "SELECT count(*) AS n FROM supplier",
     "n_part": "SELECT count(*) AS n FROM part",
+    "parts": """
+        SELECT * FROM part
+        UNION ALL
+        SELECT * EXCLUDE (n) REPLACE (p_partkey + n AS p_partkey)
+        FROM part, n_part WHERE p_partkey % 40 = 7""",
     "raw_branches": """
         SELECT CAST(n_nationkey AS BIGINT) AS branch_id,
                '  ' || lower(n_name) || ' branch ' AS branch_name, ' ' || lower(r_name) AS city,
@@ -98,7 +98,7 @@ CTES: dict[str, str] = {
                {cents("p_retailprice")} * 30 AS cost_price,
                {cents("p_retailprice")} * 40 AS selling_price,
                p_partkey % (n - 1) AS supplier_id
-        FROM part, n_supp""",
+        FROM parts, n_supp""",
     "raw_sales": f"""
         SELECT o_orderkey AS sale_id,
                CASE WHEN o_orderkey % 7 <> 0 THEN o_custkey END AS customer_id,
@@ -114,15 +114,15 @@ CTES: dict[str, str] = {
         SELECT concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey) AS sale_item_id,
                l_orderkey AS sale_id, l_partkey AS product_id, CAST(l_quantity AS INT) AS quantity,
                {cents("l_extendedprice")} AS unit_price
-        FROM lineitem WHERE l_partkey % 40 <> 7""",
+        FROM lineitem""",
     "raw_inventory": """
-        SELECT n_nationkey * n + p_partkey + 1 AS inventory_id,
+        SELECT n_nationkey * 2 * n + p_partkey + 1 AS inventory_id,
                CAST(n_nationkey AS BIGINT) AS branch_id, p_partkey AS product_id,
                CAST((p_partkey * 7 + n_nationkey * 3) % 16 AS INT) AS stock_quantity,
                CAST(2 + (p_partkey + n_nationkey) % 4 AS INT) AS reorder_level,
                CAST(DATE '2001-07-01' + CAST((p_partkey + n_nationkey) % 31 AS INT) AS DATE)
                    AS last_updated
-        FROM nation, part, n_part""",
+        FROM parts JOIN nation ON (n_nationkey - p_partkey) % 5 = 0, n_part""",
     "spine": """
         SELECT CAST(d AS DATE) AS price_date, gold_type_id,
                date_diff('day', first, CAST(d AS DATE)) AS i
@@ -130,10 +130,10 @@ CTES: dict[str, str] = {
                   CAST(CAST(min(o_orderdate) AS DATE) AS TIMESTAMP),
                   CAST(CAST(max(o_orderdate) AS DATE) AS TIMESTAMP), INTERVAL 1 DAY)) AS d
               FROM orders), raw_gold_types""",
-    "raw_gold_prices": """
+    "raw_gold_prices": f"""
         SELECT price_date, gold_type_id,
                ((180000 + 20 * i + i * 7919 % 2000)
-                * [1000, 916, 750, 585][gold_type_id] + 50000) // 100000 * 10000 AS price_per_gram
+                * {thousandths()}[gold_type_id] + 50000) // 100000 * 10000 AS price_per_gram
         FROM spine""",
     "branches": f"""
         SELECT branch_id, {words("trim(branch_name)")} AS branch_name,
@@ -240,15 +240,10 @@ CTES: dict[str, str] = {
                ntile(5) OVER (ORDER BY n, customer_id) AS f,
                ntile(5) OVER (ORDER BY spent, customer_id) AS m
         FROM buyers, today""",
-    "segments": """
-        SELECT *, CASE WHEN least(r, f, m) >= 4 THEN 'Champions'
-                       WHEN r < 3 AND f > 2 THEN 'At Risk'
-                       WHEN r > 3 AND frequency = 1 THEN 'New Customers'
-                       WHEN f > 3 AND m > 2 THEN 'Loyal Customers'
-                       WHEN r > 3 AND f IN (2, 3) THEN 'Potential Loyalists'
-                       WHEN greatest(r, f) < 3 THEN 'Hibernating'
-                       ELSE 'Needs Attention' END AS customer_segment
-        FROM rfm""",
+    "segments": f"""
+        SELECT *, CASE {" ".join(f"WHEN {rule} THEN '{name}'" for name, rule in SEGMENT_RULES)}
+                       ELSE '{OTHER_SEGMENT}' END AS customer_segment
+        FROM (SELECT *, r AS recency_score, f AS frequency_score, m AS monetary_score FROM rfm)""",
     "stock": "SELECT product_id, CAST(sum(stock_quantity) AS BIGINT) AS stock"
     " FROM inventory GROUP BY product_id",
     "sold": """

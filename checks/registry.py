@@ -8,15 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from checks.fixed import (
-    AS_OF,
-    PRICING,
-    RANGE_FROM,
-    RANGE_UNTIL,
-    SELECTED_BRANCH,
-    SPAN_FROM,
-    SPAN_UNTIL,
-)
+from checks.fixed import AS_OF, RANGE_FROM, RANGE_UNTIL, SELECTED_BRANCH
 from countinghouse.functions.numbers import presentable
 from countinghouse.operators import cleaning, constraints, measures, quality
 from countinghouse.plans import (
@@ -278,19 +270,11 @@ def queries() -> dict[str, Query]:
         "dash_make_numeric": _make_numeric,
         "dash_first_present_column": _first_present,
         "gen_date_spine": generate.date_spine,
-        "gen_price_walk": generate.price_walk,
-        "gen_purity_price": generate.purity_price,
         "gen_average_price": generate.average_price,
-        "gen_product_pricing": lambda t: generate.product_pricing(t, PRICING),
         "gen_eligible_employees": generate.eligible_employees,
         "gen_earliest_employee": generate.earliest_employee,
         "gen_fallback_sale_day": generate.fallback_sale_day,
         "gen_eligible_customers": generate.eligible_customers,
-        "gen_branch_product_grid": generate.branch_product_grid,
-        "gen_weighted_choice": generate.payment_choice,
-        "gen_random_date": lambda t: generate.registration_dates(t, SPAN_FROM, SPAN_UNTIL),
-        "gen_sale_discount": generate.sale_discounts,
-        "gen_null_injection": generate.null_injection,
         **{f"clean_{name}": (lambda t, name=name: t[name]) for name in TABLES},
     }
     raw = {

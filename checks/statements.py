@@ -2,15 +2,8 @@
 
 from __future__ import annotations
 
-from checks.fixed import (
-    PRICING,
-    RANGE_FROM,
-    RANGE_UNTIL,
-    SELECTED_BRANCH,
-    SPAN_FROM,
-    SPAN_UNTIL,
-)
-from checks.oracle import growth, half_even, mean_money, money, percent, ratio, statement
+from checks.fixed import RANGE_FROM, RANGE_UNTIL, SELECTED_BRANCH
+from checks.oracle import growth, mean_money, money, percent, ratio, statement
 from countinghouse.schemas import TABLES
 
 BIG = "CAST({} AS BIGINT)".format
@@ -120,26 +113,6 @@ MONTH = f"""sales_month, n AS transaction_count, n_buyers AS registered_customer
     {mean_money("net", "n")} AS average_transaction_value"""
 
 
-def _pricing() -> str:
-    rows = ", ".join(f"('{c}', {a}, {b}, {x}, {y})" for c, (a, b, x, y) in PRICING.items())
-    cost = half_even("w * gold + charge * 6500", 1_000_000)
-    price = half_even("cost * 100 * (108 + product_id * 7919 % 18)", 10_000)
-    return f"""
-        SELECT product_id, category, {money("w")} AS weight_grams,
-               CAST(charge AS DOUBLE) AS making_charge, CAST(cost * 100 AS DOUBLE) AS cost_price,
-               CAST({price} * 100 AS DOUBLE) AS selling_price
-        FROM (SELECT *, {cost} AS cost
-              FROM (SELECT product_id, category, gold_type_id,
-                           w0 + (w1 - w0) * (product_id * 7919 % 1000) // 1000 AS w,
-                           c0 + (c1 - c0) * (product_id * 7919 % 1000) // 1000 AS charge
-                    FROM products JOIN (VALUES {rows}) AS s(category, w0, w1, c0, c1)
-                    USING (category))
-              JOIN (SELECT gold_type_id, (2 * sum(price_per_gram) + count(*)) // (2 * count(*))
-                           AS gold
-                    FROM gold_prices GROUP BY gold_type_id) USING (gold_type_id))
-        """
-
-
 def _before(parent: str, key: str, date: str) -> str:
     return f"""SELECT sale_id, {key}, sale_date, {date} FROM raw_sales
                JOIN (SELECT {key}, {date} FROM raw_{parent}) USING ({key})
@@ -257,19 +230,19 @@ def _statements() -> dict[str, str]:
         FROM raw_sales"""
     q["dq_duplicate_customers"] = """
         SELECT * FROM (SELECT customer_name, phone, count(*) AS duplicate_count
-                       FROM raw_customers GROUP BY ALL) WHERE duplicate_count >= 2"""
+                       FROM raw_customers GROUP BY ALL) WHERE duplicate_count > 1"""
     q["dq_duplicate_sale_items"] = """
         SELECT * FROM (SELECT sale_id, product_id, count(*) AS duplicate_count
-                       FROM raw_sale_items GROUP BY ALL) WHERE duplicate_count >= 2"""
+                       FROM raw_sale_items GROUP BY ALL) WHERE duplicate_count > 1"""
     q["dq_invalid_products"] = _all_columns(
         "products", "bad_products",
-        "WHERE least(weight_grams, cost_price, selling_price) <= 0 OR making_charge < 0",
+        "WHERE weight_grams <= 0 OR making_charge < 0 OR cost_price <= 0 OR selling_price <= 0",
     )
     q["dq_invalid_sale_items"] = _all_columns(
-        "sale_items", "bad_sale_items", "WHERE least(quantity, unit_price) <= 0"
+        "sale_items", "bad_sale_items", "WHERE quantity <= 0 OR unit_price <= 0"
     )
     q["dq_invalid_inventory"] = _all_columns(
-        "inventory", "bad_inventory", "WHERE least(stock_quantity, reorder_level) < 0"
+        "inventory", "bad_inventory", "WHERE stock_quantity < 0 OR reorder_level < 0"
     )
     q["dq_invalid_discounts"] = _all_columns("sales", "bad_sales", "WHERE discount_amount < 0")
     q["dq_invalid_gold_prices"] = _all_columns(
@@ -418,9 +391,10 @@ def _statements() -> dict[str, str]:
         FROM buyers JOIN named USING (customer_id), today WHERE {idle} > 180
         ORDER BY spent DESC, customer_id LIMIT 20"""
     q["cust_frequency_groups"] = """
-        SELECT CASE WHEN n > 10 THEN 'Frequent Customer' WHEN n > 5 THEN 'Regular Customer'
-                    WHEN n > 1 THEN 'Occasional Customer' ELSE 'One-time Customer' END
-                   AS customer_group, count(*) AS customer_count
+        SELECT CASE WHEN n = 1 THEN 'One-time Customer'
+                    WHEN n BETWEEN 2 AND 5 THEN 'Occasional Customer'
+                    WHEN n BETWEEN 6 AND 10 THEN 'Regular Customer'
+                    ELSE 'Frequent Customer' END AS customer_group, count(*) AS customer_count
         FROM (SELECT count(*) AS n FROM sales WHERE customer_id IS NOT NULL GROUP BY customer_id)
         GROUP BY 1"""
     q["cust_city_revenue"] = f"""
@@ -660,28 +634,14 @@ def _statements() -> dict[str, str]:
     # generator rules
     q["gen_date_spine"] = """
         SELECT price_date, i AS day_index, gold_type_id FROM spine"""
-    change = "(i * 7919 % 91 - 40) / 10000.0::DOUBLE"
-    q["gen_price_walk"] = f"""
-        SELECT price_date, gold_type_id,
-               round(180000 * exp(sum(ln(1 + {change})) OVER (
-                   PARTITION BY gold_type_id ORDER BY i ROWS UNBOUNDED PRECEDING)), 2) AS price_24k
-        FROM spine"""
-    scaled = "(180000 + 20 * i + i * 7919 % 2000) * [1000, 916, 750, 585][gold_type_id]"
-    q["gen_purity_price"] = f"""
-        SELECT price_date, gold_type_id,
-               CAST(100 * {half_even(scaled, 100_000)} AS DOUBLE) AS price_per_gram FROM spine"""
     q["gen_average_price"] = f"""
         SELECT gold_type_id, {mean_money("sum(price_per_gram)", "count(*)")} AS average_price
         FROM gold_prices GROUP BY gold_type_id"""
-    q["gen_product_pricing"] = _pricing()
     q["gen_eligible_employees"] = """
-        SELECT sale_id, eligible AS eligible_employees, employee_id AS chosen_employee
-        FROM (SELECT sale_id, heads.branch_id, count(h.employee_id) AS eligible
-              FROM heads LEFT JOIN hires AS h
-                   ON h.branch_id = heads.branch_id AND h.hire_date <= sold_on
-              GROUP BY ALL) AS x
-        LEFT JOIN (SELECT branch_id, no, employee_id FROM hires) AS y
-             ON y.branch_id = x.branch_id AND no = sale_id * 7919 % nullif(eligible, 0) + 1"""
+        SELECT sale_id, count(h.employee_id) AS eligible_employees
+        FROM heads LEFT JOIN hires AS h
+             ON h.branch_id = heads.branch_id AND h.hire_date <= sold_on
+        GROUP BY sale_id"""
     q["gen_earliest_employee"] = """
         SELECT branch_id, employee_id, hire_date FROM hires WHERE no = 1"""
     q["gen_fallback_sale_day"] = """
@@ -691,32 +651,6 @@ def _statements() -> dict[str, str]:
     q["gen_eligible_customers"] = """
         SELECT sale_id, (SELECT count(*) FROM customers WHERE registration_date <= sold_on)
                             AS eligible_customers FROM heads"""
-    q["gen_branch_product_grid"] = """
-        SELECT branch_id, product_id, reorder_level, stock_quantity FROM inventory"""
-    draw = "sale_id * 7919 % 100"
-    q["gen_weighted_choice"] = f"""
-        SELECT sale_id, CASE WHEN {draw} < 40 THEN 'Cash' WHEN {draw} < 60 THEN 'Card'
-                             WHEN {draw} < 75 THEN 'Bank Transfer' ELSE 'Mobile Payment' END
-                            AS payment_method FROM sales"""
-    q["gen_random_date"] = f"""
-        SELECT customer_id,
-               CAST(DATE '{SPAN_FROM}' + CAST(customer_id * 7919 % (
-                   date_diff('day', DATE '{SPAN_FROM}', DATE '{SPAN_UNTIL}') + 1) AS INT) AS DATE)
-                   AS registration_date FROM customers"""
-    q["gen_sale_discount"] = f"""
-        SELECT sale_id, {money("sub")} AS subtotal,
-               CASE WHEN sale_id % 20 < 7
-                    THEN CAST(100 * {half_even("sub * (1 + sale_id * 7919 % 8)", 1_000_000)}
-                              AS DOUBLE) ELSE 0 END AS discount_amount
-        FROM (SELECT sale_id, sum(quantity::HUGEINT * unit_price) AS sub
-              FROM sale_items GROUP BY sale_id)"""
-    q["gen_null_injection"] = """
-        SELECT 'customer' AS kind, customer_id AS id,
-               CASE WHEN customer_id * 7919 % 100 >= 5 THEN phone END AS phone,
-               CASE WHEN customer_id * 7919 % 100 >= 8 THEN city END AS city FROM customers
-        UNION ALL
-        SELECT 'supplier', supplier_id,
-               CASE WHEN supplier_id * 7919 % 100 >= 10 THEN phone END, city FROM suppliers"""
     # reports that write files and read them back
     q["io_csv_sink"] = q["clean_products"]
     q["io_cached_mart"] = q["v_monthly_sales_summary"]

@@ -74,19 +74,26 @@ def sale_source(tables: Tables) -> DataFrame:
     return tables.get(SALE_FACTS, tables["sales"])
 
 
-def sale_net_revenue(tables: Tables, *header: str, where: Column | None = None) -> DataFrame:
-    """One row per sale with gross and net revenue; products are not consulted."""
+def sale_net_revenue(
+    tables: Tables, *header: str, where: Column | None = None, months: Column | None = None
+) -> DataFrame:
+    """One row per sale with gross and net revenue; products are not consulted.
+
+    ``where`` chooses sales; then only their lines are summed. ``months`` narrows
+    lines that are stored by month.
+    """
     chosen = sale_source(tables)
     if where is not None:
         chosen = chosen.filter(where)
     if SALE_FACTS in tables:
         totals = _headers(chosen, header, "gross_revenue")
     else:
-        per_sale = (
-            tables["sale_items"]
-            .groupBy("sale_id")
-            .agg(F.sum(revenue()).alias("gross_revenue"))
-        )
+        lines = tables["sale_items"]
+        if months is not None and "sales_month" in lines.columns:
+            lines = lines.filter(months)
+        if where is not None:
+            lines = lines.join(chosen.select("sale_id"), "sale_id", "left_semi")
+        per_sale = lines.groupBy("sale_id").agg(F.sum(revenue()).alias("gross_revenue"))
         totals = per_sale.join(_headers(chosen, header), "sale_id")
     return totals.withColumn("net_revenue", F.col("gross_revenue") - F.col("discount_amount"))
 
@@ -127,69 +134,54 @@ def employee_net(tables: Tables) -> DataFrame:
     )
 
 
-HOT_SALE_LINES = 1_000_000
-
-
 def _share(discount: Column, revenue_: Column, gross: Column) -> Column:
     """Part of the discount in proportion to revenue; NULL if there is no revenue."""
     part = discount.cast("double") * revenue_.cast("double")
     return (part / F.nullif(gross.cast("double"), F.lit(0.0))).cast("decimal(30,12)")
 
 
-def discount_allocation(tables: Tables, hot_lines: int = HOT_SALE_LINES) -> DataFrame:
-    """Lines with their share of the header discount.
+def sale_products(tables: Tables, *product_columns: str) -> DataFrame:
+    """Per sale and product: units, revenue and profit before discount.
 
-    A sale with more than ``hot_lines`` lines is looked up in a broadcast table
-    and its lines are scattered over all tasks. That table has at most
-    ``lines / hot_lines`` rows, two million for two trillion lines; all other
-    sales take the shuffle join. A scattered key may happen to equal some sale,
-    which is harmless because the broadcast match is preferred.
+    Summed on the map side, so a sale has no more rows than there are products,
+    however many lines it has.
     """
-    lines = priced_lines(tables)
-    per_sale = lines.groupBy("sale_id").agg(
-        F.sum("line_revenue").alias("sale_gross"), F.count(F.lit(1)).alias("sale_lines")
-    )
-    totals = per_sale.join(_headers(tables["sales"], ()), "sale_id")
-    sale = F.struct("discount_amount", "sale_gross")
-    # both sides need the same columns of the totals, so their shuffles are shared
-    is_hot = F.col("sale_lines") > hot_lines
-    hot = totals.filter(is_hot).select("sale_id", sale.alias("hot"))
-    rest = totals.filter(~is_hot).select(F.col("sale_id").alias("key"), sale.alias("rest"))
-    scatter = F.xxhash64("product_id", "quantity", "line_revenue")
-    marked = lines.join(F.broadcast(hot), "sale_id", "left").withColumn(
-        "key", F.when(F.col("hot").isNull(), F.col("sale_id")).otherwise(scatter)
-    )
-    found = F.coalesce("hot", "rest")
-    return (
-        marked.join(rest, "key", "left")
-        .filter(found.isNotNull())
-        .select(
-            "sale_id", "product_id", "quantity", "line_revenue", "line_profit",
-            _share(found["discount_amount"], F.col("line_revenue"), found["sale_gross"]).alias(
-                "allocated_discount"
-            ),
-        )
+    return priced_lines(tables, *product_columns).groupBy(
+        "sale_id", "product_id", *product_columns
+    ).agg(
+        F.sum("quantity").alias("quantity"),
+        F.sum("line_revenue").alias("line_revenue"),
+        F.sum("line_profit").alias("line_profit"),
     )
 
 
-def category_allocation(tables: Tables) -> DataFrame:
-    """Per sale and category: units, revenue, profit and share of the discount.
+def _with_discount(parts: DataFrame, tables: Tables) -> DataFrame:
+    """Parts of sales with their share of the header discount.
 
-    Lines are summed per sale and category first, so the window over a sale
-    sees at most one row per category, however many lines the sale has.
+    The sales' totals are joined back by a plain join, whose skewed sales Spark
+    splits at run time; no window gathers a sale.
     """
+    whole = parts.groupBy("sale_id").agg(F.sum("line_revenue").alias("sale_gross"))
+    totals = whole.join(_headers(tables["sales"], ()), "sale_id")
+    share = _share(F.col("discount_amount"), F.col("line_revenue"), F.col("sale_gross"))
+    return parts.join(totals, "sale_id").withColumn("allocated_discount", share)
+
+
+def discount_allocation(tables: Tables) -> DataFrame:
+    """Per sale and product, with the share of the header discount."""
+    return _with_discount(sale_products(tables), tables).select(
+        "sale_id", "product_id", "quantity", "line_revenue", "line_profit", "allocated_discount"
+    )
+
+
+def category_allocation(tables: Tables) -> DataFrame:
+    """Per sale and category: units, revenue, profit and share of the discount."""
     parts = priced_lines(tables, "category").groupBy("sale_id", "category").agg(
         F.sum("quantity").alias("quantity"),
         F.sum("line_revenue").alias("line_revenue"),
         F.sum("line_profit").alias("line_profit"),
     )
-    whole = F.sum("line_revenue").over(Window.partitionBy("sale_id"))
-    share = _share(F.col("discount_amount"), F.col("line_revenue"), F.col("sale_gross"))
-    return (
-        parts.withColumn("sale_gross", whole)
-        .join(_headers(tables["sales"], ()), "sale_id")
-        .withColumn("allocated_discount", share)
-    )
+    return _with_discount(parts, tables)
 
 
 def reference_date(tables: Tables, plus_days: int = 0) -> DataFrame:
@@ -222,10 +214,6 @@ def change_percent(value: str, previous: str) -> Column:
 
 
 def share_of_total(df: DataFrame, count: str, name: str) -> DataFrame:
-    """Add each row's percent of the sum; ``df`` is already aggregated and small."""
-    whole = F.sum(count).over(Window.partitionBy())
-    return (
-        df.withColumn("_whole", whole)
-        .withColumn(name, percent(F.col(count), F.col("_whole")))
-        .drop("_whole")
-    )
+    """Add each row's percent of the sum, which is one row looked up by all."""
+    whole = df.agg(F.sum(count)).scalar()
+    return df.withColumn(name, percent(F.col(count), whole))

@@ -67,7 +67,7 @@ def duplicates(df: DataFrame, keys: Sequence[str]) -> DataFrame:
         df.groupBy(*keys)
         .agg(F.count(F.lit(1)).alias("duplicate_count"))
         .filter("duplicate_count > 1")
-        .orderBy(F.desc("duplicate_count"))
+        .orderBy(F.desc("duplicate_count"), *keys)
     )
 
 

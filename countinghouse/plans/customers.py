@@ -180,25 +180,28 @@ def rfm_scores(t: Tables, tiles: int = 5) -> DataFrame:
     )
 
 
+# The segments and their rules; the first rule that holds counts.
+SEGMENT_RULES = [
+    ("Champions", "recency_score >= 4 AND frequency_score >= 4 AND monetary_score >= 4"),
+    ("At Risk", "recency_score <= 2 AND frequency_score >= 3"),
+    ("New Customers", "recency_score >= 4 AND frequency = 1"),
+    ("Loyal Customers", "frequency_score >= 4 AND monetary_score >= 3"),
+    ("Potential Loyalists", "recency_score >= 4 AND frequency_score BETWEEN 2 AND 3"),
+    ("Hibernating", "recency_score <= 2 AND frequency_score <= 2"),
+]
+OTHER_SEGMENT = "Needs Attention"
+
+
 def segment() -> Column:
-    """The first matching rule wins."""
-    r, f, m = F.col("recency_score"), F.col("frequency_score"), F.col("monetary_score")
-    return (
-        F.when((r >= 4) & (f >= 4) & (m >= 4), "Champions")
-        .when((r <= 2) & (f >= 3), "At Risk")
-        .when((r >= 4) & (F.col("frequency") == 1), "New Customers")
-        .when((f >= 4) & (m >= 3), "Loyal Customers")
-        .when((r >= 4) & f.between(2, 3), "Potential Loyalists")
-        .when((r <= 2) & (f <= 2), "Hibernating")
-        .otherwise("Needs Attention")
-    )
+    rules = [F.when(F.expr(rule), name) for name, rule in SEGMENT_RULES]
+    return F.coalesce(*rules, F.lit(OTHER_SEGMENT))
 
 
 def rfm(t: Tables) -> DataFrame:
     return rfm_scores(t).join(_named(t), "customer_id").select(
         "customer_id", "customer_name", "city", "recency_days", "frequency",
         money(F.col("monetary")).alias("monetary_value"), *_SCORES,
-    ).orderBy(F.desc("monetary_score"), F.desc("frequency_score"), F.desc("recency_score"))
+    ).orderBy(F.desc("monetary_score"), F.desc("frequency_score"), F.desc("recency_score"), "customer_id")
 
 
 def rfm_segments(t: Tables) -> DataFrame:

@@ -65,9 +65,9 @@ def segment_counts(t: Tables) -> DataFrame:
 
 
 def customer_table(t: Tables) -> DataFrame:
-    return views.customer_summary(t).select(
+    return views.customer_summary(t).orderBy(F.desc("total_spent"), "customer_id").select(
         "customer_name", "city", "purchase_count", "total_spent", "average_transaction_value"
-    ).orderBy(F.desc("total_spent"))
+    )
 
 
 def top_products(t: Tables, top: int = TOP) -> DataFrame:

@@ -146,5 +146,5 @@ def supplier_products(t: Tables) -> DataFrame:
         t["suppliers"].select("supplier_id", "supplier_name")
         .join(supplied, "supplier_id", "left")
         .fillna(0, ["products_supplied"])
-        .orderBy(F.desc("products_supplied"))
+        .orderBy(F.desc("products_supplied"), "supplier_id")
     )

@@ -1,6 +1,5 @@
-"""Rules that shape a retail data set, as repeatable set operations.
+"""Rules that shape a retail data set, as set operations.
 
-What a sampling script decides by chance is decided here by the row's key.
 Look-ups by date go through running counts over calendar days, so no pair of
 sale and employee, or sale and customer, is ever formed.
 """
@@ -11,66 +10,22 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from countinghouse.functions.dates import day_of
-from countinghouse.functions.draws import (
-    STRIDE,
-    date_in_range,
-    null_share,
-    spread,
-    to_hundreds,
-    weighted_choice,
-)
-from countinghouse.functions.numbers import average, money, revenue
-from countinghouse.functions.ordering import with_running_total
+from countinghouse.functions.numbers import average
 from countinghouse.operators.measures import Tables
 
-# Purity of each gold type, and the price the walk starts from.
-PURITY = {1: "1.000", 2: "0.916", 3: "0.750", 4: "0.585"}
-START_PRICE = 180_000
-PAYMENT_WEIGHTS = {"Cash": 40, "Card": 20, "Bank Transfer": 15, "Mobile Payment": 25}
-MARKUP_FROM, MARKUP_STEPS = 108, 18  # percent, 1.08 to 1.25
-MAKING_SHARE = "0.65"
-DISCOUNTED_OF_20 = 7  # 35 %
-
 
 def date_spine(t: Tables) -> DataFrame:
     """Every day from the first to the last sale, for every gold type."""
-    kinds = t["gold_types"].agg(F.collect_list("gold_type_id")).scalar()
-    bounds = t["sales"].agg(
-        day_of(F.min("sale_date")).alias("first"), day_of(F.max("sale_date")).alias("last")
-    )
-    days = bounds.select("first", F.explode(F.sequence("first", "last")).alias("price_date"))
-    return days.select(
+    day = day_of(F.col("sale_date"))
+    first, last = (t["sales"].agg(f(day)).scalar() for f in (F.min, F.max))
+    return t["gold_types"].select(
+        "gold_type_id",
+        first.alias("first"),
+        F.explode(F.sequence(first, last)).alias("price_date"),
+    ).select(
         "price_date",
         F.datediff("price_date", "first").cast("long").alias("day_index"),
-        F.explode(kinds).alias("gold_type_id"),
-    )
-
-
-def price_walk(t: Tables) -> DataFrame:
-    """Daily prices compounded from the start price; one window per gold type's days."""
-    change = (F.pmod(F.col("day_index") * STRIDE, F.lit(91)) - 40) / F.lit(10000.0)
-    so_far = (
-        Window.partitionBy("gold_type_id")
-        .orderBy("day_index")
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    )
-    price = F.lit(float(START_PRICE)) * F.exp(F.sum(F.log1p(change)).over(so_far))
-    return date_spine(t).select(
-        "price_date", "gold_type_id", F.round(price, 2).alias("price_24k")
-    )
-
-
-def purity_price(t: Tables) -> DataFrame:
-    """The base price of each day, scaled by purity, to the nearest hundred."""
-    i = F.col("day_index")
-    base = F.lit(START_PRICE) + 20 * i + F.pmod(i * STRIDE, F.lit(2000))
-    purity = F.element_at(
-        F.create_map(*(x for k, v in PURITY.items() for x in (F.lit(k), F.lit(v)))),
-        F.col("gold_type_id").cast("int"),
-    ).cast("decimal(4,3)")
-    exact = base.cast("decimal(14,0)") * purity
-    return date_spine(t).select(
-        "price_date", "gold_type_id", to_hundreds(exact).cast("double").alias("price_per_gram")
+        "gold_type_id",
     )
 
 
@@ -81,64 +36,6 @@ def average_price(t: Tables) -> DataFrame:
     )
 
 
-def product_pricing(t: Tables, settings: dict[str, tuple[int, int, int, int]]) -> DataFrame:
-    """Weight and charge from the category's range, then cost and price.
-
-    ``settings`` gives, per category, the weights in hundredths of a gram and
-    the making charges between which a product's values lie.
-    """
-    columns = ["min_weight", "max_weight", "min_charge", "max_charge"]
-    lookup = F.create_map(
-        *(
-            x
-            for category, values in settings.items()
-            for x in (F.lit(category), F.struct(*(F.lit(v).alias(c) for v, c in zip(values, columns))))
-        )
-    )
-    place = spread(F.col("product_id"), 1000)
-    step = F.col("s.max_weight") - F.col("s.min_weight")
-    charge_step = F.col("s.max_charge") - F.col("s.min_charge")
-    gold = t["gold_prices"].groupBy("gold_type_id").agg(
-        (F.sum("price_per_gram") / F.count("price_per_gram")).cast("decimal(14,2)").alias("gold")
-    )
-    markup = (MARKUP_FROM + F.pmod(F.col("product_id") * STRIDE, F.lit(MARKUP_STEPS))).cast(
-        "decimal(3,0)"
-    )
-    return (
-        t["products"].select("product_id", "category", "gold_type_id")
-        .withColumn("s", F.element_at(lookup, F.col("category")))
-        .withColumn("place", place)
-        .withColumn(
-            "weight_grams",
-            ((F.col("s.min_weight") + F.call_function("div", step * F.col("place"), F.lit(1000)))
-             .cast("decimal(10,0)") * F.lit("0.01").cast("decimal(3,2)")).cast("decimal(10,2)"),
-        )
-        .withColumn(
-            "making_charge",
-            (F.col("s.min_charge")
-             + F.call_function("div", charge_step * F.col("place"), F.lit(1000)))
-            .cast("decimal(12,0)"),
-        )
-        .join(gold, "gold_type_id")
-        .withColumn(
-            "cost",
-            to_hundreds(
-                F.col("weight_grams") * F.col("gold")
-                + F.col("making_charge") * F.lit(MAKING_SHARE).cast("decimal(3,2)")
-            ).cast("decimal(14,0)"),
-        )
-        .select(
-            "product_id", "category",
-            money(F.col("weight_grams")).alias("weight_grams"),
-            money(F.col("making_charge")).alias("making_charge"),
-            money(F.col("cost")).alias("cost_price"),
-            money(to_hundreds(F.col("cost") * markup * F.lit("0.01").cast("decimal(3,2)"))).alias(
-                "selling_price"
-            ),
-        )
-    )
-
-
 def _as_of(days: DataFrame, wanted: DataFrame, day: str, value: str, *by: str) -> DataFrame:
     """For each wanted day, the latest ``value`` known on or before it.
 
@@ -172,34 +69,15 @@ def _sale_days(t: Tables) -> DataFrame:
 
 
 def eligible_employees(t: Tables) -> DataFrame:
-    """Per sale, how many of its branch's employees had been hired, and one of them.
-
-    Employees are numbered in order of hire, so those eligible on a day are the
-    first ones, and picking one is an equality join on branch and number.
-    """
-    staff = t["employees"].select(
-        "branch_id", "employee_id", F.col("hire_date").alias("sale_day"), F.lit(1).alias("one")
-    )
+    """Per sale, how many of its branch's employees had been hired by its day."""
+    staff = t["employees"].select("branch_id", F.col("hire_date").alias("sale_day"))
     sales = _sale_days(t)
-    asked = sales.select("branch_id", "sale_day").distinct()
     counts = _as_of(
         _running_days(staff, "sale_day", "eligible_employees", "branch_id"),
-        asked, "sale_day", "eligible_employees", "branch_id",
-    )
-    order = [F.asc("branch_id"), F.asc("sale_day"), F.asc("employee_id")]
-    placed = with_running_total(staff, order, "one", "place")
-    first = placed.groupBy("branch_id").agg(F.min("place").alias("first_place"))
-    numbered = placed.join(first, "branch_id").select(
-        "branch_id", "employee_id",
-        (F.col("place") - F.col("first_place") + 1).alias("number"),
-    )
-    eligible = F.nullif(F.col("eligible_employees"), F.lit(0))
-    return (
-        sales.join(counts, ["branch_id", "sale_day"])
-        .withColumn("number", F.pmod(F.col("sale_id") * STRIDE, eligible) + 1)
-        .join(numbered, ["branch_id", "number"], "left")
-        .select("sale_id", "eligible_employees", F.col("employee_id").alias("chosen_employee"))
+        sales.select("branch_id", "sale_day").distinct(),
+        "sale_day", "eligible_employees", "branch_id",
     )
+    return sales.join(counts, ["branch_id", "sale_day"]).select("sale_id", "eligible_employees")
 
 
 def earliest_employee(t: Tables) -> DataFrame:
@@ -230,62 +108,3 @@ def eligible_customers(t: Tables) -> DataFrame:
         sales.select("sale_day").distinct(), "sale_day", "eligible_customers",
     )
     return sales.join(counts, "sale_day").select("sale_id", "eligible_customers")
-
-
-def branch_product_grid(t: Tables) -> DataFrame:
-    """A stock row for every branch and product; the branch ids are one small array."""
-    branches = t["branches"].agg(F.collect_set("branch_id")).scalar()
-    key = F.col("product_id") + F.col("branch_id")
-    return t["products"].select("product_id", F.explode(branches).alias("branch_id")).select(
-        "branch_id", "product_id",
-        (2 + F.pmod(key, F.lit(4))).cast("int").alias("reorder_level"),
-        F.pmod(F.col("product_id") * 7 + F.col("branch_id") * 3, F.lit(16)).cast("int").alias(
-            "stock_quantity"
-        ),
-    )
-
-
-def payment_choice(t: Tables) -> DataFrame:
-    choice = weighted_choice(F.col("sale_id"), PAYMENT_WEIGHTS)
-    return t["sales"].select("sale_id", choice.alias("payment_method"))
-
-
-def registration_dates(t: Tables, first: str, last: str) -> DataFrame:
-    day = date_in_range(
-        F.col("customer_id"), F.lit(first).cast("date"), F.lit(last).cast("date")
-    )
-    return t["customers"].select("customer_id", day.alias("registration_date"))
-
-
-def sale_discounts(t: Tables) -> DataFrame:
-    """A discount of 1 to 8 percent of the subtotal, to hundreds, for 35 % of the sales."""
-    subtotal = F.col("subtotal")
-    rate = (1 + spread(F.col("sale_id"), 8)).cast("decimal(2,0)") * F.lit("0.01").cast(
-        "decimal(3,2)"
-    )
-    given = F.pmod("sale_id", F.lit(20)) < DISCOUNTED_OF_20
-    totals = t["sale_items"].groupBy("sale_id").agg(
-        F.sum(revenue()).cast("decimal(24,2)").alias("subtotal")
-    )
-    return totals.select(
-        "sale_id",
-        money(subtotal).alias("subtotal"),
-        F.when(given, money(to_hundreds(subtotal * rate))).otherwise(0.0).alias("discount_amount"),
-    )
-
-
-def null_injection(t: Tables) -> DataFrame:
-    """Contact details go missing for a fixed share of customers and suppliers."""
-    customers = t["customers"].select(
-        F.lit("customer").alias("kind"),
-        F.col("customer_id").alias("id"),
-        null_share(F.col("customer_id"), F.col("phone"), 5).alias("phone"),
-        null_share(F.col("customer_id"), F.col("city"), 8).alias("city"),
-    )
-    suppliers = t["suppliers"].select(
-        F.lit("supplier").alias("kind"),
-        F.col("supplier_id").alias("id"),
-        null_share(F.col("supplier_id"), F.col("phone"), 10).alias("phone"),
-        F.col("city"),
-    )
-    return customers.unionByName(suppliers)

@@ -101,7 +101,9 @@ def low_stock(t: Tables) -> DataFrame:
             "reorder_level",
             F.when(stock == 0, "Out of Stock").otherwise("Low Stock").alias("stock_status"),
         )
-        .orderBy(F.when(stock == 0, 1).otherwise(2), "branch_name", "stock_quantity")
+        .orderBy(
+            F.when(stock == 0, 1).otherwise(2), "branch_name", "stock_quantity", "product_id"
+        )
     )
 
 
@@ -140,7 +142,9 @@ def slow_moving(t: Tables) -> DataFrame:
             "last_sale_date", "days_since_last_sale", "total_stock_quantity",
             F.when(idle.isNull(), "Never Sold").otherwise("Slow Moving").alias("product_status"),
         )
-        .orderBy(F.asc_nulls_first("last_sale_date"), F.desc("total_stock_quantity"))
+        .orderBy(
+            F.asc_nulls_first("last_sale_date"), F.desc("total_stock_quantity"), "product_id"
+        )
     )
 
 
@@ -198,7 +202,7 @@ def overstock(t: Tables) -> DataFrame:
             .otherwise("Normal Stock")
             .alias("inventory_risk"),
         )
-        .orderBy("units_sold_last_90_days", F.desc("total_stock_quantity"))
+        .orderBy("units_sold_last_90_days", F.desc("total_stock_quantity"), "product_id")
     )
 
 
@@ -231,7 +235,7 @@ def supplier_performance(t: Tables) -> DataFrame:
             or_zero(F.col("stock")).alias("current_stock_units"),
             money(or_zero(F.col("cost"))).alias("inventory_cost_value"),
         )
-        .orderBy(F.desc("gross_revenue"))
+        .orderBy(F.desc("gross_revenue"), "supplier_id")
     )
 
 

@@ -105,7 +105,9 @@ def employee_performance(t: Tables) -> DataFrame:
 
 def employee_performance_detail(t: Tables) -> DataFrame:
     return (
-        employee_performance(t).drop("branch_id", "monthly_target").orderBy(F.desc("net_revenue"))
+        employee_performance(t).drop("branch_id", "monthly_target").orderBy(
+            F.desc("net_revenue"), "employee_id"
+        )
     )
 
 
@@ -123,7 +125,7 @@ def employee_rankings(t: Tables) -> DataFrame:
     return ranked.select(
         "employee_id", "employee_name", "job_title", "branch_name", "transaction_count",
         money(F.col("net")).alias("net_revenue"), "rank_within_branch", "overall_rank",
-    ).orderBy("overall_rank")
+    ).orderBy("overall_rank", "employee_id")
 
 
 def _employee_months(t: Tables) -> DataFrame:
@@ -142,7 +144,7 @@ def employee_monthly_target(t: Tables) -> DataFrame:
         money(net).alias("monthly_net_revenue"),
         percent(net, target).alias("target_achievement_percentage"),
         status.alias("target_status"),
-    ).orderBy("sales_month", F.desc_nulls_first("target_achievement_percentage"))
+    ).orderBy("sales_month", F.desc_nulls_first("target_achievement_percentage"), "employee_id")
 
 
 def employee_target_summary(t: Tables) -> DataFrame:
@@ -162,7 +164,7 @@ def employee_target_summary(t: Tables) -> DataFrame:
             ),
         )
         .withColumn("target_success_rate_percentage", percent(met, months))
-        .orderBy(F.desc("target_success_rate_percentage"))
+        .orderBy(F.desc("target_success_rate_percentage"), "employee_id")
     )
 
 

@@ -101,13 +101,13 @@ def top_products(t: Tables, top: int = TOP) -> DataFrame:
     best = (
         discount_allocation(t)
         .groupBy("product_id")
-        .agg(F.count_distinct("sale_id").alias("transaction_count"), *_after_discount())
+        .agg(_count(), *_after_discount())
         .drop("gross_revenue", "allocated_discounts")
         .orderBy(F.desc_nulls_first("net_revenue"), "product_id")
         .limit(top)
     )
     names = t["products"].select("product_id", "product_name", "category")
-    return names.join(F.broadcast(best), "product_id").orderBy(
+    return names.join(best, "product_id").orderBy(
         F.desc_nulls_first("net_revenue"), "product_id"
     )
 
@@ -148,8 +148,9 @@ def sales_in_range(t: Tables, first: str, until: str) -> DataFrame:
     moment = F.col("sale_date")
     start, end = F.lit(first).cast("timestamp_ntz"), F.lit(until).cast("timestamp_ntz")
     where = (moment >= start) & (moment < end)
+    months = F.col("sales_month").between(month_of(start), month_of(end))
     if "sales_month" in sale_source(t).columns:  # stored by month: read only those that overlap
-        where &= F.col("sales_month").between(month_of(start), month_of(end))
-    return sale_net_revenue(t, "sale_date", "branch_id", where=where).select(
+        where &= months
+    return sale_net_revenue(t, "sale_date", "branch_id", where=where, months=months).select(
         "sale_id", "sale_date", "branch_id", money(F.col("gross_revenue")).alias("gross_revenue")
     )

@@ -101,22 +101,25 @@ def write_layout(cleaned: Tables, root: str) -> Tables:
 
     Sales are partitioned by month, so a date range reads only its months. The
     shuffle is by ranges of time and sale, which spreads a busy month over many
-    tasks and still gives few files per month. Items are ranged and sorted by
-    sale, so file statistics narrow a look-up; a sale of any size is split.
+    tasks and still gives few files per month. Items lie under the month of their
+    sale, ranged and sorted by sale; a sale of any size is split.
     """
     spark = cleaned["sales"].sparkSession
     sales = cleaned["sales"].withColumn("sales_month", month_of(F.col("sale_date")))
     items = cleaned["sale_items"]
     stored_sales = _write_by_month(sales, f"{root}/sales")
+    # The month of a line is its sale's; a line without a sale is kept under no month.
+    dated = items.join(sales.select("sale_id", "sales_month"), "sale_id", "left")
     (
-        items.repartitionByRange("sale_id", "product_id")
+        dated.repartitionByRange("sales_month", "sale_id", "product_id")
         .sortWithinPartitions("sale_id")
         .write.mode("overwrite")
+        .partitionBy("sales_month")
         .parquet(f"{root}/sale_items")
     )
     return {
         "sales": stored_sales,
-        "sale_items": spark.read.schema(items.schema).parquet(f"{root}/sale_items"),
+        "sale_items": spark.read.schema(dated.schema).parquet(f"{root}/sale_items"),
     }
 
 

@@ -7,6 +7,8 @@ columns it needs from the Parquet files.
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,6 +39,15 @@ def read_given(spark: SparkSession, folder: str) -> Tables:
     }
 
 
+# Purity of 24, 22, 18 and 14 carat gold.
+PURITY = {1: "1.000", 2: "0.916", 3: "0.750", 4: "0.585"}
+
+
+def thousandths() -> list[int]:
+    """The purities in order of their gold types, as whole thousandths."""
+    return [int(Decimal(PURITY[kind]) * 1000) for kind in sorted(PURITY)]
+
+
 def _row_count(df: DataFrame) -> Column:
     return df.agg(F.count(F.lit(1))).scalar()
 
@@ -95,9 +106,18 @@ def _employees(given: Tables) -> DataFrame:
     )
 
 
+def _parts(given: Tables) -> DataFrame:
+    """The parts and, of every fortieth, a further article that was never sold."""
+    shift = _row_count(given["part"])
+    unsold = given["part"].filter("p_partkey % 40 = 7")
+    return given["part"].unionByName(
+        unsold.withColumn("p_partkey", F.col("p_partkey") + shift)
+    )
+
+
 def _products(given: Tables) -> DataFrame:
     sellers = _row_count(given["supplier"]) - 1
-    return given["part"].withColumn("supplier_id", F.col("p_partkey") % sellers).selectExpr(
+    return _parts(given).withColumn("supplier_id", F.col("p_partkey") % sellers).selectExpr(
         "p_partkey as product_id",
         "concat(' ', p_name, ' ') as product_name",
         "lower(p_type) as category",
@@ -128,7 +148,7 @@ def _sales(given: Tables) -> DataFrame:
 
 
 def _sale_items(given: Tables) -> DataFrame:
-    return given["lineitem"].filter("l_partkey % 40 <> 7").selectExpr(
+    return given["lineitem"].selectExpr(
         "concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey) as sale_item_id",
         "l_orderkey as sale_id",
         "l_partkey as product_id",
@@ -138,14 +158,14 @@ def _sale_items(given: Tables) -> DataFrame:
 
 
 def _inventory(given: Tables) -> DataFrame:
-    """One row per product and branch; the branch list is a single small array."""
-    branches = given["nation"].agg(F.collect_list(F.col("n_nationkey").cast("bigint"))).scalar()
-    grid = given["part"].select(
-        F.col("p_partkey").alias("p"), _row_count(given["part"]).alias("parts"),
-        F.explode(branches).alias("b"),
-    )
-    return grid.selectExpr(
-        "b * parts + p + 1 as inventory_id",
+    """Each product is kept in five branches, which follow from its key."""
+    kept = _parts(given).select(
+        F.col("p_partkey").alias("p"), (_row_count(given["part"]) * 2).alias("keys"),
+        F.expr("explode(sequence(0, 20, 5))").alias("step"),
+    ).withColumn("b", F.expr("(p + step) % 25"))
+    branches = given["nation"].select(F.col("n_nationkey").cast("bigint").alias("b"))
+    return kept.join(branches, "b").selectExpr(
+        "b * keys + p + 1 as inventory_id",
         "b as branch_id",
         "p as product_id",
         "cast((p * 7 + b * 3) % 16 as int) as stock_quantity",
@@ -154,23 +174,15 @@ def _inventory(given: Tables) -> DataFrame:
     )
 
 
-def day_spine(given: Tables) -> DataFrame:
-    """Every day from the first to the last order, with its index."""
-    bounds = given["orders"].agg(
-        F.min("o_orderdate").cast("date").alias("first"),
-        F.max("o_orderdate").cast("date").alias("last"),
-    )
-    days = bounds.select("first", F.explode(F.sequence("first", "last")).alias("price_date"))
-    return days.select("price_date", F.datediff("price_date", "first").cast("long").alias("i"))
-
-
 def _gold_prices(given: Tables) -> DataFrame:
-    kinds = _gold_types(given).agg(F.collect_list("gold_type_id")).scalar()
-    return day_spine(given).select(
-        "price_date", "i", F.explode(kinds).alias("gold_type_id")
-    ).withColumn(
-        # Purity in thousandths of 24, 22, 18 and 14 carat.
-        "m", F.expr("element_at(array(1000, 916, 750, 585), cast(gold_type_id as int))")
+    """A price for every gold type on every day from the first to the last order."""
+    day = F.col("o_orderdate").cast("date")
+    first, last = (given["orders"].agg(f(day)).scalar() for f in (F.min, F.max))
+    kinds = _gold_types(given).select("gold_type_id", first.alias("first"), last.alias("last"))
+    return kinds.select(
+        "gold_type_id", "first", F.explode(F.sequence("first", "last")).alias("price_date")
+    ).withColumn("i", F.datediff("price_date", "first").cast("long")).withColumn(
+        "m", F.element_at(F.lit(thousandths()), F.col("gold_type_id").cast("int"))
     ).withColumn("base", F.expr("180000 + 20 * i + i * 7919 % 2000")).selectExpr(
         "price_date",
         "gold_type_id",

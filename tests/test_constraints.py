@@ -71,13 +71,13 @@ def test_orphans_include_unknown_keys_only_where_required(spark, shop):
     ("report", "expected"),
     [
         (lambda t: quality.invalid_rows(t, "products"), 8),
-        (lambda t: quality.invalid_rows(t, "sale_items"), 187),
-        (lambda t: quality.invalid_rows(t, "inventory"), 200),
+        (lambda t: quality.invalid_rows(t, "sale_items"), 192),
+        (lambda t: quality.invalid_rows(t, "inventory"), 40),
         (lambda t: quality.invalid_rows(t, "sales"), 19),
         (lambda t: quality.invalid_rows(t, "gold_prices"), 7),
         (quality.orphan_sales_customer, 15),
         (quality.orphan_sales_employee, 16),
-        (quality.orphan_sale_items, 119),
+        (quality.orphan_sale_items, 123),
     ],
 )
 def test_known_numbers_of_violations(spark, report, expected):

@@ -10,7 +10,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from countinghouse.functions import dates, draws, numbers, text
+from countinghouse.functions import dates, numbers, text
 from countinghouse.functions.ordering import tile
 
 
@@ -121,30 +121,6 @@ def test_tile_formula_for_every_small_case(spark):
             assert sizes == [n // k + (i < n % k) for i in range(k)]
 
 
-def test_weighted_choice_keeps_its_shares(spark):
-    weights = {"a": 40, "b": 20, "c": 15, "d": 25}
-    counts = (
-        spark.range(10_000)
-        .groupBy(draws.weighted_choice(F.col("id"), weights).alias("choice"))
-        .count()
-    )
-    assert {r.choice: r["count"] for r in counts.collect()} == {k: v * 100 for k, v in weights.items()}
-
-
-def test_random_dates_stay_in_range(spark):
-    day = draws.date_in_range(
-        F.col("id"), F.lit("2024-01-01").cast("date"), F.lit("2024-01-03").cast("date")
-    )
-    found = spark.range(300).groupBy(day.cast("string").alias("d")).count().collect()
-    assert {r.d: r["count"] for r in found} == {f"2024-01-0{i}": 100 for i in (1, 2, 3)}
-
-
-def test_hundreds_round_half_to_even(spark):
-    frame = spark.createDataFrame([(Decimal(v),) for v in (150, 250, 251, 49)], "x decimal(10,2)")
-    found = frame.select(draws.to_hundreds(F.col("x")).cast("int")).collect()
-    assert [r[0] for r in found] == [200, 200, 300, 0]
-
-
 def test_sum_of_exact_amounts_rounds_like_decimal(spark):
     values = [Decimal("0.005"), Decimal("0.015")]
     frame = spark.createDataFrame([(v,) for v in values], "x decimal(10,3)")
