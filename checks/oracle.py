@@ -308,6 +308,10 @@ def _judged_ctes() -> dict[str, str]:
         reasons = [
             f"CASE WHEN {c} IS NULL THEN 'not_null:{c}' END" for c in spec.required
         ] + [f"CASE WHEN NOT ({p}) THEN 'check:{c}' END" for c, p in spec.checks.items()]
+        reasons += [
+            f"CASE WHEN length({c}) > {n} THEN 'type:{c}' END"
+            for c, n in spec.text_limits.items()
+        ]
         for key in (spec.key, *spec.unique):
             known = " AND ".join(f"{c} IS NOT NULL" for c in key)
             reasons.append(

@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from checks.fixed import AS_OF, RANGE_FROM, RANGE_UNTIL, SELECTED_BRANCH
+from checks.fixed import AS_OF, RANGE_FROM, RANGE_UNTIL, SELECTED_BRANCH, VIEW_TOTALS
 from countinghouse.functions.numbers import presentable
 from countinghouse.operators import cleaning, constraints, measures, quality
 from countinghouse.plans import (
@@ -34,12 +34,12 @@ _BUILDERS = {
     "bad": star.violating_tables,
     "clean": lambda given: cleaning.clean_all(star.raw_tables(given)),
 }
-_CACHE: dict[tuple[int, str, str], Tables] = {}
+_CACHE: dict[tuple[str, str, str], Tables] = {}
 
 
 def tables(spark: SparkSession, folder: str, layer: str) -> Tables:
     """The lazy frames of a layer; building them again for each query is wasted work."""
-    key = (id(spark._jsparkSession), folder, layer)
+    key = (spark.sparkContext.applicationId, folder, layer)
     if key not in _CACHE:
         _CACHE[key] = _BUILDERS[layer](star.read_given(spark, folder))
     return _CACHE[key]
@@ -99,14 +99,18 @@ def _csv_sink(spark: SparkSession, folder: str) -> DataFrame:
     return presentable(files.read_csv(spark, path, "products"))
 
 
-def _insert_ignore(t: Tables) -> DataFrame:
-    even = t["branches"].filter("branch_id % 2 = 0")
-    shouted = t["branches"].withColumn("branch_name", F.upper("branch_name"))
-    return files.insert_ignore(even, shouted.unionByName(shouted), "branch_id")
+def _insert_ignore(spark: SparkSession, folder: str) -> DataFrame:
+    branches = tables(spark, folder, "raw")["branches"]
+    path = fresh_path(spark, "branches")
+    branches.filter("branch_id % 2 = 0").write.parquet(path)
+    shouted = branches.withColumn("branch_name", F.upper("branch_name"))
+    return presentable(
+        files.insert_ignore_into(spark, path, shouted.unionByName(branches), "branch_id")
+    )
 
 
 def _create_layers(spark: SparkSession, folder: str) -> DataFrame:
-    """One table saved in each layer, counted through the catalog."""
+    """One table saved in each layer, and their rows read through the catalog."""
     root = fresh_path(spark, "layers")
     prefix = f"countinghouse_{root[-8:]}_"
     frames = {
@@ -114,42 +118,52 @@ def _create_layers(spark: SparkSession, folder: str) -> DataFrame:
         "cleaned": tables(spark, folder, "clean")["branches"],
         "analytics": people.branch_performance(tables(spark, folder, "clean")),
     }
-    counts = []
+    parts = []
     for layer, database in zip(files.LAYERS, files.create_layers(spark, root, prefix)):
         frames[layer].write.mode("overwrite").saveAsTable(f"{database}.branch_table")
-        rows = spark.table(f"{database}.branch_table").agg(F.count(F.lit(1)).alias("row_count"))
-        counts.append(rows.select(F.lit(layer).alias("layer"), "row_count"))
-    return reduce(DataFrame.unionByName, counts)
+        rows = spark.table(f"{database}.branch_table")
+        parts.append(rows.select(F.lit(layer).alias("layer"), "branch_id", "branch_name", "city"))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def _full_refresh(spark: SparkSession, folder: str) -> DataFrame:
-    stored = files.full_refresh(tables(spark, folder, "raw"), fresh_path(spark, "cleaned"))
-    return quality.row_counts(stored)
+    """The customers of a layer that was refreshed twice."""
+    raw, root = tables(spark, folder, "raw"), fresh_path(spark, "cleaned")
+    files.full_refresh({**raw, "customers": raw["customers"].filter("customer_id < 5")}, root)
+    files.full_refresh(raw, root)
+    return presentable(files.current_layer(spark, root)["customers"])
 
 
 def _views(spark: SparkSession, folder: str) -> DataFrame:
-    names = views.register_views(tables(spark, folder, "clean"), "countinghouse_")
-    counts = " union all ".join(
-        f"select '{name.removeprefix('countinghouse_')}' as view_name, count(*) as row_count"
-        f" from {name}"
-        for name in names
+    """A value of every view, read by SQL."""
+    clean, prefix = tables(spark, folder, "clean"), "countinghouse_"
+    text = " union all ".join(
+        f"select '{name}' as view_name, count(*) as row_count,"
+        f" cast(sum(cast({column} as decimal(38,2))) as double) as total from {prefix}{name}"
+        for name, column in VIEW_TOTALS.items()
     )
-    return spark.sql(counts)
+    return views.query(spark, text, clean, prefix)
 
 
 def _query_to_frame(spark: SparkSession, folder: str) -> DataFrame:
-    views.register_views(tables(spark, folder, "clean"), "countinghouse_")
-    return views.query(
+    """A report fetched with a bound on its rows, as a frame again."""
+    found = views.query(
         spark,
         "select city, count(*) as branches,"
         " cast(sum(cast(net_revenue as decimal(38,2))) as double) as net_revenue"
         " from countinghouse_branch_performance group by city",
+        tables(spark, folder, "clean"),
+        "countinghouse_",
     )
+    return spark.createDataFrame(views.fetch(found, 10_000), found.schema)
 
 
 def _cached_mart(spark: SparkSession, folder: str) -> DataFrame:
-    report = views.monthly_sales_summary(tables(spark, folder, "clean"))
-    return files.refresh_mart(report, fresh_path(spark, "mart"))
+    """The second reader gets what the first one stored."""
+    path = fresh_path(spark, "mart")
+    clean = tables(spark, folder, "clean")
+    files.cached_mart(spark, lambda: views.monthly_sales_summary(clean), path)
+    return files.cached_mart(spark, lambda: spark.range(0), path)
 
 
 def _layout(spark: SparkSession, folder: str) -> DataFrame:
@@ -278,7 +292,6 @@ def queries() -> dict[str, Query]:
         **{f"clean_{name}": (lambda t, name=name: t[name]) for name in TABLES},
     }
     raw = {
-        "io_insert_ignore": _insert_ignore,
         "k_default": _default,
         "dq_row_counts": quality.row_counts,
         "dq_missing_customers": quality.missing_customers,
@@ -313,6 +326,7 @@ def queries() -> dict[str, Query]:
         **{name: _on("clean", report) for name, report in clean.items()},
         **{name: _on("raw", report) for name, report in raw.items()},
         **{name: _on("bad", report) for name, report in bad.items()},
+        "io_insert_ignore": _insert_ignore,
         "io_csv_scan": _csv_scan,
         "io_csv_sink": _csv_sink,
         "io_create_layers": _create_layers,

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from checks.fixed import RANGE_FROM, RANGE_UNTIL, SELECTED_BRANCH
+from checks.fixed import RANGE_FROM, RANGE_UNTIL, SELECTED_BRANCH, VIEW_TOTALS
 from checks.oracle import growth, mean_money, money, percent, ratio, statement
 from countinghouse.schemas import TABLES
 
@@ -169,7 +169,11 @@ def _statements() -> dict[str, str]:
         UNION ALL SELECT branch_id, upper(branch_name), city, opening_date FROM raw_branches
         WHERE branch_id % 2 = 1"""
     q["io_views"] = _union(
-        [f"SELECT '{n}' AS view_name, count(*) AS row_count FROM ({v})" for n, v in views.items()]
+        [
+            f"SELECT '{n}' AS view_name, count(*) AS row_count,"
+            f" CAST(sum(CAST({VIEW_TOTALS[n]} AS DECIMAL(38,2))) AS DOUBLE) AS total FROM ({v})"
+            for n, v in views.items()
+        ]
     )
     q["io_query_to_frame"] = f"""
         SELECT city, count(*) AS branches, {money("sum(coalesce(net, 0))")} AS net_revenue
@@ -654,10 +658,10 @@ def _statements() -> dict[str, str]:
     # reports that write files and read them back
     q["io_csv_sink"] = q["clean_products"]
     q["io_cached_mart"] = q["v_monthly_sales_summary"]
-    q["io_full_refresh"] = q["dq_row_counts"]
+    q["io_full_refresh"] = q["clean_customers"]
     q["io_create_layers"] = _union(
         [
-            f"SELECT '{layer}' AS layer, count(*) AS row_count FROM {source}"
+            f"SELECT '{layer}' AS layer, branch_id, branch_name, city FROM {source}"
             for layer, source in
             {"raw": "raw_branches", "cleaned": "branches", "analytics": "branch_view"}.items()
         ]

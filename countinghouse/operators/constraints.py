@@ -7,16 +7,14 @@ counts its violations, ``enforce`` fails on the first broken rule, and
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable, Sequence
-from concurrent.futures import ThreadPoolExecutor
-from functools import partial, reduce
+from collections.abc import Iterable, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from countinghouse.operators.quality import lost_keys
 from countinghouse.schemas import TABLES, Table
-from countinghouse.session import stored
 
 Tables = dict[str, DataFrame]
 
@@ -122,20 +120,25 @@ def with_defaults(df: DataFrame, spec: Table) -> DataFrame:
     return df.withColumns(missing) if missing else df
 
 
+def _too_wide(df: DataFrame, spec: Table) -> dict[str, Column]:
+    """By column: text longer than declared, or a number the declared decimal can't hold."""
+    rules = {c: F.length(c) > n for c, n in spec.text_limits.items() if c in df.columns}
+    rules |= {
+        c: F.col(c).isNotNull() & F.col(c).try_cast(kind).isNull()
+        for c, kind in spec.columns.items()
+        if kind.startswith("decimal") and c in df.columns
+    }
+    return rules
+
+
 def type_limits(tables: Tables, declared: dict[str, Table] | None = None) -> DataFrame:
     """Text longer than declared, and numbers that do not fit the declared decimal."""
-    results = []
-    for name, df in tables.items():
-        spec = (declared or TABLES)[name]
-        rules = {c: F.length(c) > n for c, n in spec.text_limits.items() if c in df.columns}
-        rules |= {
-            c: F.col(c).isNotNull() & F.col(c).try_cast(kind).isNull()
-            for c, kind in spec.columns.items()
-            if kind.startswith("decimal") and c in df.columns
-        }
-        if rules:
-            results.append(_counted(df, name, "column_name", rules))
-    return _union(results)
+    limits = {n: _too_wide(df, (declared or TABLES)[n]) for n, df in tables.items()}
+    return _union(
+        _counted(tables[name], name, "column_name", rules)
+        for name, rules in limits.items()
+        if rules
+    )
 
 
 def not_future(branches: DataFrame, as_of: str) -> DataFrame:
@@ -143,10 +146,7 @@ def not_future(branches: DataFrame, as_of: str) -> DataFrame:
 
 
 def _flagged(df: DataFrame, keys: DataFrame, columns: Sequence[str], label: str) -> DataFrame:
-    """Append ``label`` to the reasons of the rows whose key is listed in ``keys``.
-
-    ``keys`` is a stored list of offending keys, broadcast when it is small.
-    """
+    """Append ``label`` to the reasons of the rows whose key is listed in ``keys``."""
     listed = keys.select(*columns, F.lit(label).alias("_label"))
     marked = df.join(listed, list(columns), "left")
     return marked.withColumn("reasons", F.array_append("reasons", F.col("_label"))).drop("_label")
@@ -158,79 +158,34 @@ def _rules(name: str, df: DataFrame) -> list[Column]:
     present = [c for c in spec.required if c in df.columns]
     reasons = [F.when(F.col(c).isNull(), F.lit(f"not_null:{c}")) for c in present]
     reasons += [F.when(_broken(p), F.lit(f"check:{c}")) for c, p in spec.checks.items()]
+    reasons += [F.when(wide, F.lit(f"type:{c}")) for c, wide in _too_wide(df, spec).items()]
     return reasons
 
 
-def judged(name: str, df: DataFrame, repeated: Tables, lost: Tables) -> DataFrame:
-    """``df`` with ``reasons``, an array that is empty for a valid row.
-
-    Every copy of a repeated key is rejected: no rule prefers one of them.
-    """
-    spec = TABLES[name]
-    out = df.withColumn("reasons", F.array(*_rules(name, df)))
-    for columns in (spec.key, *spec.unique):
-        label = ",".join(columns)
-        out = _flagged(out, repeated[f"{name}:{label}"], columns, f"unique:{label}")
-    for column in spec.parents:
-        out = _flagged(out, lost[f"{name}:{column}"], [column], f"foreign_key:{column}")
-    return out.withColumn("reasons", F.array_compact("reasons"))
-
-
-def _stored_together(jobs: dict[str, Callable[[], DataFrame]]) -> Tables:
-    """Run independent jobs side by side; each stores one list of keys."""
-    if not jobs:
-        return {}
-    with ThreadPoolExecutor(max_workers=8) as pool:
-        return dict(zip(jobs, pool.map(lambda job: job(), jobs.values())))
-
-
 def _judge_all(tables: Tables) -> Tables:
-    """Every table judged, parents first.
+    """Every table with ``reasons``, an array that is empty for a valid row.
 
-    A child of a rejected parent is rejected too, since its parent would be
-    absent from the cleaned layer. Only lists of keys are stored on the way:
-    repeated keys, keys without a parent, and the surviving keys of parents.
+    Every copy of a repeated key is rejected: no rule prefers one of them. A child of a
+    rejected parent is rejected too, since its parent would be absent from the cleaned
+    layer. All of it is one plan for each table; distinct keys only are compared.
     """
-    specs = {name: TABLES[name] for name in TABLES if name in tables}
-    parents = {parent for spec in specs.values() for parent in spec.parents.values()}
-    repeated = _stored_together(
-        {
-            f"{name}:{','.join(columns)}": partial(
-                lambda n, c: stored(_repeated(tables[n], c).select(*c), f"repeated-{n}"),
-                name, columns,
-            )
-            for name, spec in specs.items()
-            for columns in (spec.key, *spec.unique)
-        }
-    )
     results: Tables = {}
-    keys: Tables = {}
-    while len(results) < len(specs):
-        level = [
-            name
-            for name, spec in specs.items()
-            if name not in results and all(p in keys for p in spec.parents.values())
-        ]
-        lost = _stored_together(
-            {
-                f"{name}:{column}": partial(
-                    lambda n, c, p: lost_keys(tables[n], keys[p].toDF(c), c), name, column, parent
-                )
-                for name in level
-                for column, parent in specs[name].parents.items()
-            }
-        )
-        for name in level:
-            results[name] = judged(name, tables[name], repeated, lost)
-        kept = {
-            name: results[name].filter(F.size("reasons") == 0).select(*specs[name].key)
-            for name in level
-            if name in parents
-        }
-        keys |= _stored_together(
-            {name: partial(stored, df, f"valid-{name}") for name, df in kept.items()}
-        )
-    return {name: results[name] for name in specs}
+
+    def judged(name: str) -> DataFrame:
+        if name not in results:
+            df, spec = tables[name], TABLES[name]
+            out = df.withColumn("reasons", F.array(*_rules(name, df)))
+            for columns in (spec.key, *spec.unique):
+                label = f"unique:{','.join(columns)}"
+                out = _flagged(out, _repeated(df, columns), columns, label)
+            for column, parent in spec.parents.items():
+                kept = judged(parent).filter(F.size("reasons") == 0)
+                lost = lost_keys(df, kept.select(*TABLES[parent].key).toDF(column), column)
+                out = _flagged(out, lost, [column], f"foreign_key:{column}")
+            results[name] = out.withColumn("reasons", F.array_compact("reasons"))
+        return results[name]
+
+    return {name: judged(name) for name in TABLES if name in tables}
 
 
 def quarantine(tables: Tables) -> tuple[Tables, Tables]:
@@ -272,6 +227,7 @@ def enforce(tables: Tables) -> None:
             unique(tables).selectExpr(
                 "table_name", "key_columns as rule", "repeated_keys as violations"
             ),
+            type_limits(tables).selectExpr("table_name", "column_name as rule", "violations"),
         ]
     ).filter("violations > 0")
     broken = found.collect()  # at most one row per declared rule

@@ -9,7 +9,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from countinghouse.functions.dates import day_of
-from countinghouse.session import stored
 
 Tables = dict[str, DataFrame]
 
@@ -97,11 +96,10 @@ def lost_keys(child: DataFrame, parent: DataFrame, key: str) -> DataFrame:
     """Distinct known keys of ``child`` that have no parent.
 
     Only distinct keys are shuffled, so a key shared by very many rows weighs
-    no more than any other. The result is stored: when it is small, as it
-    should be, it is broadcast and the child rows never move.
+    no more than any other. When few are lost, as it should be, adaptive
+    execution broadcasts them.
     """
-    keys = child.select(key).dropna().distinct()
-    return stored(keys.join(parent.select(key), key, "left_anti"), f"lost-{key}")
+    return child.select(key).dropna().distinct().join(parent.select(key), key, "left_anti")
 
 
 def orphans(child: DataFrame, parent: DataFrame, key: str) -> DataFrame:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import re
+
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from countinghouse.functions.numbers import average, money
@@ -46,15 +48,25 @@ def customer_summary(t: Tables) -> DataFrame:
 
 
 def executive_summary(t: Tables) -> DataFrame:
-    totals = transaction_totals(t, "customer_id", "branch_id").agg(
+    """Summed by branch and customer first, so the distinct counts see few rows."""
+    sums = {
+        "total_units_sold": "units_sold",
+        "gross": "gross_revenue",
+        "discounts": "discount_amount",
+        "net": "net_revenue",
+        "profit": "estimated_net_profit",
+    }
+    pairs = transaction_totals(t, "customer_id", "branch_id").groupBy(
+        "customer_id", "branch_id"
+    ).agg(
         F.count(F.lit(1)).alias("total_transactions"),
+        *(F.sum(column).alias(name) for name, column in sums.items()),
+    )
+    totals = pairs.agg(
+        F.coalesce(F.sum("total_transactions"), F.lit(0)).alias("total_transactions"),
         F.count_distinct("customer_id").alias("registered_customers"),
         F.count_distinct("branch_id").alias("active_branches"),
-        F.sum("units_sold").alias("total_units_sold"),
-        F.sum("gross_revenue").alias("gross"),
-        F.sum("discount_amount").alias("discounts"),
-        F.sum("net_revenue").alias("net"),
-        F.sum("estimated_net_profit").alias("profit"),
+        *(F.sum(name).alias(name) for name in sums),
     )
     return totals.select(
         "total_transactions", "registered_customers", "active_branches", "total_units_sold",
@@ -78,15 +90,37 @@ VIEWS = {
 }
 
 
+#: Views whose frame stores intermediate data while it is built. They are built anew
+#: for each query that reads them, so that no reader sees an earlier load.
+BUILT_PER_QUERY = {"customer_segments"}
+
+
 def register_views(t: Tables, prefix: str = "") -> list[str]:
-    """Create the views in the session and return their names."""
+    """Create the lazy views in the session and return their names; runs no job.
+
+    Spark lists the files of a table when it is loaded: pass tables loaded anew, here or
+    to ``query``, to see what has been written since.
+    """
     names = []
     for name, build in VIEWS.items():
-        build(t).createOrReplaceTempView(prefix + name)
-        names.append(prefix + name)
+        if name not in BUILT_PER_QUERY:
+            build(t).createOrReplaceTempView(prefix + name)
+            names.append(prefix + name)
     return names
 
 
-def query(spark: SparkSession, text: str) -> DataFrame:
-    """SQL over the registered views; nothing is fetched until asked for."""
+def query(spark: SparkSession, text: str, t: Tables | None = None, prefix: str = "") -> DataFrame:
+    """SQL over the views. Given the tables, the views that ``text`` names are created
+    first, as they are now; nothing is fetched until asked for."""
+    for name, build in VIEWS.items() if t is not None else ():
+        if re.search(rf"\b{re.escape(prefix + name)}\b", text):
+            build(t).createOrReplaceTempView(prefix + name)
     return spark.sql(text)
+
+
+def fetch(df: DataFrame, most: int) -> list[Row]:
+    """The rows of ``df`` on the driver; fails if there are more than ``most``."""
+    rows = df.limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} rows")
+    return rows

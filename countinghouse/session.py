@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Scratch folders made by this process.
+_MADE: set[str] = set()
+
+
 def local_session(cpus: str = "8", **conf: str) -> SparkSession:
     """A single-machine session for tests and the benchmark."""
     builder = (
@@ -27,23 +30,27 @@ def local_session(cpus: str = "8", **conf: str) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor can read, named by ``spark.checkpoint.dir``.
+    """The session's scratch folder, below the folder that ``spark.checkpoint.dir`` names.
 
-    Only a local master may fall back to a temporary folder: on a cluster such
-    a folder would sit on one machine and vanish with it.
+    Where that is unset, the warehouse is used, which all executors share too; never a
+    folder of one machine. Spark deletes the scratch folder when the application ends.
     """
     context = spark.sparkContext
     configured = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get(
         "spark.checkpoint.dir"
     )
     if not configured:
-        if not context.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-        configured = tempfile.mkdtemp(prefix="run-", dir="/tmp")
-        spark.conf.set("spark.checkpoint.dir", configured)
+        configured = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/scratch"
+    scratch = f"{configured.rstrip('/')}/{context.applicationId}"
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(configured)
-    return configured.rstrip("/")
+    if scratch not in _MADE:
+        path = context._jvm.org.apache.hadoop.fs.Path(scratch)
+        files = path.getFileSystem(context._jsc.hadoopConfiguration())
+        files.mkdirs(path)
+        files.deleteOnExit(path)
+        _MADE.add(scratch)
+    return scratch
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Callable
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,6 +16,7 @@ from countinghouse.schemas import TABLES
 
 Tables = dict[str, DataFrame]
 LAYERS = ("raw", "cleaned", "analytics")
+MAX_AGE = 600.0
 
 # Doubled quotes, untouched blanks; an empty field, quoted or not, is NULL.
 _CSV = {
@@ -50,9 +55,21 @@ def load_folder(spark: SparkSession, folder: str, kind: str = "parquet") -> Tabl
 
 
 def insert_ignore(existing: DataFrame, new: DataFrame, key: str) -> DataFrame:
-    """``existing`` plus the new rows whose key it lacks; of equal new keys one stays."""
-    absent = new.join(existing.select(key), key, "left_anti").dropDuplicates([key])
-    return existing.unionByName(absent)
+    """``existing`` plus the new rows whose key it lacks; of equal new keys the smallest row."""
+    return existing.unionByName(_absent(existing, new.select(*existing.columns), key))
+
+
+def _absent(existing: DataFrame, new: DataFrame, key: str) -> DataFrame:
+    unknown = new.join(existing.select(key), key, "left_anti")
+    least = unknown.groupBy(key).agg(F.min(F.struct(*new.columns)).alias("row"))
+    return least.select("row.*")
+
+
+def insert_ignore_into(spark: SparkSession, path: str, new: DataFrame, key: str) -> DataFrame:
+    """Append the new rows whose key the stored table lacks, and read the table back."""
+    existing = spark.read.schema(new.schema).parquet(path)
+    _absent(existing, new, key).write.mode("append").parquet(path)
+    return spark.read.schema(new.schema).parquet(path)
 
 
 def create_layers(spark: SparkSession, root: str, prefix: str = "") -> list[str]:
@@ -64,20 +81,54 @@ def create_layers(spark: SparkSession, root: str, prefix: str = "") -> list[str]
 
 
 def full_refresh(raw: Tables, root: str) -> Tables:
-    """Rewrite every cleaned table from the raw one, and read it back."""
-    cleaned = {}
+    """Rewrite every cleaned table from the raw one, and read the new layer.
+
+    The tables go to a folder of their own; it is listed under ``versions`` only when all
+    of them are complete, so a reader sees the old layer or the new one, never a mixture,
+    and the raw tables may lie anywhere.
+    """
+    spark = next(iter(raw.values())).sparkSession
+    version = uuid.uuid4().hex
     for name, df in raw.items():
-        path = f"{root}/{name}"
-        rows = clean(name, df)
-        rows.write.mode("overwrite").parquet(path)
-        cleaned[name] = rows.sparkSession.read.schema(rows.schema).parquet(path)
-    return cleaned
+        clean(name, df).write.parquet(f"{root}/{version}/{name}")
+    listed = spark.range(1).select(
+        F.lit(version).alias("version"), F.current_timestamp().alias("at")
+    )
+    listed.write.mode("append").parquet(f"{root}/versions")
+    return current_layer(spark, root, list(raw))
 
 
-def refresh_mart(df: DataFrame, path: str) -> DataFrame:
-    """Store a report so that readers share one result until the next refresh."""
-    df.write.mode("overwrite").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def current_layer(spark: SparkSession, root: str, names: list[str] | None = None) -> Tables:
+    """The tables of the latest complete refresh."""
+    version = spark.read.parquet(f"{root}/versions").agg(F.max_by("version", "at")).first()[0]
+    return {
+        name: spark.read.schema(TABLES[name].schema).parquet(f"{root}/{version}/{name}")
+        for name in names or TABLES
+    }
+
+
+def cached_mart(
+    spark: SparkSession, build: Callable[[], DataFrame], path: str, max_age: float = MAX_AGE
+) -> DataFrame:
+    """A stored report, built anew if the stored one is older than ``max_age`` seconds.
+
+    Each result has a folder of its own, so readers of the last one are not disturbed.
+    """
+    age = F.current_timestamp().cast("double") - F.col("at").cast("double")
+    try:
+        kept = spark.read.parquet(f"{path}/stamps").filter(age <= max_age)
+        row = kept.agg(F.max_by("version", "at")).first()
+    except AnalysisException:  # no result has been stored yet
+        row = None
+    if row and row[0]:
+        return spark.read.parquet(f"{path}/{row[0]}")
+    version = uuid.uuid4().hex
+    build().write.parquet(f"{path}/{version}")
+    stamp = spark.range(1).select(
+        F.lit(version).alias("version"), F.current_timestamp().alias("at")
+    )
+    stamp.write.mode("append").parquet(f"{path}/stamps")
+    return spark.read.parquet(f"{path}/{version}")
 
 
 def _write_by_month(sales: DataFrame, path: str) -> DataFrame:

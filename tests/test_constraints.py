@@ -82,3 +82,13 @@ def test_orphans_include_unknown_keys_only_where_required(spark, shop):
 )
 def test_known_numbers_of_violations(spark, report, expected):
     assert report(tables(spark, FOLDER, "bad")).count() == expected
+
+
+def test_too_long_text_is_rejected(spark):
+    bad = tables(spark, FOLDER, "bad")
+    valid, rejected = constraints.quarantine(bad)
+    reasons = {x for r in rejected["customers"].select("reasons").collect() for x in r.reasons}
+    assert "type:phone" in reasons
+    assert valid["customers"].filter("length(phone) > 30").count() == 0
+    with pytest.raises(constraints.RuleViolation, match="customers.phone"):
+        constraints.enforce(bad)

@@ -3,6 +3,7 @@ from __future__ import annotations
 from decimal import Decimal
 
 import pytest
+from pyspark.sql import functions as F
 
 from checks.registry import tables
 from countinghouse.plans import advanced, customers, people, sales, views
@@ -62,11 +63,65 @@ def test_csv_round_trip_of_every_table(spark, shop):
 
 def test_full_refresh_replaces_the_layer(spark, shop):
     root = fresh_path(spark, "cleaned")
-    files.full_refresh(shop, root)
+    first = files.full_refresh(shop, root)
     files.full_refresh({**shop, "sales": shop["sales"].limit(2)}, root)
-    loaded = files.load_folder(spark, root)
+    loaded = files.current_layer(spark, root)
     assert loaded["sales"].count() == 2
     assert loaded["customers"].count() == 3
+    assert first["sales"].count() == 5  # a reader of the old layer is not disturbed
+
+
+def test_a_failed_refresh_leaves_the_layer(spark, shop):
+    root = fresh_path(spark, "cleaned")
+    files.full_refresh(shop, root)
+    broken = shop["sales"].withColumn("discount_amount", F.raise_error(F.lit("lost")))
+    with pytest.raises(Exception, match="lost"):
+        files.full_refresh({"branches": shop["branches"].limit(0), "sales": broken}, root)
+    assert files.current_layer(spark, root)["branches"].count() == 3
+
+
+def test_mart_is_shared_until_it_is_too_old(spark):
+    path, built = fresh_path(spark, "mart"), []
+
+    def build():
+        built.append(1)
+        return spark.range(len(built))
+
+    assert [files.cached_mart(spark, build, path).count() for _ in range(3)] == [1, 1, 1]
+    assert files.cached_mart(spark, build, path, max_age=-1).count() == 2
+    assert len(built) == 2
+
+
+def test_insert_ignore_stores(spark):
+    path = fresh_path(spark, "stored")
+    spark.createDataFrame([(1, "a")], "k int, v string").write.parquet(path)
+    new = spark.createDataFrame([(1, "x"), (2, "d"), (2, "c")], "k int, v string")
+    files.insert_ignore_into(spark, path, new, "k")
+    assert sorted(map(tuple, spark.read.parquet(path).collect())) == [(1, "a"), (2, "c")]
+
+
+def test_views_show_what_is_stored_now(spark, shop):
+    path = fresh_path(spark, "sales")
+    shop["sales"].filter("sale_id <= 103").write.parquet(path)
+
+    def loaded():
+        return {**shop, "sales": spark.read.schema(shop["sales"].schema).parquet(path)}
+
+    assert "now_customer_segments" not in views.register_views(loaded(), "now_")
+    text = "select sum(transaction_count) from now_monthly_sales_summary"
+    segments = "select count(*) from now_customer_segments"
+    assert spark.sql(text).first()[0] == 3
+    assert views.query(spark, segments, loaded(), "now_").first()[0] == 2
+    later = shop["sales"].filter("sale_id = 105").withColumn("customer_id", F.lit(3))
+    later.select(*shop["sales"].columns).write.mode("append").parquet(path)
+    assert views.query(spark, text, loaded(), "now_").first()[0] == 4
+    assert views.query(spark, segments, loaded(), "now_").first()[0] == 3
+
+
+def test_fetch_is_bounded(spark):
+    assert len(views.fetch(spark.range(3), 3)) == 3
+    with pytest.raises(ValueError, match="more than 2"):
+        views.fetch(spark.range(3), 2)
 
 
 def test_insert_ignore_keeps_the_stored_row(spark):
@@ -133,5 +188,6 @@ def test_bucketed_facts_join_without_a_shuffle(spark):
 
 
 def test_shared_folder_comes_from_the_session(spark):
-    assert shared_dir(spark) == spark.conf.get("spark.checkpoint.dir")
+    folder = spark.conf.get("spark.checkpoint.dir")
+    assert shared_dir(spark) == f"{folder}/{spark.sparkContext.applicationId}"
     assert fresh_path(spark, "x") != fresh_path(spark, "x")

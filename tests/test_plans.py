@@ -10,30 +10,91 @@ from checks.registry import queries
 from tests.conftest import FOLDER
 
 
+#: Queries whose feature is to write files, and ones that place rows in a stored order.
+WRITES = {"io_csv_scan", "io_csv_sink", "io_insert_ignore", "io_create_layers", "io_full_refresh",
+          "io_views", "io_query_to_frame", "io_cached_mart", "x_layout"}
+STORES_ORDER = {"cust_rfm_scores", "cust_rfm_segments", "v_customer_segments",
+                "dash_segment_counts", "dash_first_present_column", "employee_rankings",
+                "adv_product_rank", "adv_pareto"}
+
+
 def plan_of(spark, name: str) -> str:
     return queries()[name](spark, FOLDER)._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize(
-    "name",
-    ["cust_rfm_scores", "cust_rfm_segments", "v_customer_segments", "employee_rankings",
-     "adv_product_rank", "adv_pareto"],
-)
-def test_no_single_task_window_over_rows(spark, name):
+@pytest.fixture
+def stored_plans(monkeypatch):
+    """The plans of what is stored or checkpointed while a query is built."""
+    from countinghouse import session
+    from countinghouse.functions import ordering
+    from countinghouse.plans import people
+
+    seen = []
+
+    def watched(step):
+        def run(df, *rest):
+            seen.append(df._jdf.queryExecution().executedPlan().toString())
+            return step(df, *rest)
+
+        return run
+
+    for module in (session, ordering, people):
+        for name in ("stored", "checkpointed"):
+            if hasattr(module, name):
+                monkeypatch.setattr(module, name, watched(getattr(session, name)))
+    return seen
+
+
+def windows_without_key(plan: str) -> list[str]:
+    lines = [x for x in plan.splitlines() if re.search(r"\bWindow \[", x)]
+    return [x for x in lines if not re.search(r"\)\) AS \S+\], \[\w", x)]
+
+
+@pytest.mark.parametrize("name", sorted(STORES_ORDER))
+def test_no_single_task_window_over_rows(spark, stored_plans, name):
     """Windows without a partition key run over one row per partition or per segment."""
-    for line in plan_of(spark, name).splitlines():
-        if re.search(r"\bWindow \[", line) and not re.search(r"\)\) AS \S+\], \[\w", line):
+    plans = [plan_of(spark, name), *stored_plans]
+    assert len(plans) > 1
+    for plan in plans:
+        for line in windows_without_key(plan):
             assert "_amount" in line or "sum(customer_count" in line, line
 
 
 @pytest.mark.parametrize("name", list(queries()))
-def test_no_cross_join_and_no_row_by_row_python(spark, name):
-    if name.startswith("io_") or name in ("x_layout", "clean_quarantine"):
-        pytest.skip("runs jobs while it is built")
+def test_no_cross_join_and_no_row_by_row_python(spark, stored_plans, name):
     plan = plan_of(spark, name)
-    assert "CartesianProduct" not in plan
-    assert "BroadcastNestedLoopJoin" not in plan
-    assert "PythonUDF" not in plan and "EvalPython" not in plan
+    assert bool(stored_plans) == (name in STORES_ORDER or name == "io_views")
+    for text in (plan, *stored_plans):
+        assert "CartesianProduct" not in text
+        assert "BroadcastNestedLoopJoin" not in text
+        assert "PythonUDF" not in text and "EvalPython" not in text
+
+
+@pytest.mark.parametrize("name", sorted(set(queries()) - WRITES - STORES_ORDER))
+def test_building_a_report_runs_no_job(spark, name):
+    context = spark.sparkContext
+    context.setJobGroup(f"building-{name}", name)
+    try:
+        queries()[name](spark, FOLDER)
+        assert not context.statusTracker().getJobIdsForGroup(f"building-{name}")
+    finally:
+        context.setJobGroup("tests", "tests")
+
+
+#: Reports with a row for each entity, and the key that ends their order.
+TOTAL_ORDER = {
+    "dq_duplicate_sale_items": "product_id", "dq_duplicate_customers": "phone",
+    "cust_rfm_scores": "customer_id", "dash_customer_table": "customer_id",
+    "prod_slow_moving": "product_id", "inv_overstock": "product_id", "inv_low_stock": "product_id",
+    "employee_rankings": "employee_id", "employee_target_summary": "employee_id",
+    "supplier_performance": "supplier_id", "eda_supplier_products": "supplier_id",
+}
+
+
+@pytest.mark.parametrize("name", sorted(TOTAL_ORDER))
+def test_sorts_of_entities_can_be_split(spark, name):
+    sorts = re.findall(r"Exchange rangepartitioning\((.*?), \d+\)", plan_of(spark, name))
+    assert sorts and all(TOTAL_ORDER[name] in x.split(",")[-1] for x in sorts), sorts
 
 
 def test_only_needed_columns_are_read(spark):
