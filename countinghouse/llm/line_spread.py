@@ -116,8 +116,9 @@ def remove_spread_lines(
         lambda line: ~(_has_content(line) & F.array_contains(F.col("b.spread"), line_key(line))),
     )
     changed = F.col("b.spread").isNotNull()
+    # The list grows with the documents, so it is never broadcast, at no size.
     joined = docs.alias("d").join(
-        boilerplate.alias("b"),
+        boilerplate.alias("b").hint("merge"),
         F.col(f"d.`{id_col}`").eqNullSafe(F.col("b.id"))
         & (F.xxhash64(given) == F.col("b.digest")),
         "left",

@@ -9,8 +9,8 @@ into windows, so each window has the target proportions but for a grain of each
 as long as its queues last, and an empty queue leaves its room to the others.
 
 The state after any round follows from the round's number (``Rounds.handed``). So no
-task waits for another: a document knows its place in its queue from per-partition sums, and from that its
-rounds, windows and offsets, in whatever partition it lies.
+task waits for another: a document knows its place in its queue from per-partition sums,
+and from that its rounds, windows and offsets, in whatever partition it lies.
 
 Defined results: a null or empty text is one end token; a null source shares the queue
 of the empty name; repeated rows are packed each; an empty table gives no pieces;

@@ -53,13 +53,14 @@ def fingerprint(text: bytes, words: int) -> int:
     width = min(words, len(found))
     hashed = xxhash.xxh64_intdigest
     counts = np.zeros(BITS, np.int64)
-    spans = list(zip(starts[: len(starts) - width + 1].tolist(), ends[width - 1 :].tolist()))
-    for at in range(0, len(spans), COUNTED):
-        part = spans[at : at + COUNTED]
-        hashes = np.fromiter((hashed(joined[a:b], SEED) for a, b in part), ">u8", len(part))
+    total = len(found) - width + 1
+    for at in range(0, total, COUNTED):
+        stop = min(total, at + COUNTED)
+        spans = zip(starts[at:stop].tolist(), ends[at + width - 1 : stop + width - 1].tolist())
+        hashes = np.fromiter((hashed(joined[a:b], SEED) for a, b in spans), ">u8", stop - at)
         bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1)
         counts += bits.sum(axis=0, dtype=np.int64)
-    packed = np.packbits(counts * 2 > len(spans))
+    packed = np.packbits(counts * 2 > total)
     return int(packed.view(">i8")[0])
 
 
@@ -277,12 +278,13 @@ def one_of_each(
     )
     match = F.col(f"given.{id_col}").eqNullSafe(F.col("chosen.chosen_id"))
 
-    def rows(where: str) -> DataFrame:
-        return docs.alias("given").join(
-            chosen.filter(where).alias("chosen"), match, "left_semi"
-        )
+    def rows(ids: DataFrame) -> DataFrame:
+        return docs.alias("given").join(ids.alias("chosen"), match, "left_semi")
 
-    repeated = rows("rows > 1")
+    # Ids of their own grow with the documents and are never broadcast, at no size.
+    # Repeated ids are stored apart: where there are few, the documents needn't move again.
+    own = rows(chosen.filter("rows = 1").hint("merge"))
+    repeated = rows(stored(chosen.filter("rows > 1"), "repeated-ids"))
     marked = repeated.mapInArrow(
         _with_fingerprint(words, docs.columns.index(text_col)),
         T.StructType([*docs.schema.fields, T.StructField("_mark", T.LongType())]),
@@ -298,7 +300,7 @@ def one_of_each(
         .filter("_place = 1")
         .select(*(f"`{name}`" for name in docs.columns))
     )
-    return rows("rows = 1").unionByName(first)
+    return own.unionByName(first)
 
 
 def _with_fingerprint(words: int, column: int):
