@@ -166,6 +166,27 @@ def _cached_mart(spark: SparkSession, folder: str) -> DataFrame:
     return files.cached_mart(spark, lambda: spark.range(0), path)
 
 
+def _on_facts(report: Callable[[Tables], DataFrame]) -> Query:
+    """A sale report on facts that are stored first; the time of a run includes storing them."""
+
+    def run(spark: SparkSession, folder: str) -> DataFrame:
+        path = fresh_path(spark, "facts")
+        facts = files.with_sale_facts(tables(spark, folder, "clean"), path)
+        return presentable(report(facts))
+
+    return run
+
+
+def _bucketed(spark: SparkSession, folder: str) -> DataFrame:
+    """Net revenue of each sale, joined from bucketed tables without a shuffle."""
+    root = fresh_path(spark, "bucketed")
+    clean = tables(spark, folder, "clean")
+    (database, *_) = files.create_layers(spark, root, f"countinghouse_{root[-8:]}_")
+    stored = files.write_bucketed(clean, root, database, 8)
+    net = measures.sale_net_revenue({**clean, **stored})
+    return presentable(net.select("sale_id", "net_revenue"))
+
+
 def _layout(spark: SparkSession, folder: str) -> DataFrame:
     """A date range read from the partitioned files."""
     stored = files.write_layout(tables(spark, folder, "clean"), fresh_path(spark, "layout"))
@@ -335,4 +356,10 @@ def queries() -> dict[str, Query]:
         "io_query_to_frame": _query_to_frame,
         "io_cached_mart": _cached_mart,
         "x_layout": _layout,
+        "facts_executive_summary": _on_facts(views.executive_summary),
+        "facts_sales_monthly": _on_facts(sales.monthly),
+        "facts_sales_in_range": _on_facts(
+            lambda t: sales.sales_in_range(t, RANGE_FROM, RANGE_UNTIL)
+        ),
+        "facts_bucketed_net_revenue": _bucketed,
     }

@@ -667,6 +667,10 @@ def _statements() -> dict[str, str]:
         ]
     )
     q["x_layout"] = q["x_sales_in_range"]
+    q["facts_executive_summary"] = q["v_executive_summary"]
+    q["facts_sales_monthly"] = q["sales_monthly"]
+    q["facts_sales_in_range"] = q["x_sales_in_range"]
+    q["facts_bucketed_net_revenue"] = q["m_sale_net_revenue"]
     return q
 
 

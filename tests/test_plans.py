@@ -12,7 +12,9 @@ from tests.conftest import FOLDER
 
 #: Queries whose feature is to write files, and ones that place rows in a stored order.
 WRITES = {"io_csv_scan", "io_csv_sink", "io_insert_ignore", "io_create_layers", "io_full_refresh",
-          "io_views", "io_query_to_frame", "io_cached_mart", "x_layout"}
+          "io_views", "io_query_to_frame", "io_cached_mart", "x_layout",
+          "facts_executive_summary", "facts_sales_monthly", "facts_sales_in_range",
+          "facts_bucketed_net_revenue"}
 STORES_ORDER = {"cust_rfm_scores", "cust_rfm_segments", "v_customer_segments",
                 "dash_segment_counts", "dash_first_present_column", "employee_rankings",
                 "adv_product_rank", "adv_pareto"}
