@@ -25,6 +25,14 @@ def bytes_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return texts_of(docs, id_col, text_col).withColumn("text", F.col("text").cast("binary"))
 
 
+def unused(columns: list[str], name: str) -> str:
+    """``name``, longer by as many underscores as it takes to be none of ``columns``."""
+    taken = {column.lower() for column in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def list_array(parts: list[np.ndarray], kind: pa.DataType) -> pa.ListArray:
     """One list for each numpy array."""
     ends = np.cumsum([0, *(len(part) for part in parts)], dtype=np.int64)

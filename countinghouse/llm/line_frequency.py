@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from countinghouse.llm.arrow import list_array, sliced
+from countinghouse.llm.arrow import list_array, sliced, unused
 from countinghouse.session import stored
 
 MIN_WORDS = 50
@@ -232,7 +232,8 @@ def apply(
         & (digest == F.col("p.digest")),
     )
     return joined.select(
-        *(F.col(f"d.`{name}`") for name in docs.columns), F.col("p.removed")
+        *(F.col(f"d.`{name}`") for name in docs.columns),
+        F.col("p.removed").alias(unused(docs.columns, "removed")),
     ).mapInArrow(
         _without(len(docs.columns), docs.columns.index(text_col)), docs.schema
     )

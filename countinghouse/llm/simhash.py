@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from countinghouse.llm.arrow import bytes_of, sliced
+from countinghouse.llm.arrow import bytes_of, sliced, unused
 from countinghouse.llm.components import components
 from countinghouse.session import stored
 
@@ -285,32 +285,35 @@ def one_of_each(
     # Repeated ids are stored apart: where there are few, the documents needn't move again.
     own = rows(chosen.filter("rows = 1").hint("merge"))
     repeated = rows(stored(chosen.filter("rows > 1"), "repeated-ids"))
+    mark, named, component, least, place = (
+        unused(docs.columns, name) for name in ("mark", "named", "component", "least", "place")
+    )
     marked = repeated.mapInArrow(
-        _with_fingerprint(words, docs.columns.index(text_col)),
-        T.StructType([*docs.schema.fields, T.StructField("_mark", T.LongType())]),
+        _with_fingerprint(words, docs.columns.index(text_col), mark),
+        T.StructType([*docs.schema.fields, T.StructField(mark, T.LongType())]),
     )
-    names = found.groupBy(F.col("fingerprint").alias("_named")).agg(
-        F.first("component").alias("_component"), F.min("component_id").alias("_least")
+    names = found.groupBy(F.col("fingerprint").alias(named)).agg(
+        F.first("component").alias(component), F.min("component_id").alias(least)
     )
-    order = Window.partitionBy("_component").orderBy(text_col, F.xxhash64(*docs.columns))
+    order = Window.partitionBy(component).orderBy(text_col, F.xxhash64(*docs.columns))
     first = (
-        marked.join(names, F.col("_mark") == F.col("_named"))
-        .filter(F.col(id_col).eqNullSafe(F.col("_least")))
-        .withColumn("_place", F.row_number().over(order))
-        .filter("_place = 1")
+        marked.join(names, F.col(mark) == F.col(named))
+        .filter(F.col(id_col).eqNullSafe(F.col(least)))
+        .withColumn(place, F.row_number().over(order))
+        .filter(F.col(place) == 1)
         .select(*(f"`{name}`" for name in docs.columns))
     )
     return own.unionByName(first)
 
 
-def _with_fingerprint(words: int, column: int):
+def _with_fingerprint(words: int, column: int, name: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             marks = [
                 fingerprint((text.as_py() or "").encode(), words) for text in batch.column(column)
             ]
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(marks, pa.int64())], names=[*batch.schema.names, "_mark"]
+                [*batch.columns, pa.array(marks, pa.int64())], names=[*batch.schema.names, name]
             )
 
     return run

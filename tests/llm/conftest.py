@@ -25,7 +25,11 @@ SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint
 def awkward(spark):
     """Awkward rows, with further columns named like those the operators work with."""
     docs = spark.createDataFrame(ROWS, SCHEMA)
-    for name in ("id", "ids", "row", "line", "host", "digest", "spans", "fingerprint", "label"):
+    for name in (
+        "id", "ids", "row", "rows", "line", "lines", "host", "site", "digest", "spans", "spread",
+        "fingerprint", "component", "component_id", "chosen_id", "mark", "place", "removed", "kept",
+        "label", "score", "at", "queue", "start", "length", "sentence", "normal",
+    ):
         docs = docs.withColumn(name, F.lit(1))
     return docs
 
