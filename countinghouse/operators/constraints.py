@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from countinghouse.operators.quality import lost_keys
 from countinghouse.schemas import TABLES, Table
+from countinghouse.session import stored
 
 Tables = dict[str, DataFrame]
 
@@ -162,30 +163,53 @@ def _rules(name: str, df: DataFrame) -> list[Column]:
     return reasons
 
 
+def _judged(name: str, df: DataFrame, parents: Tables) -> DataFrame:
+    """``df`` with ``reasons``, an array that is empty for a valid row.
+
+    ``parents`` holds the valid keys of the parent tables. Distinct keys only are compared.
+    """
+    spec = TABLES[name]
+    out = df.withColumn("reasons", F.array(*_rules(name, df)))
+    for columns in (spec.key, *spec.unique):
+        label = f"unique:{','.join(columns)}"
+        out = _flagged(out, _repeated(df, columns), columns, label)
+    for column, parent in spec.parents.items():
+        lost = lost_keys(df, parents[parent].toDF(column), column)
+        out = _flagged(out, lost, [column], f"foreign_key:{column}")
+    return out.withColumn("reasons", F.array_compact("reasons"))
+
+
 def _judge_all(tables: Tables) -> Tables:
-    """Every table with ``reasons``, an array that is empty for a valid row.
+    """Every table judged, parents first.
 
     Every copy of a repeated key is rejected: no rule prefers one of them. A child of a
     rejected parent is rejected too, since its parent would be absent from the cleaned
-    layer. All of it is one plan for each table; distinct keys only are compared.
+    layer. One plan for each level of parents finds and stores their valid keys, so that
+    no table is judged again for each of its descendants.
     """
+    specs = {name: TABLES[name] for name in TABLES if name in tables}
+    asked = {parent for spec in specs.values() for parent in spec.parents.values()}
     results: Tables = {}
-
-    def judged(name: str) -> DataFrame:
-        if name not in results:
-            df, spec = tables[name], TABLES[name]
-            out = df.withColumn("reasons", F.array(*_rules(name, df)))
-            for columns in (spec.key, *spec.unique):
-                label = f"unique:{','.join(columns)}"
-                out = _flagged(out, _repeated(df, columns), columns, label)
-            for column, parent in spec.parents.items():
-                kept = judged(parent).filter(F.size("reasons") == 0)
-                lost = lost_keys(df, kept.select(*TABLES[parent].key).toDF(column), column)
-                out = _flagged(out, lost, [column], f"foreign_key:{column}")
-            results[name] = out.withColumn("reasons", F.array_compact("reasons"))
-        return results[name]
-
-    return {name: judged(name) for name in TABLES if name in tables}
+    keys: Tables = {}
+    while len(results) < len(specs):
+        level = [
+            name
+            for name, spec in specs.items()
+            if name not in results and all(parent in keys for parent in spec.parents.values())
+        ]
+        results |= {name: _judged(name, tables[name], keys) for name in level}
+        if wanted := [name for name in level if name in asked]:
+            valid = stored(
+                _union(
+                    results[name]
+                    .filter(F.size("reasons") == 0)
+                    .select(F.lit(name).alias("table_name"), F.col(specs[name].key[0]).alias("key"))
+                    for name in wanted
+                ),
+                "valid-keys",
+            )
+            keys |= {n: valid.filter(F.col("table_name") == n).select("key") for n in wanted}
+    return {name: results[name] for name in specs}
 
 
 def quarantine(tables: Tables) -> tuple[Tables, Tables]:

@@ -10,14 +10,14 @@ from checks.registry import queries
 from tests.conftest import FOLDER
 
 
-#: Queries whose feature is to write files, and ones that place rows in a stored order.
+#: Queries whose feature is to write files, and ones that store an order or valid keys.
 WRITES = {"io_csv_scan", "io_csv_sink", "io_insert_ignore", "io_create_layers", "io_full_refresh",
           "io_views", "io_query_to_frame", "io_cached_mart", "x_layout",
           "facts_executive_summary", "facts_sales_monthly", "facts_sales_in_range",
           "facts_bucketed_net_revenue"}
-STORES_ORDER = {"cust_rfm_scores", "cust_rfm_segments", "v_customer_segments",
-                "dash_segment_counts", "dash_first_present_column", "employee_rankings",
-                "adv_product_rank", "adv_pareto"}
+STORES = {"cust_rfm_scores", "cust_rfm_segments", "v_customer_segments",
+          "dash_segment_counts", "dash_first_present_column", "employee_rankings",
+          "adv_product_rank", "adv_pareto", "clean_quarantine"}
 
 
 def plan_of(spark, name: str) -> str:
@@ -29,6 +29,7 @@ def stored_plans(monkeypatch):
     """The plans of what is stored or checkpointed while a query is built."""
     from countinghouse import session
     from countinghouse.functions import ordering
+    from countinghouse.operators import constraints
     from countinghouse.plans import people
 
     seen = []
@@ -40,7 +41,7 @@ def stored_plans(monkeypatch):
 
         return run
 
-    for module in (session, ordering, people):
+    for module in (session, ordering, constraints, people):
         for name in ("stored", "checkpointed"):
             if hasattr(module, name):
                 monkeypatch.setattr(module, name, watched(getattr(session, name)))
@@ -52,7 +53,7 @@ def windows_without_key(plan: str) -> list[str]:
     return [x for x in lines if not re.search(r"\)\) AS \S+\], \[\w", x)]
 
 
-@pytest.mark.parametrize("name", sorted(STORES_ORDER))
+@pytest.mark.parametrize("name", sorted(STORES))
 def test_no_single_task_window_over_rows(spark, stored_plans, name):
     """Windows without a partition key run over one row per partition or per segment."""
     plans = [plan_of(spark, name), *stored_plans]
@@ -65,14 +66,14 @@ def test_no_single_task_window_over_rows(spark, stored_plans, name):
 @pytest.mark.parametrize("name", list(queries()))
 def test_no_cross_join_and_no_row_by_row_python(spark, stored_plans, name):
     plan = plan_of(spark, name)
-    assert bool(stored_plans) == (name in STORES_ORDER or name == "io_views")
+    assert bool(stored_plans) == (name in STORES or name == "io_views")
     for text in (plan, *stored_plans):
         assert "CartesianProduct" not in text
         assert "BroadcastNestedLoopJoin" not in text
         assert "PythonUDF" not in text and "EvalPython" not in text
 
 
-@pytest.mark.parametrize("name", sorted(set(queries()) - WRITES - STORES_ORDER))
+@pytest.mark.parametrize("name", sorted(set(queries()) - WRITES - STORES))
 def test_building_a_report_runs_no_job(spark, name):
     context = spark.sparkContext
     context.setJobGroup(f"building-{name}", name)
