@@ -81,7 +81,10 @@ RULES = [
     (("mit-title", "mit-grant", "mit-condition"), "MIT"),
     (("mit-grant", "mit-condition", "mit-disclaimer"), "MIT"),
     (("mit-grant", "mit-condition"), "MIT"),
-    (("apache-2-notice", "apache-2-compliance", "apache-2-copy", "apache-2-disclaimer"), "Apache-2.0"),
+    (
+        ("apache-2-notice", "apache-2-compliance", "apache-2-copy", "apache-2-disclaimer"),
+        "Apache-2.0",
+    ),
     (("apache-2-notice", "apache-2-compliance"), "Apache-2.0"),
     (("gpl-3-later-grant", "gnu-disclaimer"), "GPL-3.0-or-later"),
     (("gpl-2-later-grant", "gnu-disclaimer"), "GPL-2.0-or-later"),

@@ -221,7 +221,9 @@ def apply(
     found = verdicts(docs, id_col=id_col, text_col=text_col, host_col=host_col, **limits)
     # Equal rows have one verdict, so the documents are looked up by what decides it.
     passed = stored(
-        found.filter("kept").groupBy("id", "host", "digest").agg(F.first("removed").alias("removed")),
+        found.filter("kept")
+        .groupBy("id", "host", "digest")
+        .agg(F.first("removed").alias("removed")),
         "passed",
     )
     digest = F.xxhash64(F.coalesce(F.col(f"d.`{text_col}`"), F.lit("")))

@@ -267,7 +267,9 @@ def _cut(state: Rounds):
                         pa.array(start),
                         pa.array(length),
                         pa.LargeBinaryArray.from_buffers(
-                            pa.large_binary(), len(doc), [None, pa.py_buffer(ends), pa.py_buffer(ids)]
+                            pa.large_binary(),
+                            len(doc),
+                            [None, pa.py_buffer(ends), pa.py_buffer(ids)],
                         ).cast(pa.binary()),
                         pa.array(tokens[doc]),
                         pa.array(place // state.window),

@@ -8,7 +8,18 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from countinghouse.llm import bpe, html_template, licenses, line_frequency, line_spread, nbsvm, packing, pii, simhash, topk
+from countinghouse.llm import (
+    bpe,
+    html_template,
+    licenses,
+    line_frequency,
+    line_spread,
+    nbsvm,
+    packing,
+    pii,
+    simhash,
+    topk,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 

@@ -175,7 +175,10 @@ def links(marks: DataFrame, distance: int) -> DataFrame:
         members.groupBy("slot", "part", "label")
         .agg(F.count(F.lit(1)).alias("size"))
         .groupBy("slot", "part")
-        .agg(F.count(F.lit(1)).alias("kinds"), F.max_by("label", F.struct("size", "label")).alias("top"))
+        .agg(
+            F.count(F.lit(1)).alias("kinds"),
+            F.max_by("label", F.struct("size", "label")).alias("top"),
+        )
         .filter("kinds > 1")
         .drop("kinds"),
         "mixed-places",
