@@ -59,11 +59,16 @@ BARRIERS = set("ul ol dl table article main section body html".split())
 #: Words of a class, id or role that name something other than the article.
 OTHER = set(
     "ad ads adsense advert adverts advertisement advertising sponsor sponsored promo promotion"
-    " cookie cookies consent gdpr notice notices alert banner popup modal newsletter subscribe"
-    " sidebar complementary widget menu nav navbar navigation breadcrumb breadcrumbs masthead"
-    " footer contentinfo comment comments disqus replies respond share sharing social related"
-    " recommended login signup search pagination pager toolbar".split()
+    " cookie cookies consent gdpr notice notices comment comments disqus sidebar navbar"
+    " breadcrumb breadcrumbs masthead contentinfo".split()
 )
+#: Words that do so for a box, though a paragraph may be about the thing.
+OTHER_BOX = OTHER | set(
+    "alert banner popup modal newsletter subscribe complementary widget menu nav navigation"
+    " footer replies respond share sharing social related recommended login signup search"
+    " pagination pager toolbar".split()
+)
+PARAGRAPHS = HEADINGS | set("p blockquote pre li dt dd figure figcaption table tr".split())
 #: Words that turn another in the same class name into a remark on the layout.
 LAYOUT = {"no", "with", "without", "has"}
 #: How far an element is from being text of the article.
@@ -169,7 +174,7 @@ class Page:
         elif (name == "main" or "role" in rest and "main" in words) and inside < 1:
             inside = 1
         if name not in ("html", "body", "main"):
-            if name in NEVER_TEXT or words & OTHER:
+            if name in NEVER_TEXT or words & (OTHER if name in PARAGRAPHS else OTHER_BOX):
                 barred = OTHERWISE
             elif name == "header" or "header" in words:
                 barred = max(barred, HEADER)

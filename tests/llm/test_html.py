@@ -23,6 +23,8 @@ def text_of(html):
 
 def test_article_without_the_rest():
     assert text_of(PAGE) == "Title & more\n\nOne two link.\n\nThree ’q z\n\na\n\nb\n\n1 2"
+    box = "<article><{0} class='market-share'>x</{0}><p class='notice'>y</p><p>z</p></article>"
+    assert [text_of(box.format(name)) for name in ("p", "div")] == ["x\n\nz", "z"]
     assert text_of("<div><p>a<p>b <b>x</b>y</div> c < 5 <p class='x") == "a\n\nb xy\n\nc < 5"
     assert [text_of(x) for x in ("", "<", "plain", "<p>" * 3, "<script>x")] == ["", "<", "plain", "", ""]
 
