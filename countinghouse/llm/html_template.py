@@ -1,19 +1,22 @@
 """Main text of web pages, with the removal of site templates.
 
 Each page is parsed once: its blocks of text, the elements around each block, and a
-hash of every element's subtree (names, classes, texts, in order). Spark counts on how
-many pages of a host each subtree is found. A page's text is its article without
+hash of every element's subtree (names, classes, texts, in order). Spark counts in how
+many articles of a host each subtree is found. A page's text is its article without
 what names itself as something else (menus, headers, footers, sidebars, notices,
 adverts, forms, comments, scripts), and without subtrees that recur across the host.
 
-In a page with an ``article`` or ``main`` element, only containers in it (``div``,
-``section`` and the like, never paragraphs) can be template, if they recur on over half
-of the host's pages: a text that many pages share is a copy, not a template. In other
-pages any subtree can be, from ``MIN_PAGES`` pages and a tenth of the host on.
+Any subtree can be template, in an article or not. Two counts tell it from a passage that
+was copied: it is in ``MIN_PAGES`` articles of the host, or, if it is a paragraph or the
+like of an article, in ``MIN_PAGES_OF_TEXT``; and in ``MIN_FIXED`` of these it has one
+place, which is the names of the elements around it and its number among its siblings,
+from the first or from the last. It goes at that place only. Neither bound grows with the host. Pages with one own
+heading (one that their title holds) are copies of one article and count once, and so do
+pages of one text without such a heading. An own heading is never template.
 
 Defined results: a null or empty page has an empty text; a null address is a host of
-its own; repeated rows count as pages each and are returned each; an empty table gives
-an empty result; further columns are left out.
+its own; repeated rows count once and are returned each; an empty table gives an empty
+result; further columns are left out.
 """
 
 from __future__ import annotations
@@ -22,6 +25,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from html import unescape
+from zlib import crc32
 
 import pyarrow as pa
 import xxhash
@@ -32,8 +36,8 @@ from countinghouse.llm.arrow import sliced
 from countinghouse.session import stored
 
 MIN_PAGES = 10
-MIN_SHARE = 0.1
-MIN_SHARE_IN_ARTICLE = 0.5
+MIN_PAGES_OF_TEXT = 21
+MIN_FIXED = 0.8
 
 # Element names of HTML by their role.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
@@ -86,22 +90,30 @@ _WORD = re.compile(r"[a-z]+|[A-Z]+(?![a-z])|[A-Z][a-z]+")
 class Element:
     """An open element while its page is read."""
 
-    __slots__ = ("barred", "contents", "inside", "name", "named", "number")
+    __slots__ = ("barred", "children", "contents", "inside", "name", "named", "number", "path")
 
-    def __init__(self, name: str, named: str, number: int, inside: int, barred: int):
+    def __init__(
+        self, name: str, named: str, number: int, inside: int, barred: int, path: int = 0
+    ):
         self.name, self.named, self.number = name, named, number
         self.inside = inside  # 2: of an article, 1: of a main element, 0: neither
         self.barred = barred
+        self.path = path  # of the names from the article on
         self.contents: list[bytes] = []
+        self.children: list[int] = []
 
 
 class Page:
-    """The blocks of a page and the hashes of its subtrees."""
+    """The blocks of a page and the hashes and places of its subtrees."""
 
     def __init__(self, html: str):
         #: (text, inside, numbers of the elements that may be template) of each block
         self.blocks: list[tuple[str, int, tuple[int, ...]]] = []
         self.hashes: dict[int, int] = {}
+        #: (place from the first sibling, from the last, whether it is text of an article)
+        self.places: dict[int, tuple[int, int, bool]] = {}
+        self.title = ""
+        self.headings: dict[int, str] = {}
         self.open = [Element("html", "", 0, 0, TEXT)]
         self.names: Counter[str] = Counter()
         self.parts: list[str] = []
@@ -129,6 +141,8 @@ class Page:
             if name in RAW:
                 close = re.compile(rf"</{re.escape(name)}(?=[\s/>]|\Z)", re.I).search(html, at)
                 at = close.start() if close else end
+                if name == "title" and not self.title:
+                    self.title = " ".join(unescape(html[token.end() : at]).split())
         self._flush()
         while self.open:
             self._close()
@@ -147,10 +161,10 @@ class Page:
             return
         inside = top.inside
         under = tuple(
-            x.number
-            for x in self.open
-            if x.name not in WHOLE and (not inside or (x.inside == inside and x.name in CONTAINERS))
+            x.number for x in self.open if x.name not in WHOLE and (not inside or x.inside == inside)
         )
+        if top.name in HEADINGS:
+            self.headings[len(self.blocks)] = text
         self.blocks.append((text, inside, under))
 
     def _start(self, name: str, rest: str) -> None:
@@ -182,7 +196,8 @@ class Page:
                 barred = TEXT  # the article's own heading
         self.count += 1
         self.names[name] += 1
-        self.open.append(Element(name, named, self.count, inside, barred))
+        path = 0 if inside > above.inside else crc32(name.encode("utf-8", "replace"), above.path)
+        self.open.append(Element(name, named, self.count, inside, barred, path))
 
     def _end_open(self, names: set[str]) -> None:
         if not any(self.names[name] for name in names):
@@ -216,40 +231,66 @@ class Page:
         digest = xxhash.xxh64_intdigest(whole)
         if self.open:
             self.open[-1].contents.append(digest.to_bytes(8, "little"))
+        for n, number in enumerate(element.children):
+            path, of_text = self.places[number][1:]
+            ends = (n, len(element.children) - n)
+            first, last = (crc32(end.to_bytes(4, "little"), path) for end in ends)
+            self.places[number] = (first, last, of_text)
         if element.contents and element.name not in WHOLE:
             self.hashes[element.number] = digest - (digest >> 63 << 64)
+            of_text = element.inside > 0 and element.name not in CONTAINERS
+            self.places[element.number] = (0, element.path, of_text)
+            if self.open and not element.barred:
+                self.open[-1].children.append(element.number)
 
     def main(self) -> list[tuple[str, list[int]]]:
-        """The article's blocks, each with the hashes of what may be template around it."""
+        """The article's blocks, each with the numbers of what may be template around it."""
         best = max((inside for _, inside, _ in self.blocks), default=0)
         return [
-            (text, [self.hashes[n] for n in under if n in self.hashes])
-            for text, inside, under in self.blocks
+            (text, [n for n in under if n in self.hashes] if self._may_go(place) else [])
+            for place, (text, inside, under) in enumerate(self.blocks)
             if inside == best
         ]
 
-    def has_article(self) -> bool:
-        return any(inside for _, inside, _ in self.blocks)
+    def _may_go(self, place: int) -> bool:
+        return place not in self.headings or self.headings[place] not in self.title
+
+    def article(self, texts: list[str]) -> int:
+        """What copies of one article have in common."""
+        own = next((x for x in self.headings.values() if x in self.title), None)
+        known = SEPARATOR.join(texts) if own is None else own
+        digest = xxhash.xxh64_intdigest(known.encode("utf-8", "replace"), own is not None)
+        return digest - (digest >> 63 << 64)
 
 
 SEPARATOR = "\n\n"
+MARKS = pa.list_(
+    pa.struct(
+        {name: pa.int64() for name in ("number", "hash", "first", "last")} | {"of_text": pa.bool_()}
+    )
+)
 
 
 def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     block = pa.struct({"text": pa.string(), "under": pa.list_(pa.int64())})
     for batch in batches:
         for part in sliced(batch, 500):
-            texts, blocks, inside, hashes = [], [], [], []
+            texts, blocks, articles, marks = [], [], [], []
             for html in part["html"]:
                 page = Page(html.as_py())
                 main = page.main()
-                pending = any(under for _, under in main)
-                texts.append(None if pending else SEPARATOR.join(text for text, _ in main))
+                numbers = sorted({n for _, under in main for n in under})
+                texts.append(None if numbers else SEPARATOR.join(text for text, _ in main))
                 blocks.append(
-                    [{"text": text, "under": under} for text, under in main] if pending else None
+                    [{"text": text, "under": under} for text, under in main] if numbers else None
+                )
+                articles.append(page.article([text for text, _ in main]))
+                marks.append(
+                    [
+                        dict(zip(MARKS.value_type.names, (n, page.hashes[n], *page.places[n])))
+                        for n in numbers
+                    ]
                 )
-                inside.append(page.has_article())
-                hashes.append(sorted(set(page.hashes.values())))
             yield pa.RecordBatch.from_arrays(
                 [
                     part["page_id"],
@@ -257,10 +298,10 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     part["host"],
                     pa.array(texts, pa.string()),
                     pa.array(blocks, pa.list_(block)),
-                    pa.array(inside),
-                    pa.array(hashes, pa.list_(pa.int64())),
+                    pa.array(articles, pa.int64()),
+                    pa.array(marks, MARKS),
                 ],
-                names=["page_id", "url", "host", "text", "blocks", "has_article", "hashes"],
+                names=["page_id", "url", "host", "text", "blocks", "article", "marks"],
             )
 
 
@@ -283,27 +324,48 @@ def parsed(pages: DataFrame) -> DataFrame:
         given.mapInArrow(
             _parse,
             f"page_id {kinds['page_id']}, url {kinds['url']}, host bigint, text string,"
-            " blocks array<struct<text: string, under: array<bigint>>>, has_article boolean,"
-            " hashes array<bigint>",
+            " blocks array<struct<text: string, under: array<bigint>>>, article bigint,"
+            " marks array<struct<number: bigint, hash: bigint, first: bigint, last: bigint,"
+            " of_text: boolean>>",
         ).withColumn("row", F.monotonically_increasing_id()),
         "parsed-pages",
     )
 
 
-def recurring(rows: DataFrame, min_pages: int, min_share: float) -> DataFrame:
-    """``host``, ``hash`` and ``share`` of the subtrees found on many pages of a host."""
-    hosts = stored(rows.groupBy("host").agg(F.count(F.lit(1)).alias("host_pages")), "hosts")
-    found = (
-        rows.select("host", F.explode("hashes").alias("hash"))
+def recurring(
+    rows: DataFrame,
+    min_pages: int = MIN_PAGES,
+    min_pages_of_text: int = MIN_PAGES_OF_TEXT,
+    min_fixed: float = MIN_FIXED,
+) -> DataFrame:
+    """``host`` and ``hash`` of the subtrees that are template, ``at`` their places."""
+    found = rows.select("host", "article", F.inline("marks"))
+    bound = F.when(F.col("of_text"), min_pages_of_text).otherwise(min_pages)
+    often = stored(
+        found.groupBy("host", "hash", "article")
+        .agg(F.min("of_text").alias("of_text"))
         .groupBy("host", "hash")
-        .agg(F.count(F.lit(1)).alias("pages"))
-        .filter(F.col("pages") >= min_pages)
+        .agg(F.count(F.lit(1)).alias("articles"), F.min("of_text").alias("of_text"))
+        .filter(F.col("articles") >= bound)
+        .drop("of_text"),
+        "often",
     )
     return (
-        found.join(hosts, "host")
-        .withColumn("share", F.col("pages") / F.col("host_pages"))
-        .filter(F.col("share") > min_share)
-        .select("host", "hash", "share")
+        found.join(often, ["host", "hash"])
+        .select("host", "hash", "articles", "article", F.explode(_ends()).alias("at"))
+        .groupBy("host", "hash", "articles", "at", "article")
+        .agg(F.count(F.lit(1)).alias("times"))
+        .groupBy("host", "hash", "articles", "at")
+        .agg(F.count(F.lit(1)).alias("fixed"))
+        .filter(F.col("fixed") >= F.col("articles") * min_fixed)
+        .select("host", "hash", "at")
+    )
+
+
+def _ends() -> Column:
+    """The two places of a mark."""
+    return F.array(
+        *(F.struct(F.lit(end).alias("end"), F.col(end).alias("place")) for end in ("first", "last"))
     )
 
 
@@ -324,19 +386,19 @@ def _without_templates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordB
 def main_text(
     pages: DataFrame,
     min_pages: int = MIN_PAGES,
-    min_share: float = MIN_SHARE,
-    min_share_in_article: float = MIN_SHARE_IN_ARTICLE,
+    min_pages_of_text: int = MIN_PAGES_OF_TEXT,
+    min_fixed: float = MIN_FIXED,
 ) -> DataFrame:
     """``page_id``, ``url`` and ``text`` of each page."""
     rows = parsed(pages)
-    template = stored(recurring(rows, min_pages, min_share), "recurring")
+    template = stored(recurring(rows, min_pages, min_pages_of_text, min_fixed), "recurring")
     open_ = rows.filter("blocks is not null")
     gone = stored(
-        open_.select("row", "host", "has_article", F.explode("hashes").alias("hash"))
-        .join(template, ["host", "hash"])
-        .filter(~F.col("has_article") | (F.col("share") > min_share_in_article))
+        open_.select("row", "host", F.inline("marks"))
+        .select("row", "host", "number", "hash", F.explode(_ends()).alias("at"))
+        .join(template, ["host", "hash", "at"])
         .groupBy("row")
-        .agg(F.collect_list("hash").alias("gone")),
+        .agg(F.collect_set("number").alias("gone")),
         "gone",
     )
     kinds = {name: rows.schema[name].dataType.simpleString() for name in ("page_id", "url")}

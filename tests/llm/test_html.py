@@ -66,3 +66,27 @@ def test_templates_go_copies_stay(spark):
     wanted += [(200 + n, f"same text\n\nn{n}") for n in range(12)]
     assert found == [*wanted, (300, ""), (301, ""), (302, "just text")]
     assert html_template.main_text(pages.limit(0)).count() == 0
+
+
+def test_template_paragraphs_in_articles_go_and_copied_passages_stay(spark):
+    """In hosts of any size: a paragraph at one place goes, one at any place and copies stay."""
+    page = "<title>{0} | Site</title><article><h1>{0}</h1>{1}<p>Join us</p><blockquote>Ask</blockquote></article>"
+
+    def paragraphs(n):
+        own = [f"<p>own {n} {k}</p>" for k in range(6)]
+        own[n % 6] = "<p>a copied passage</p>"
+        return "".join(own)
+
+    rows = [(n, f"https://a.com/{n}", page.format(f"Title {n}", paragraphs(n))) for n in range(60)]
+    rows.append((99, "https://a.com/99", page.format("Title 99", "<p>Join us</p><p>own</p>")))
+    copy = "<title>Same</title><article><h1>Same</h1><p>Copied {}</p><p>whole</p></article>"
+    rows += [(100 + n, f"https://a.com/c{n}", copy.format(n)) for n in range(40)]
+    rows += [(1_000 + n, f"https://a.com/o{n}", f"<article><p>x {n}</p></article>") for n in range(900)]
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    found = {row.page_id: row.text for row in html_template.main_text(pages).collect()}
+    for n in range(60):
+        kept = html_template.SEPARATOR.join(re.findall("<p>(.*?)</p>", paragraphs(n)))
+        assert found[n] == f"Title {n}\n\n{kept}"
+    assert found[99] == "Title 99\n\nJoin us\n\nown"
+    assert all(found[100 + n] == f"Same\n\nCopied {n}\n\nwhole" for n in range(40))
+    assert all(found[1_000 + n] == f"x {n}" for n in range(900))
