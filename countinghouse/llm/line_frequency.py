@@ -2,8 +2,9 @@
 
 Lines (words in lower case, digits alike, joined by one blank) are hashed. For each
 host the distinct documents that have a line are counted, where copies of one text
-are one document. A line above the limit of its host is removed: found in more than
-``max_docs`` documents and in more than ``max_share`` of the host's documents. A
+are one document. A line above the limit is removed: found in more than ``max_docs``
+documents of its host, whatever the size of the host. A caller can ask that it also be in
+more than ``max_share`` of the host's documents, a limit that grows with the host. A
 document is depleted, and rejected, if under ``min_words`` words or under
 ``min_left`` of its words are left. Before that, short or repetitive documents fail.
 
@@ -28,7 +29,8 @@ from countinghouse.session import stored
 MIN_WORDS = 50
 MAX_REPEATED = 50
 MAX_DOCS = 20
-MAX_SHARE = 0.02
+#: 0: the count alone decides.
+MAX_SHARE = 0.0
 MIN_LEFT = 0.3
 WINDOW = 3
 
@@ -127,13 +129,6 @@ def frequent_lines(
     rows: DataFrame, max_docs: int = MAX_DOCS, max_share: float = MAX_SHARE
 ) -> DataFrame:
     """``host`` and ``line`` of the lines above the limits of their host."""
-    hosts = stored(
-        rows.groupBy("host", "digest")
-        .agg(F.count(F.lit(1)).alias("copies"))
-        .groupBy("host")
-        .agg(F.count(F.lit(1)).alias("host_docs")),
-        "hosts",
-    )
     counts = (
         rows.select("host", "digest", F.explode("lines").alias("line"))
         .groupBy("host", "line", "digest")
@@ -142,6 +137,15 @@ def frequent_lines(
         .agg(F.count(F.lit(1)).alias("docs"))
         .filter(F.col("docs") > max_docs)
     )
+    if not max_share:
+        return counts.select("host", "line")
+    hosts = stored(
+        rows.groupBy("host", "digest")
+        .agg(F.count(F.lit(1)).alias("copies"))
+        .groupBy("host")
+        .agg(F.count(F.lit(1)).alias("host_docs")),
+        "hosts",
+    )
     return (
         counts.alias("c")
         .join(hosts.alias("h"), F.col("c.host").eqNullSafe(F.col("h.host")))

@@ -88,6 +88,21 @@ def test_frequent_lines_go_and_depleted_documents_too(spark):
     assert line_frequency.apply(docs, **limits).filter("doc_id = 60").count() == 2
 
 
+def test_a_line_above_the_count_goes_in_a_host_of_any_size(spark):
+    def words(n):
+        return " ".join(f"w{chr(97 + n // 26 % 26)}{chr(97 + n % 26)}x{chr(97 + n // 676)}{'a' * k}" for k in range(60))
+
+    rows = [(n, f"visit us\n{words(n)}" if n < 30 else words(n), "big") for n in range(2_000)]
+    rows += [(5_000 + n, f"visit us\n{words(n)}", "small") for n in range(21)]
+    rows += [(6_000 + n, f"visit us\n{words(n)}", "smaller") for n in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    found = {row.id: row.words_left for row in line_frequency.verdicts(docs).collect()}
+    assert {n for n, _, _ in rows if n < 30 or 5_000 <= n < 6_000} == {
+        row.id for row in line_frequency.verdicts(docs).filter("removed is not null").collect()
+    }
+    assert found[3] == found[5_003] == 60 and found[6_003] == 62
+
+
 def test_awkward_rows(awkward, no_docs):
     assert line_frequency.verdicts(awkward).count() == len(ROWS)
     assert line_frequency.apply(awkward).schema == awkward.schema
