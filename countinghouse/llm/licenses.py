@@ -2,7 +2,8 @@
 
 A text is cut into sentences, each normalised to lower-case words with single blanks.
 A sentence that belongs to a license is recognised by its whole normal form and known
-by an identifier. The identifiers of a document, in order and without the unknown
+by an identifier; where a wrapped line, a semicolon or an abbreviation cut it, its pieces
+are taken together. Comment marks are no words. The identifiers of a document, in order and without the unknown
 sentences between them, are matched against the rules from left to right: at each
 place the first rule of the list whose sequence follows is taken, so rules are
 ordered from the most to the least specific, and matching goes on behind it.
@@ -13,11 +14,18 @@ matches; an empty table gives an empty result; further columns are left out.
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+
+from countinghouse.llm.arrow import sliced
+
+_GRANT = "you can redistribute it and or modify it under the terms of the gnu"
+_LATER = "of the license or at your option any later version"
 
 # Sentences of public licenses in their normal form, by identifier.
 SENTENCES = {
@@ -52,6 +60,44 @@ SENTENCES = {
     "this program is free software you can redistribute it and or modify it under the terms of"
     " the gnu general public license as published by the free software foundation either"
     " version 2 of the license or at your option any later version": "gpl-2-later-grant",
+    "this program is free software you can redistribute it and or modify it under the terms of"
+    " the gnu general public license version 2 as published by the free software"
+    " foundation": "gpl-2-grant",
+    "gnu general public license version 2": "gpl-2-title",
+    **{
+        f"this {thing} is free software {_GRANT} {kind} general public license as published by the"
+        f" free software foundation either version {version} {_LATER}": f"{name}-later-grant"
+        for thing in ("program", "library", "software")
+        for kind, version, name in (
+            ("lesser", "2 1", "lgpl-2.1"),
+            ("lesser", "3", "lgpl-3"),
+            ("affero", "3", "agpl-3"),
+        )
+    },
+    "this library is distributed in the hope that it will be useful but without any warranty"
+    " without even the implied warranty of merchantability or fitness for a particular"
+    " purpose": "gnu-disclaimer",
+    "this source code form is subject to the terms of the mozilla public license v 2"
+    " 0": "mpl-2-notice",
+    "mozilla public license version 2 0": "mpl-2-title",
+    "distributed under the boost software license version 1 0": "boost-notice",
+    "boost software license version 1 0": "boost-title",
+    "permission to use copy modify and or distribute this software for any purpose with or without"
+    " fee is hereby granted provided that the above copyright notice and this permission notice"
+    " appear in all copies": "isc-grant",
+    "permission to use copy modify and distribute this software for any purpose with or without"
+    " fee is hereby granted provided that the above copyright notice and this permission notice"
+    " appear in all copies": "isc-grant",
+    "permission is granted to anyone to use this software for any purpose including commercial"
+    " applications and to alter it and redistribute it freely subject to the following"
+    " restrictions": "zlib-grant",
+    "neither the name of the copyright holder nor the names of its contributors may be used to"
+    " endorse or promote products derived from this software without specific prior written"
+    " permission": "bsd-names",
+    "licensed under cc0 1 0": "cc0-notice",
+    "licensed under cc by nd 4 0": "cc-by-nd-4-notice",
+    "licensed under cc by nc sa 4 0": "cc-by-nc-sa-4-notice",
+    "licensed under cc by nc nd 4 0": "cc-by-nc-nd-4-notice",
     "this program is distributed in the hope that it will be useful but without any warranty"
     " without even the implied warranty of merchantability or fitness for a particular"
     " purpose": "gnu-disclaimer",
@@ -75,6 +121,35 @@ SENTENCES = {
     "all rights reserved": "all-rights-reserved",
 }
 
+#: Sentences with a name in them: begin, end, identifier.
+SLOTS = [
+    (
+        "neither the name of",
+        "may be used to endorse or promote products derived from this software without specific"
+        " prior written permission",
+        "bsd-names",
+    ),
+    (
+        "the name of",
+        "may not be used to endorse or promote products derived from this software without specific"
+        " prior written permission",
+        "bsd-names",
+    ),
+]
+#: Words that such a name, with what belongs to it, has at most.
+SLOT_WORDS = 25
+
+#: Identifiers that a line of source code may give.
+SPDX = (
+    "MIT Apache-2.0 GPL-2.0-only GPL-2.0-or-later GPL-3.0-only GPL-3.0-or-later LGPL-2.1-only"
+    " LGPL-2.1-or-later LGPL-3.0-only LGPL-3.0-or-later AGPL-3.0-only AGPL-3.0-or-later"
+    " BSD-2-Clause BSD-3-Clause MPL-2.0 ISC Zlib BSL-1.0 Unlicense CC0-1.0 CC-BY-4.0 CC-BY-SA-4.0"
+).split()
+SPDX_WORDS = "spdx license identifier"
+SENTENCES |= {
+    f"{SPDX_WORDS} {re.sub('[^a-z0-9]+', ' ', name.lower())}": f"spdx-{name}" for name in SPDX
+}
+
 # Ordered rules: sequence of sentence identifiers, then the license it shows.
 RULES = [
     (("mit-title", "mit-grant", "mit-condition", "mit-disclaimer"), "MIT"),
@@ -88,7 +163,17 @@ RULES = [
     (("apache-2-notice", "apache-2-compliance"), "Apache-2.0"),
     (("gpl-3-later-grant", "gnu-disclaimer"), "GPL-3.0-or-later"),
     (("gpl-2-later-grant", "gnu-disclaimer"), "GPL-2.0-or-later"),
+    (
+        ("all-rights-reserved", "bsd-grant", "bsd-source", "bsd-binary", "bsd-names"),
+        "BSD-3-Clause",
+    ),
+    (("bsd-grant", "bsd-source", "bsd-binary", "bsd-names"), "BSD-3-Clause"),
+    (("all-rights-reserved", "bsd-grant", "bsd-source", "bsd-binary"), "BSD-2-Clause"),
     (("bsd-grant", "bsd-source", "bsd-binary"), "BSD-2-Clause"),
+    (("lgpl-2.1-later-grant", "gnu-disclaimer"), "LGPL-2.1-or-later"),
+    (("lgpl-3-later-grant", "gnu-disclaimer"), "LGPL-3.0-or-later"),
+    (("agpl-3-later-grant", "gnu-disclaimer"), "AGPL-3.0-or-later"),
+    (("gpl-2-grant", "gnu-disclaimer"), "GPL-2.0-only"),
     (("mit-notice",), "MIT"),
     (("mit-grant",), "MIT"),
     (("mit-title",), "MIT"),
@@ -101,78 +186,104 @@ RULES = [
     (("cc-by-nc-4-notice",), "CC-BY-NC-4.0"),
     (("cc-by-sa-4-notice",), "CC-BY-SA-4.0"),
     (("cc-by-4-notice",), "CC-BY-4.0"),
+    (("gpl-2-grant",), "GPL-2.0-only"),
+    (("gpl-2-title",), "GPL-2.0-only"),
+    (("lgpl-2.1-later-grant",), "LGPL-2.1-or-later"),
+    (("lgpl-3-later-grant",), "LGPL-3.0-or-later"),
+    (("agpl-3-later-grant",), "AGPL-3.0-or-later"),
+    (("mpl-2-notice",), "MPL-2.0"),
+    (("mpl-2-title",), "MPL-2.0"),
+    (("boost-notice",), "BSL-1.0"),
+    (("boost-title",), "BSL-1.0"),
+    (("isc-grant",), "ISC"),
+    (("zlib-grant",), "Zlib"),
+    (("cc0-notice",), "CC0-1.0"),
+    (("cc-by-nd-4-notice",), "CC-BY-ND-4.0"),
+    (("cc-by-nc-sa-4-notice",), "CC-BY-NC-SA-4.0"),
+    (("cc-by-nc-nd-4-notice",), "CC-BY-NC-ND-4.0"),
+    *(((f"spdx-{name}",), name) for name in SPDX),
     (("unlicense-grant",), "Unlicense"),
     (("all-rights-reserved",), "LicenseRef-All-Rights-Reserved"),
 ]
 
 #: Every known sentence holds one of these; sentences without are unknown at once.
 CUES = ("licens", "software", "copyright", "rights", "warrant", "redistribut")
-#: Where a sentence ends: a stop before white space, or a line's end unless the next line
-#: goes on in lower case, as wrapped sentences do.
-BORDER = r"[.!?]+(?:\s+|$)|\n(?![ \t]*[a-z(])"
+#: Where a piece of a sentence ends: a stop, semicolon or colon before white space, or a
+#: line's end unless the next line goes on in lower case, as wrapped sentences do, with or
+#: without a comment mark.
+BORDER = (
+    r"[.!?;:]+(?:\s+|$)"
+    r"|\n(?![ \t]*(?:(?:#+|//+!?|/?\*+|;+|--+|%+|>+|dnl|REM)[ \t]*)?[a-z(])(?:[ \t]*;+(?=\s))?"
+)
+_BORDER = re.compile(BORDER)
+_NO_WORD = re.compile("[^a-z0-9]+")
 
 
-def normal_form(sentence: Column) -> Column:
-    return F.trim(F.regexp_replace(F.lower(sentence), "[^a-z0-9]+", " "))
+def normal_form(sentence: str) -> str:
+    return _NO_WORD.sub(" ", sentence.lower()).strip()
 
 
-def sentences(text: Column) -> Column:
-    """The sentences of a text, raw."""
-    return F.split(text, BORDER, -1)
+def openings(table: dict[str, str]) -> set[str]:
+    """What the sentences of a table can begin with, by whole words."""
+    known = set()
+    for sentence in table:
+        words = sentence.split()
+        known |= {" ".join(words[:n]) for n in range(1, len(words))}
+    return known
 
 
-def known_sentences(
-    docs: DataFrame, table: dict[str, str], id_col: str = "doc_id", text_col: str = "text"
-) -> DataFrame:
-    """``row``, ``id``, ``place`` (from 0) and ``sentence_id`` of the recognised sentences."""
-    spark = docs.sparkSession
-    # The table is a constant of the program.
-    known = spark.createDataFrame(list(table.items()), "normal string, sentence_id string")
-    certain = all(any(cue in sentence for cue in CUES) for sentence in table)
-
-    def may_hold(text: str) -> Column:
-        return reduce(
-            Column.__or__, (F.contains(F.lower(text), F.lit(cue)) for cue in CUES)
-        ) | F.lit(not certain)
-
-    return (
-        docs.select(
-            F.monotonically_increasing_id().alias("row"),
-            F.col(f"`{id_col}`").alias("id"),
-            F.col(f"`{text_col}`").alias("text"),
-        )
-        .filter(may_hold("text"))
-        .select("row", "id", F.posexplode(sentences(F.col("text"))).alias("place", "sentence"))
-        .filter(may_hold("sentence"))
-        .withColumn("normal", normal_form(F.col("sentence")))
-        .join(F.broadcast(known), "normal")
-        .select("row", "id", "place", "sentence_id")
-    )
+def _in_slot(run: str, slots: list[tuple[str, str, str]]) -> tuple[str | None, bool]:
+    """The identifier of a sentence with a name, and whether it may become one."""
+    may = False
+    for begin, end, name in slots:
+        if run.startswith(f"{begin} "):
+            if run.endswith(f" {end}") and run.count(" ") < len(f"{begin} {end}".split()) + SLOT_WORDS:
+                return name, False
+            may |= run.count(" ") < len(f"{begin} {end}".split()) + SLOT_WORDS
+        may |= f"{begin} ".startswith(f"{run} ")
+    return None, may
 
 
-MATCH = T.ArrayType(
-    T.StructType(
-        [
-            T.StructField("rule", T.IntegerType()),
-            T.StructField("license", T.StringType()),
-            T.StructField("first", T.IntegerType()),
-            T.StructField("last", T.IntegerType()),
-        ]
-    )
-)
+def recognised(
+    text: str, table: dict[str, str], begins: set[str], slots: list[tuple[str, str, str]]
+) -> list[tuple[int, int, str]]:
+    """First piece, last piece and identifier of the known sentences, the longest at each
+    place. An empty piece ends a sentence, as between paragraphs."""
+    pieces = _BORDER.split(text)
+    normal = [normal_form(piece) for piece in pieces]
+    out, at = [], 0
+    while at < len(pieces):
+        run, best = "", None
+        for end in range(at, len(pieces)):
+            if not normal[end]:
+                break
+            more = normal[end]
+            if run == SPDX_WORDS:  # a line holds all of it, whatever follows
+                more = normal_form(pieces[end].split("\n")[0])
+            run = f"{run} {more}".strip()
+            name, may = _in_slot(run, slots)
+            name = table.get(run, name)
+            if name:
+                best = (at, end, name)
+            if run not in begins and not may:
+                break
+        if best:
+            out.append(best)
+        at = best[1] + 1 if best else at + 1
+    return out
 
 
 def matched(
-    sequence: list[tuple[int, str]], rules: list[tuple[tuple[str, ...], str]]
+    sequence: list[tuple[int, int, str]], rules: list[tuple[tuple[str, ...], str]]
 ) -> list[tuple[int, str, int, int]]:
-    """Rule, license, and places of the first and last sentence of each match."""
+    """Rule, license, and places of the first and last piece of each match."""
     out, at = [], 0
-    names = [name for _, name in sequence]
+    names = [name for *_, name in sequence]
     while at < len(names):
         for number, (wanted, license_) in enumerate(rules):
             if tuple(names[at : at + len(wanted)]) == wanted:
                 end = at + len(wanted) - 1
-                out.append((number, license_, sequence[at][0], sequence[end][0]))
+                out.append((number, license_, sequence[at][0], sequence[end][1]))
                 at = end
                 break
         at += 1
@@ -186,17 +297,42 @@ def scan(
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:
-    """``id_col``, ``rule``, ``license``, ``first`` and ``last`` (places of sentences) of
+    """``id_col``, ``rule``, ``license``, ``first`` and ``last`` (places of pieces) of
     each match."""
     rules = RULES if rules is None else rules
-    found = known_sentences(docs, SENTENCES if table is None else table, id_col, text_col)
+    slots = SLOTS if table is None else []
+    known = SENTENCES if table is None else table
+    certain = all(any(cue in sentence for cue in CUES) for sentence in known)
 
-    @F.udf(MATCH)
-    def apply_rules(sequence):
-        return matched([(x["place"], x["sentence_id"]) for x in sequence], rules)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begins = openings(known)
+        for batch in batches:
+            for part in sliced(batch, 1_000):
+                found = [
+                    (row, *match)
+                    for row, text in enumerate(part["text"].to_pylist())
+                    for match in matched(recognised(text, known, begins, slots), rules)
+                ]
+                rows, numbers, licenses, firsts, lasts = zip(*found) if found else [()] * 5
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        part["id"].take(pa.array(rows, pa.int64())),
+                        pa.array(numbers, pa.int32()),
+                        pa.array(licenses, pa.string()),
+                        pa.array(firsts, pa.int32()),
+                        pa.array(lasts, pa.int32()),
+                    ],
+                    names=["id", "rule", "license", "first", "last"],
+                )
 
-    return (
-        found.groupBy("row", "id")
-        .agg(F.sort_array(F.collect_list(F.struct("place", "sentence_id"))).alias("sequence"))
-        .select(F.col("id").alias(id_col), F.inline(apply_rules("sequence")))
+    text = F.col(f"`{text_col}`")
+    may_hold = reduce(
+        Column.__or__, (F.contains(F.lower(text), F.lit(cue)) for cue in CUES)
+    ) | F.lit(not certain)
+    given = docs.filter(text.isNotNull() & may_hold).select(
+        F.col(f"`{id_col}`").alias("id"), text.alias("text")
     )
+    kind = given.schema["id"].dataType.simpleString()
+    return given.mapInArrow(
+        run, f"id {kind}, rule int, license string, first int, last int"
+    ).withColumnRenamed("id", id_col)

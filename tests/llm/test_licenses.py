@@ -65,6 +65,74 @@ def test_sequences_and_order_of_rules(spark, awkward, no_docs):
     assert licenses.scan(no_docs).count() == 0
 
 
+APACHE = """Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+See the License for the specific language governing permissions and
+limitations under the License.
+"""
+BSD = """Copyright (c) 2020, Someone Inc. All rights reserved.
+
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+"""
+NAMES = """3. Neither the name of Someone Inc. nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.
+"""
+GPL = """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version.
+
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+GNU General Public License for more details.
+"""
+MPL = """This Source Code Form is subject to the terms of the Mozilla Public
+License, v. 2.0. If a copy of the MPL was not distributed with this
+file, You can obtain one at https://mozilla.org/MPL/2.0/.
+"""
+
+
+def test_standard_headers_plain_and_in_comments(spark):
+    headers = [
+        (MIT, "MIT"),
+        (APACHE, "Apache-2.0"),
+        (BSD, "BSD-2-Clause"),
+        (BSD + NAMES, "BSD-3-Clause"),
+        (GPL, "GPL-3.0-or-later"),
+        (GPL.replace("GNU General", "GNU Affero General"), "AGPL-3.0-or-later"),
+        (GPL.replace("GNU General", "GNU Lesser General"), "LGPL-3.0-or-later"),
+        (MPL, "MPL-2.0"),
+        ("SPDX-License-Identifier: BSD-3-Clause\nimport os", "BSD-3-Clause"),
+    ]
+    rows, wanted = [], []
+    for mark in ("", "# ", " * ", "// ", "-- ", ";; "):
+        for header, name in headers:
+            rows.append((len(rows), "\n".join(mark + line for line in header.split("\n"))))
+            wanted.append((len(wanted), name))
+    rows.append((1_000, "This file is not what the license says; the software is free."))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    found = sorted((row.doc_id, row.license) for row in licenses.scan(docs).collect())
+    assert found == wanted
+    apache = licenses.scan(docs.filter("doc_id = 1")).collect()
+    assert [licenses.RULES[row.rule][0][-1] for row in apache] == ["apache-2-disclaimer"]
+
+
 def test_rules_name_known_sentences():
     known = set(licenses.SENTENCES.values())
     assert all(set(wanted) <= known for wanted, _ in licenses.RULES)
