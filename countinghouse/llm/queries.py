@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from countinghouse.llm import (
     bpe,
     html_template,
+    lattice,
     licenses,
     line_frequency,
     line_spread,
@@ -171,6 +172,10 @@ def op10_site_templates(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op13_lattice_hashing(spark: SparkSession, folder: str) -> DataFrame:
+    return lattice.near_vectors(table(spark, folder, "embeddings"), threshold=0.93)
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_byte_level_bpe": op1_byte_level_bpe,
@@ -183,6 +188,7 @@ def queries() -> dict[str, Query]:
         "op8_license_rules": op8_license_rules,
         "op9_simhash": op9_simhash,
         "op10_site_templates": op10_site_templates,
+        "op13_lattice_hashing": op13_lattice_hashing,
     }
 
 

@@ -47,7 +47,7 @@ def test_awkward_tables(spark, tmp_path, rows):
 def test_everything_is_registered():
     known = __spark_entry__.queries()
     names = [name for name in known if name.startswith("op")]
-    assert [int(name[2:].split("_")[0]) for name in names] == list(range(1, 11))
+    assert [int(name[2:].split("_")[0]) for name in names] == list(range(1, 14))
     assert "pipeline" in known and set(__spark_entry__.oracle_sql()) <= set(known)
 
 
