@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from countinghouse.llm import (
     bpe,
+    conversations,
     html_template,
     lattice,
     licenses,
@@ -172,6 +173,45 @@ def op10_site_templates(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def _damaged(turns: DataFrame) -> DataFrame:
+    """Conversations with some turns dropped, emptied, cut, repeated or given to the user."""
+
+    def filled(name: str) -> Column:
+        return F.coalesce(F.col(name).cast("string"), F.lit(" "))
+
+    kind = F.crc32(F.concat(filled("conv_id"), F.lit(":"), filled("turn")).cast("binary")) % 20
+    text = (
+        F.when(kind == 1, "")
+        .when(kind == 2, F.regexp_replace(filled("text"), "[.!?]", ""))
+        .otherwise(filled("text"))
+    )
+    copies = F.array_repeat(F.lit(0), F.when(kind == 3, 2).otherwise(1))
+    return turns.filter(kind != 0).select(
+        "conv_id",
+        "turn",
+        F.when(kind == 4, "user").otherwise(filled("role")).alias("role"),
+        text.alias("text"),
+        F.explode(copies).alias("copy"),
+    )
+
+
+def op12_grammar_repair(spark: SparkSession, folder: str) -> DataFrame:
+    turns = table(spark, folder, "conversations")
+    found = conversations.repair(_damaged(turns)).withColumnRenamed("conv_id", "found")
+    known = F.col("conv_id").eqNullSafe(F.col("found"))
+    zeros = [
+        F.coalesce(F.col(name), F.lit(0)).alias(name)
+        for name in ("gaps", *conversations.COUNTS, "cost")
+    ]
+    nothing = F.sha2(F.lit("").cast("binary"), 256)
+    return turns.select("conv_id").distinct().join(found, known, "left").select(
+        "conv_id",
+        *zeros,
+        F.coalesce("audit", F.lit("")).alias("audit"),
+        F.coalesce("repaired_sha256", nothing).alias("repaired_sha256"),
+    )
+
+
 def op13_lattice_hashing(spark: SparkSession, folder: str) -> DataFrame:
     return lattice.near_vectors(table(spark, folder, "embeddings"), threshold=0.93)
 
@@ -188,6 +228,7 @@ def queries() -> dict[str, Query]:
         "op8_license_rules": op8_license_rules,
         "op9_simhash": op9_simhash,
         "op10_site_templates": op10_site_templates,
+        "op12_grammar_repair": op12_grammar_repair,
         "op13_lattice_hashing": op13_lattice_hashing,
     }
 
