@@ -20,6 +20,7 @@ from countinghouse.llm import (
     packing,
     pii,
     simhash,
+    spelling,
     topk,
 )
 
@@ -173,6 +174,18 @@ def op10_site_templates(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op11_trie_pairs(spark: SparkSession, folder: str) -> DataFrame:
+    found = spelling.runs(table(spark, folder, "documents"))
+    # Every 199th run by hash loses a code point.
+    name = F.concat(F.coalesce(F.col("id").cast("string"), F.lit("")), F.lit(":"), "run")
+    mark = F.crc32(name.cast("binary"))
+    at = (mark % F.length("run")).cast("int")
+    less = F.concat(F.substring("run", F.lit(1), at), F.substring("run", at + 2, F.length("run")))
+    words = found.select(F.when(mark % 199 == 0, less).otherwise(F.col("run")).alias("word"))
+    long = words.filter(F.length("word") >= spelling.LEAST_LENGTH)
+    return spelling.variants(spelling.counted(long))
+
+
 def _damaged(turns: DataFrame) -> DataFrame:
     """Conversations with some turns dropped, emptied, cut, repeated or given to the user."""
 
@@ -228,6 +241,7 @@ def queries() -> dict[str, Query]:
         "op8_license_rules": op8_license_rules,
         "op9_simhash": op9_simhash,
         "op10_site_templates": op10_site_templates,
+        "op11_trie_pairs": op11_trie_pairs,
         "op12_grammar_repair": op12_grammar_repair,
         "op13_lattice_hashing": op13_lattice_hashing,
     }
