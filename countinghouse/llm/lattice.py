@@ -145,10 +145,13 @@ def _classes(
     vectors: DataFrame, id_col: str, vector_col: str, label_col: str
 ) -> tuple[DataFrame, DataFrame]:
     """Each row's ``id`` and class ``digest`` (null: links with nothing), and the classes."""
+    own = vectors.schema[vector_col].dataType.simpleString()
+    # Components travel as they are given and are made double where they are worked with.
+    vector_type = own if own == "array<float>" else "array<double>"
     given = vectors.select(
         F.col(f"`{id_col}`").alias("id"),
         F.col(f"`{label_col}`").alias("label"),
-        F.col(f"`{vector_col}`").cast("array<double>").alias("vector"),
+        F.col(f"`{vector_col}`").cast(vector_type).alias("vector"),
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -160,15 +163,15 @@ def _classes(
                         marks.append(None)
                     else:
                         # Adding zero makes the negative zero positive.
-                        own = hashlib.blake2b((vector + 0.0).tobytes(), digest_size=20)
-                        own.update(label.encode())
-                        marks.append(own.digest())
+                        mark = hashlib.blake2b((vector + 0.0).tobytes(), digest_size=20)
+                        mark.update(label.encode())
+                        marks.append(mark.digest())
                 columns = [part["id"], part["label"], part["vector"], pa.array(marks, pa.binary())]
                 yield pa.RecordBatch.from_arrays(columns, names=["id", "label", "vector", "digest"])
 
     kinds = {field.name: field.dataType.simpleString() for field in given.schema}
     marked = given.mapInArrow(
-        run, f"id {kinds['id']}, label {kinds['label']}, vector array<double>, digest binary"
+        run, f"id {kinds['id']}, label {kinds['label']}, vector {vector_type}, digest binary"
     )
     known = (
         marked.filter("digest is not null")
@@ -194,7 +197,7 @@ def _filed(classes: DataFrame, lattice: Lattice) -> DataFrame:
                 lengths = np.array([len(x) for x in vectors])
                 for length in np.unique(lengths):
                     rows = np.flatnonzero(lengths == length)
-                    points = lattice.cells(units(np.array([vectors[n] for n in rows])))
+                    points = lattice.cells(units(np.array([vectors[n] for n in rows], np.float64)))
                     key = np.zeros((*points.shape[:3], WIDTH + 3), np.int16)
                     key[..., 0] = np.arange(lattice.tables)[None, :, None]
                     key[..., 1], key[..., 2] = length & 0x7FFF, length >> 15
@@ -301,7 +304,7 @@ def _compared(lattice: Lattice, threshold: float):
         sizes = table["size"].to_numpy()
         home = table["home"].to_numpy()
         side = table["side"].to_numpy() if table["first"][0] != table["second"][0] else None
-        vectors = units(np.array(lists(table["vector"].combine_chunks())))
+        vectors = units(np.array(lists(table["vector"].combine_chunks()), np.float64))
         linked, counted = piece.links(at, nodes, home, vectors, side)
         rows = np.flatnonzero(linked.any(axis=1))
         if len(rows):
