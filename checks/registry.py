@@ -8,7 +8,14 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from checks.fixed import AS_OF, RANGE_FROM, RANGE_UNTIL, SELECTED_BRANCH, VIEW_TOTALS
+from checks.fixed import (
+    AS_OF,
+    BATCH_UNTIL,
+    RANGE_FROM,
+    RANGE_UNTIL,
+    SELECTED_BRANCH,
+    VIEW_TOTALS,
+)
 from countinghouse.functions.numbers import presentable
 from countinghouse.operators import cleaning, constraints, measures, quality
 from countinghouse.plans import (
@@ -18,13 +25,14 @@ from countinghouse.plans import (
     explore,
     generate,
     inventory,
+    marts,
     people,
     sales,
     views,
 )
 from countinghouse.schemas import TABLES
 from countinghouse.session import fresh_path
-from countinghouse.sources import files, star
+from countinghouse.sources import files, star, versioned
 
 Tables = dict[str, DataFrame]
 Query = Callable[[SparkSession, str], DataFrame]
@@ -101,12 +109,11 @@ def _csv_sink(spark: SparkSession, folder: str) -> DataFrame:
 
 def _insert_ignore(spark: SparkSession, folder: str) -> DataFrame:
     branches = tables(spark, folder, "raw")["branches"]
-    path = fresh_path(spark, "branches")
-    branches.filter("branch_id % 2 = 0").write.parquet(path)
+    stored = versioned.VersionedTable(spark, fresh_path(spark, "branches"), branches.schema)
+    versioned.insert_ignore(stored, branches.filter("branch_id % 2 = 0"), "branch_id")
     shouted = branches.withColumn("branch_name", F.upper("branch_name"))
-    return presentable(
-        files.insert_ignore_into(spark, path, shouted.unionByName(branches), "branch_id")
-    )
+    versioned.insert_ignore(stored, shouted.unionByName(branches), "branch_id")
+    return presentable(stored.read())
 
 
 def _create_layers(spark: SparkSession, folder: str) -> DataFrame:
@@ -146,16 +153,15 @@ def _views(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _query_to_frame(spark: SparkSession, folder: str) -> DataFrame:
-    """A report fetched with a bound on its rows, as a frame again."""
-    found = views.query(
+    """SQL over a view; the result stays a frame, so its rows need not fit anywhere."""
+    return views.query(
         spark,
         "select city, count(*) as branches,"
         " cast(sum(cast(net_revenue as decimal(38,2))) as double) as net_revenue"
-        " from countinghouse_branch_performance group by city",
+        " from CountingHouse_Branch_Performance group by city",
         tables(spark, folder, "clean"),
         "countinghouse_",
     )
-    return spark.createDataFrame(views.fetch(found, 10_000), found.schema)
 
 
 def _cached_mart(spark: SparkSession, folder: str) -> DataFrame:
@@ -166,6 +172,45 @@ def _cached_mart(spark: SparkSession, folder: str) -> DataFrame:
     return files.cached_mart(spark, lambda: spark.range(0), path)
 
 
+def _batches(t: Tables) -> list[Tables]:
+    """All sales in three batches; the last one brings late sales of most months."""
+    early, late = F.col("sale_date") < BATCH_UNTIL, F.col("sale_id") % 5 == 0
+    chosen = [
+        t["sales"].filter(early & ~late), t["sales"].filter(~early & ~late), t["sales"].filter(late)
+    ]
+    return [
+        {**t, "sales": sales, "sale_items": t["sale_items"].join(sales, "sale_id", "left_semi")}
+        for sales in chosen
+    ]
+
+
+def _on_mart(report: Callable[[marts.SalesMart], DataFrame]) -> Query:
+    """A report on a mart that was brought up to date after each of three appends."""
+
+    def run(spark: SparkSession, folder: str) -> DataFrame:
+        clean = tables(spark, folder, "clean")
+        mart = marts.SalesMart.of(clean, fresh_path(spark, "mart"))
+        for batch in _batches(clean):
+            mart.append(batch)
+            mart.update()
+        return presentable(report(mart))
+
+    return run
+
+
+def _refresh_months(spark: SparkSession, folder: str) -> DataFrame:
+    """Sales by month of which one month came too high and was replaced."""
+    sales = tables(spark, folder, "clean")["sales"]
+    sales = sales.withColumn("sales_month", F.trunc("sale_date", "month"))
+    stored = versioned.VersionedTable(spark, fresh_path(spark, "sales"), sales.schema)
+    month = F.col("sales_month") == F.lit(RANGE_FROM).cast("date")
+    wrong = F.when(month, 0).otherwise(F.col("discount_amount"))
+    first = sales.withColumn("discount_amount", wrong.cast(sales.schema["discount_amount"].dataType))
+    versioned.refresh_parts(stored, first, "sales_month", F.lit(True))
+    versioned.refresh_parts(stored, sales, "sales_month", month)
+    return presentable(stored.read().drop("sales_month"))
+
+
 def _on_facts(report: Callable[[Tables], DataFrame]) -> Query:
     """A sale report on facts that are stored first; the time of a run includes storing them."""
 
@@ -362,4 +407,9 @@ def queries() -> dict[str, Query]:
             lambda t: sales.sales_in_range(t, RANGE_FROM, RANGE_UNTIL)
         ),
         "facts_bucketed_net_revenue": _bucketed,
+        "io_refresh_months": _refresh_months,
+        "mart_monthly_sales_summary": _on_mart(marts.monthly_sales_summary),
+        "mart_executive_summary": _on_mart(marts.executive_summary),
+        "mart_yearly_customers": _on_mart(marts.yearly_customers),
+        "mart_branch_customers": _on_mart(marts.branch_customers),
     }

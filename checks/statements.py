@@ -671,6 +671,15 @@ def _statements() -> dict[str, str]:
     q["facts_sales_monthly"] = q["sales_monthly"]
     q["facts_sales_in_range"] = q["x_sales_in_range"]
     q["facts_bucketed_net_revenue"] = q["m_sale_net_revenue"]
+    q["io_refresh_months"] = q["clean_sales"]
+    q["mart_monthly_sales_summary"] = q["v_monthly_sales_summary"]
+    q["mart_executive_summary"] = q["v_executive_summary"]
+    q["mart_yearly_customers"] = """
+        SELECT CAST(year(sales_month) AS INT) AS sales_year,
+               count(DISTINCT customer_id) AS registered_customers FROM tx GROUP BY 1"""
+    q["mart_branch_customers"] = """
+        SELECT branch_id, count(*) AS transaction_count,
+               count(DISTINCT customer_id) AS registered_customers FROM tx GROUP BY branch_id"""
     return q
 
 

@@ -110,10 +110,10 @@ def register_views(t: Tables, prefix: str = "") -> list[str]:
 
 
 def query(spark: SparkSession, text: str, t: Tables | None = None, prefix: str = "") -> DataFrame:
-    """SQL over the views. Given the tables, the views that ``text`` names are created
-    first, as they are now; nothing is fetched until asked for."""
+    """SQL over the views. Given the tables, the views that ``text`` names, in whatever case,
+    are created first, as they are now; nothing is fetched until asked for."""
     for name, build in VIEWS.items() if t is not None else ():
-        if re.search(rf"\b{re.escape(prefix + name)}\b", text):
+        if re.search(rf"\b{re.escape(prefix + name)}\b", text, re.IGNORECASE):
             build(t).createOrReplaceTempView(prefix + name)
     return spark.sql(text)
 

@@ -14,7 +14,8 @@ from tests.conftest import FOLDER
 WRITES = {"io_csv_scan", "io_csv_sink", "io_insert_ignore", "io_create_layers", "io_full_refresh",
           "io_views", "io_query_to_frame", "io_cached_mart", "x_layout",
           "facts_executive_summary", "facts_sales_monthly", "facts_sales_in_range",
-          "facts_bucketed_net_revenue"}
+          "facts_bucketed_net_revenue", "io_refresh_months", "mart_monthly_sales_summary",
+          "mart_executive_summary", "mart_yearly_customers", "mart_branch_customers"}
 STORES = {"cust_rfm_scores", "cust_rfm_segments", "v_customer_segments",
           "dash_segment_counts", "dash_first_present_column", "employee_rankings",
           "adv_product_rank", "adv_pareto", "clean_quarantine"}
