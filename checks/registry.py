@@ -15,6 +15,7 @@ from checks.fixed import (
     RANGE_UNTIL,
     SELECTED_BRANCH,
     VIEW_TOTALS,
+    WANTED,
 )
 from countinghouse.functions.numbers import presentable
 from countinghouse.operators import cleaning, constraints, measures, quality
@@ -32,7 +33,7 @@ from countinghouse.plans import (
 )
 from countinghouse.schemas import TABLES
 from countinghouse.session import fresh_path
-from countinghouse.sources import files, star, versioned
+from countinghouse.sources import clustered, files, star, versioned
 
 Tables = dict[str, DataFrame]
 Query = Callable[[SparkSession, str], DataFrame]
@@ -42,6 +43,8 @@ _BUILDERS = {
     "bad": star.violating_tables,
     "clean": lambda given: cleaning.clean_all(star.raw_tables(given)),
 }
+#: One layout for the three ways of looking up lines.
+CLUSTER_KEYS, CLUSTER_FILES = ("customer_id", "branch_id", "product_id"), 512
 _CACHE: dict[tuple[str, str, str], Tables] = {}
 
 
@@ -238,6 +241,30 @@ def _layout(spark: SparkSession, folder: str) -> DataFrame:
     return sales.sales_in_range(stored, RANGE_FROM, RANGE_UNTIL)
 
 
+def _clustered(*keys: str) -> Query:
+    """Lines looked up by some keys in the one layout that is clustered by all of them."""
+
+    def run(spark: SparkSession, folder: str) -> DataFrame:
+        lines, root = measures.sale_lines(tables(spark, folder, "clean")), fresh_path(spark, "lines")
+        clustered.write_clustered(lines, root, CLUSTER_KEYS, ["sale_item_id"], CLUSTER_FILES)
+        wanted = {key: WANTED[key] for key in keys}
+        return presentable(clustered.lookup(spark, root, lines.schema, **wanted))
+
+    return run
+
+
+def _filtered(key: str) -> Query:
+    """Lines looked up by a key that they are not ordered by, through Bloom filters."""
+
+    def run(spark: SparkSession, folder: str) -> DataFrame:
+        lines = measures.sale_lines(tables(spark, folder, "clean"))
+        path, order = fresh_path(spark, "lines"), ["sale_date", "sale_item_id"]
+        stored = clustered.write_filtered(lines, path, order, ["product_id", "employee_id"])
+        return presentable(stored.filter(F.col(key) == WANTED[key]))
+
+    return run
+
+
 def _default(t: Tables) -> DataFrame:
     omitted = t["sales"].drop("discount_amount")
     return constraints.with_defaults(omitted, TABLES["sales"]).select("sale_id", "discount_amount")
@@ -401,6 +428,12 @@ def queries() -> dict[str, Query]:
         "io_query_to_frame": _query_to_frame,
         "io_cached_mart": _cached_mart,
         "x_layout": _layout,
+        "x_clustered_customer": _clustered("customer_id"),
+        "x_clustered_branch": _clustered("branch_id"),
+        "x_clustered_product": _clustered("product_id"),
+        "x_clustered_branch_product": _clustered("branch_id", "product_id"),
+        "x_filtered_product": _filtered("product_id"),
+        "x_filtered_employee": _filtered("employee_id"),
         "facts_executive_summary": _on_facts(views.executive_summary),
         "facts_sales_monthly": _on_facts(sales.monthly),
         "facts_sales_in_range": _on_facts(

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from checks.fixed import RANGE_FROM, RANGE_UNTIL, SELECTED_BRANCH, VIEW_TOTALS
+from checks.fixed import RANGE_FROM, RANGE_UNTIL, SELECTED_BRANCH, VIEW_TOTALS, WANTED
 from checks.oracle import growth, mean_money, money, percent, ratio, statement
 from countinghouse.schemas import TABLES
 
@@ -671,6 +671,19 @@ def _statements() -> dict[str, str]:
     q["facts_sales_monthly"] = q["sales_monthly"]
     q["facts_sales_in_range"] = q["x_sales_in_range"]
     q["facts_bucketed_net_revenue"] = q["m_sale_net_revenue"]
+    for name, keys in {
+        "clustered_customer": ["customer_id"],
+        "clustered_branch": ["branch_id"],
+        "clustered_product": ["product_id"],
+        "clustered_branch_product": ["branch_id", "product_id"],
+        "filtered_product": ["product_id"],
+        "filtered_employee": ["employee_id"],
+    }.items():
+        where = " AND ".join(f"{key} = {WANTED[key]}" for key in keys)
+        q[f"x_{name}"] = f"""
+            SELECT sale_id, sale_item_id, product_id, quantity, {money("unit_price")} AS unit_price,
+                   customer_id, branch_id, employee_id, sale_date
+            FROM sale_items JOIN sales USING (sale_id) WHERE {where}"""
     q["io_refresh_months"] = q["clean_sales"]
     q["mart_monthly_sales_summary"] = q["v_monthly_sales_summary"]
     q["mart_executive_summary"] = q["v_executive_summary"]

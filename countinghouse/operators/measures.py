@@ -69,6 +69,14 @@ def transaction_totals(tables: Tables, *header: str) -> DataFrame:
     return totals.withColumns({"net_revenue": net, "estimated_net_profit": profit})
 
 
+def sale_lines(tables: Tables) -> DataFrame:
+    """The lines with what their sale's header says of customer, branch, employee and time."""
+    headers = tables["sales"].select(
+        "sale_id", "customer_id", "branch_id", "employee_id", "sale_date"
+    )
+    return tables["sale_items"].join(headers, "sale_id")
+
+
 def sale_source(tables: Tables) -> DataFrame:
     """The frame with one row per sale that a condition on sales applies to."""
     return tables.get(SALE_FACTS, tables["sales"])

@@ -15,7 +15,9 @@ WRITES = {"io_csv_scan", "io_csv_sink", "io_insert_ignore", "io_create_layers",
           "io_views", "io_query_to_frame", "io_cached_mart", "x_layout",
           "facts_executive_summary", "facts_sales_monthly", "facts_sales_in_range",
           "facts_bucketed_net_revenue", "io_refresh_months", "mart_monthly_sales_summary",
-          "mart_executive_summary", "mart_yearly_customers", "mart_branch_customers"}
+          "mart_executive_summary", "mart_yearly_customers", "mart_branch_customers",
+          "x_clustered_customer", "x_clustered_branch", "x_clustered_product",
+          "x_clustered_branch_product", "x_filtered_product", "x_filtered_employee"}
 STORES = {"cust_rfm_scores", "cust_rfm_segments", "v_customer_segments",
           "dash_segment_counts", "dash_first_present_column", "employee_rankings",
           "adv_product_rank", "adv_pareto", "clean_quarantine"}
