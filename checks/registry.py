@@ -45,6 +45,7 @@ _BUILDERS = {
 }
 #: One layout for the three ways of looking up lines.
 CLUSTER_KEYS, CLUSTER_FILES = ("customer_id", "branch_id", "product_id"), 512
+_LAYOUTS: dict[tuple[str, str], str] = {}
 _CACHE: dict[tuple[str, str, str], Tables] = {}
 
 
@@ -110,6 +111,31 @@ def _csv_sink(spark: SparkSession, folder: str) -> DataFrame:
     return presentable(files.read_csv(spark, path, "products"))
 
 
+def _csv_rejects(spark: SparkSession, folder: str) -> DataFrame:
+    """What becomes of the lines of a CSV of which some are broken: their number by reason,
+    and the units of the accepted ones."""
+    path, sale = fresh_path(spark, "sale-items-csv"), F.col("sale_id")
+    items = tables(spark, folder, "raw")["sale_items"]
+    fields = [F.col(name).cast("string") for name in items.columns]
+    fields[3] = F.when(sale % 70 == 3, F.lit("many")).otherwise(fields[3])
+    line = F.concat_ws(",", *fields)
+    short = F.concat_ws(",", *fields[:-1])
+    line = F.when(sale % 70 == 4, short).when(sale % 70 == 5, F.concat(line, F.lit(",9"))).otherwise(line)
+    # One column that holds whole lines, under a header line in each file.
+    whole = items.select(line.alias(",".join(items.columns)))
+    whole.write.options(header="true", sep="\u0001", quote="").csv(path)
+    typed, rejects = files.load_csv(spark, path, "sale_items", fresh_path(spark, "loaded"))
+    accepted = typed.agg(
+        F.lit("accepted").alias("reason"),
+        F.count(F.lit(1)).alias("lines"),
+        F.sum("quantity").alias("units"),
+    )
+    refused = rejects.groupBy(F.col(files.REASON).alias("reason")).agg(
+        F.count(F.lit(1)).alias("lines"), F.lit(0).cast("bigint").alias("units")
+    )
+    return accepted.unionByName(refused)
+
+
 def _insert_ignore(spark: SparkSession, folder: str) -> DataFrame:
     branches = tables(spark, folder, "raw")["branches"]
     stored = versioned.VersionedTable(spark, fresh_path(spark, "branches"), branches.schema)
@@ -245,8 +271,13 @@ def _clustered(*keys: str) -> Query:
     """Lines looked up by some keys in the one layout that is clustered by all of them."""
 
     def run(spark: SparkSession, folder: str) -> DataFrame:
-        lines, root = measures.sale_lines(tables(spark, folder, "clean")), fresh_path(spark, "lines")
-        clustered.write_clustered(lines, root, CLUSTER_KEYS, ["sale_item_id"], CLUSTER_FILES)
+        lines = measures.sale_lines(tables(spark, folder, "clean"))
+        key = (spark.sparkContext.applicationId, folder)
+        if key not in _LAYOUTS:
+            root = fresh_path(spark, "lines")
+            clustered.write_clustered(lines, root, CLUSTER_KEYS, ["sale_item_id"], CLUSTER_FILES)
+            _LAYOUTS[key] = root
+        root = _LAYOUTS[key]
         wanted = {key: WANTED[key] for key in keys}
         return presentable(clustered.lookup(spark, root, lines.schema, **wanted))
 
@@ -379,6 +410,9 @@ def queries() -> dict[str, Query]:
         "gen_date_spine": generate.date_spine,
         "gen_average_price": generate.average_price,
         "gen_eligible_employees": generate.eligible_employees,
+        "gen_eligible_employee_lists": lambda t: generate.eligible_lists(t).select(
+            "sale_id", "eligible_employees", "list_hash"
+        ),
         "gen_earliest_employee": generate.earliest_employee,
         "gen_fallback_sale_day": generate.fallback_sale_day,
         "gen_eligible_customers": generate.eligible_customers,
@@ -419,6 +453,7 @@ def queries() -> dict[str, Query]:
         **{name: _on("clean", report) for name, report in clean.items()},
         **{name: _on("raw", report) for name, report in raw.items()},
         **{name: _on("bad", report) for name, report in bad.items()},
+        "io_csv_rejects": _csv_rejects,
         "io_insert_ignore": _insert_ignore,
         "io_csv_scan": _csv_scan,
         "io_csv_sink": _csv_sink,

@@ -163,6 +163,11 @@ def _statements() -> dict[str, str]:
     # sources and layers
     q["io_csv_scan"] = """
         SELECT supplier_id, supplier_name, city, nullif(phone, '') AS phone FROM raw_suppliers"""
+    q["io_csv_rejects"] = f"""
+        SELECT CASE sale_id % 70 WHEN 3 THEN 'bad value: quantity' WHEN 4 THEN 'missing fields'
+                    WHEN 5 THEN 'surplus fields' ELSE 'accepted' END AS reason, count(*) AS lines,
+               {BIG("sum(CASE WHEN sale_id % 70 IN (3, 4, 5) THEN 0 ELSE quantity END)")} AS units
+        FROM raw_sale_items GROUP BY 1"""
     q["io_insert_ignore"] = """
         SELECT branch_id, branch_name, city, opening_date FROM raw_branches
         WHERE branch_id % 2 = 0
@@ -646,6 +651,12 @@ def _statements() -> dict[str, str]:
         FROM heads LEFT JOIN hires AS h
              ON h.branch_id = heads.branch_id AND h.hire_date <= sold_on
         GROUP BY sale_id"""
+    q["gen_eligible_employee_lists"] = f"""
+        SELECT sale_id, count(h.employee_id) AS eligible_employees,
+               {BIG("coalesce(sum(h.no * (h.employee_id * 7919 % 1000003)), 0)")} AS list_hash
+        FROM heads LEFT JOIN hires AS h
+             ON h.branch_id = heads.branch_id AND h.hire_date <= sold_on
+        GROUP BY sale_id"""
     q["gen_earliest_employee"] = """
         SELECT branch_id, employee_id, hire_date FROM hires WHERE no = 1"""
     q["gen_fallback_sale_day"] = """

@@ -52,7 +52,7 @@ def product_rank(t: Tables) -> DataFrame:
         "product_id", "product_name", "category", "units_sold",
         money(F.col("gross")).alias("gross_revenue"), "revenue_rank_within_category",
         percent(F.col("gross"), F.col("category_gross")).alias("category_revenue_percentage"),
-    ).orderBy("category", "revenue_rank_within_category")
+    ).orderBy("category", "revenue_rank_within_category", "product_id")
 
 
 def pareto(t: Tables) -> DataFrame:
@@ -68,7 +68,7 @@ def pareto(t: Tables) -> DataFrame:
         F.when((total != 0) & within, "Top Revenue Contributors")
         .otherwise("Remaining Products")
         .alias("pareto_group"),
-    ).orderBy(F.desc("gross_revenue"))
+    ).orderBy(F.desc("gross_revenue"), "product_id")
 
 
 def gold_vs_sales(t: Tables, kind: str = "24K") -> DataFrame:

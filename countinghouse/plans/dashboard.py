@@ -90,10 +90,13 @@ def inventory_counts(t: Tables) -> DataFrame:
 
 
 def inventory_table(t: Tables) -> DataFrame:
-    return inventory_risk(t).select(
+    ordered = inventory_risk(t).orderBy(
+        "stock_quantity", "branch_name", "product_name", "inventory_id"
+    )
+    return ordered.select(
         "branch_name", "product_name", "category", "stock_quantity", "reorder_level",
         "inventory_status",
-    ).orderBy("stock_quantity", "branch_name", "product_name")
+    )
 
 
 def branch_options(t: Tables) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -32,8 +33,9 @@ def local_session(cpus: str = "8", **conf: str) -> SparkSession:
 def shared_dir(spark: SparkSession) -> str:
     """The session's scratch folder, below the folder that ``spark.checkpoint.dir`` names.
 
-    Where that is unset, the warehouse is used, which all executors share too; never a
-    folder of one machine. Spark deletes the scratch folder when the application ends.
+    Where that is unset, the warehouse is used; on a cluster it must then lie in a store
+    that all machines share, and a folder of one machine is refused. Spark deletes the
+    scratch folder when the application ends.
     """
     context = spark.sparkContext
     configured = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get(
@@ -41,6 +43,10 @@ def shared_dir(spark: SparkSession) -> str:
     )
     if not configured:
         configured = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/scratch"
+        path = context._jvm.org.apache.hadoop.fs.Path(configured)
+        scheme = path.getFileSystem(context._jsc.hadoopConfiguration()).getScheme()
+        if scheme == "file" and not re.match(r"local(\[.*)?$", context.master):
+            raise ValueError(f"{configured} is a folder of one machine; set spark.checkpoint.dir")
     scratch = f"{configured.rstrip('/')}/{context.applicationId}"
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(configured)

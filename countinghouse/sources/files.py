@@ -8,6 +8,7 @@ from collections.abc import Callable
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from countinghouse.functions.dates import month_of
 from countinghouse.operators.cleaning import clean
@@ -40,6 +41,76 @@ def read_csv(spark: SparkSession, path: str, table: str, multiline: bool = False
     )
 
 
+#: Columns that a checked load adds.
+LINE, REASON = "rejected_line", "reject_reason"
+_MARK = "\u0001"
+
+
+def read_csv_checked(spark: SparkSession, path: str, table: str) -> DataFrame:
+    """Every line of a CSV: a typed row, or the rejected line with its reason.
+
+    Reasons are ``missing fields``, ``surplus fields``, ``unreadable`` (an open quotation
+    mark) and ``bad value`` with the columns that don't take their values; the fields of a
+    rejected line are NULL. A header that differs from the table's fails the load. Lines
+    end at a line break, so this doesn't read texts that hold one.
+    """
+    schema = TABLES[table].schema
+    names = schema.names
+    rows = (
+        spark.read.schema(T.StructType(schema.fields).add(LINE, "string"))
+        .options(**_CSV, mode="PERMISSIVE", enforceSchema="false", columnNameOfCorruptRecord=LINE)
+        .csv(path)
+    )
+    # Behind a line's last field a mark: where it stands tells how many fields there are.
+    parts = [f"_{n}" for n in range(len(names) + 1)]
+    texts = F.from_csv(
+        F.concat(F.col(LINE), F.lit("," + _MARK)),
+        ", ".join(f"{x} string" for x in parts),
+        {k: v for k, v in _CSV.items() if k != "header"},
+    )
+    at = F.coalesce(
+        *(F.when(texts.getField(x) == _MARK, n) for n, x in enumerate(parts))
+    )
+    bad = F.array_compact(
+        F.array(
+            *(
+                F.when(
+                    texts.getField(x).isNotNull()
+                    & texts.getField(x).try_cast(schema[name].dataType).isNull(),
+                    F.lit(name),
+                )
+                for x, name in zip(parts, names)
+            )
+        )
+    )
+    open_quote = (F.length(LINE) - F.length(F.replace(LINE, F.lit('"')))) % 2 == 1
+    reason = (
+        F.when(F.col(LINE).isNull(), None)
+        .when(open_quote, "unreadable")
+        .when(at < len(names), "missing fields")
+        .when(at.isNull(), "surplus fields")
+        .when(F.size(bad) > 0, F.concat(F.lit("bad value: "), F.array_join(bad, ", ")))
+        .otherwise("unreadable")
+    )
+    values = [F.when(F.col(LINE).isNull(), F.col(x)).alias(x) for x in names]
+    return rows.select(*values, LINE, reason.alias(REASON))
+
+
+def load_csv(
+    spark: SparkSession, path: str, table: str, root: str
+) -> tuple[DataFrame, DataFrame]:
+    """The typed rows and the rejected lines (``rejected_line``, ``reject_reason``) of a CSV,
+    stored below ``root`` in one pass over it."""
+    checked = read_csv_checked(spark, path, table)
+    accepted = F.col(REASON).isNull().alias("accepted")
+    checked.select("*", accepted).write.partitionBy("accepted").parquet(root)
+    stored = spark.read.schema(T.StructType(checked.schema.fields).add("accepted", "boolean")).parquet(root)
+    return (
+        stored.filter("accepted").select(*TABLES[table].schema.names),
+        stored.filter("not accepted").select(LINE, REASON),
+    )
+
+
 def write_csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").options(**_CSV).csv(path)
 
@@ -66,7 +137,10 @@ def _absent(existing: DataFrame, new: DataFrame, key: str) -> DataFrame:
 
 
 def insert_ignore_into(spark: SparkSession, path: str, new: DataFrame, key: str) -> DataFrame:
-    """Append the new rows whose key the stored table lacks, and read the table back."""
+    """Append the new rows whose key the stored table lacks, and read the table back.
+
+    For a plain folder with one writer; ``versioned.insert_ignore`` is for several.
+    """
     existing = spark.read.schema(new.schema).parquet(path)
     _absent(existing, new, key).write.mode("append").parquet(path)
     return spark.read.schema(new.schema).parquet(path)

@@ -191,3 +191,84 @@ def test_shared_folder_comes_from_the_session(spark):
     folder = spark.conf.get("spark.checkpoint.dir")
     assert shared_dir(spark) == f"{folder}/{spark.sparkContext.applicationId}"
     assert fresh_path(spark, "x") != fresh_path(spark, "x")
+
+
+
+
+def _sale_items(tmp_path, *lines):
+    names = "sale_item_id,sale_id,product_id,quantity,unit_price"
+    (tmp_path / "items.csv").write_text("\n".join([names, *lines]) + "\n")
+    return str(tmp_path / "items.csv")
+
+
+def test_rejected_lines_have_their_reason(spark, tmp_path):
+    path = _sale_items(
+        tmp_path,
+        "a,1,2,3,4.50",
+        'b,1,2,x,4.50',
+        "c,1,2,3",
+        "d,1,2,3,4.50,6,7",
+        "e,1,zwei,3,vier",
+        '"f, g",1,2,3,4.50',
+        '"h, ""i""",1,2,three,4.50',
+        "j,,,,",
+        'k,1,"2,3,4.50',
+        "l,1,2,3,99999999999999999",
+    )
+    typed, rejects = files.load_csv(spark, path, "sale_items", fresh_path(spark, "loaded"))
+    assert typed.schema.names == ["sale_item_id", "sale_id", "product_id", "quantity", "unit_price"]
+    assert sorted(map(tuple, typed.collect())) == [
+        ("a", 1, 2, 3, Decimal("4.50")), ("f, g", 1, 2, 3, Decimal("4.50")), ("j", None, None, None, None),
+    ]
+    found = {row[files.LINE].split(",")[0]: row[files.REASON] for row in rejects.collect()}
+    assert found == {
+        "b": "bad value: quantity", "c": "missing fields", "d": "surplus fields",
+        "e": "bad value: product_id, unit_price", '"h': "bad value: quantity", "k": "unreadable",
+        "l": "bad value: unit_price",
+    }
+
+
+def test_a_file_is_read_once_for_rows_and_rejects(spark, tmp_path):
+    path = _sale_items(tmp_path, "a,1,2,3,4.50", "b,1,2,x,4.50")
+    typed, rejects = files.load_csv(spark, path, "sale_items", fresh_path(spark, "loaded"))
+    assert path not in "".join(typed.inputFiles() + rejects.inputFiles())
+    assert "PartitionFilters: [isnotnull(accepted" in _plan(typed)
+    assert (typed.count(), rejects.count()) == (1, 1)
+
+
+def test_a_checked_load_of_nothing(spark, tmp_path):
+    typed, rejects = files.load_csv(
+        spark, _sale_items(tmp_path), "sale_items", fresh_path(spark, "loaded")
+    )
+    assert (typed.count(), rejects.count()) == (0, 0)
+
+
+def test_views_are_named_in_any_case(spark, shop):
+    text = "select total_transactions from Cased_Executive_SUMMARY"
+    assert views.query(spark, text, shop, "cased_").first()[0] == 4
+
+
+def test_a_folder_of_one_machine_is_refused_on_a_cluster(spark, monkeypatch):
+    from countinghouse import session
+
+    class Conf:
+        def __init__(self, unset):
+            self.unset = unset
+
+        def get(self, key, *default):
+            if key == "spark.checkpoint.dir":
+                return None
+            return "file:/one/machine" if key == "spark.sql.warehouse.dir" else self.unset
+
+    class Context:
+        master, applicationId = "spark://host:7077", "app-1"
+        _jvm, _jsc = spark.sparkContext._jvm, spark.sparkContext._jsc
+
+        def getConf(self):
+            return Conf(None)
+
+    class Session:
+        sparkContext, conf = Context(), Conf(None)
+
+    with pytest.raises(ValueError, match="folder of one machine"):
+        session.shared_dir(Session())
