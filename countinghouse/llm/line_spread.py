@@ -2,18 +2,26 @@
 
 A line (trimmed of blanks, in lower case, not empty) is known by its hash. One
 HyperLogLog sketch of the sites per hash, merged by aggregation, tells how many
-distinct sites have it. Lines whose estimate is near the limit are counted exactly.
-Lines on more than ``max_sites`` sites are removed from every document, unless they
-hold over half of its characters: then the document itself is what the sites share,
-which is left to near-duplicate removal.
-
-Defined results: a null text stays null, an empty one empty; a null site is no site;
-equal rows get equal texts; an empty table stays empty; other columns are kept as
+distinct sites have it, and a second one in how many kinds of company it stands. Lines
+of which one estimate is near the limit are counted exactly. Lines on more than
+``max_sites`` sites and in more than as many kinds of company are removed from every
+document.
+
+A line's company in a document is the other line with the least MD5, by each quarter of
+the MD5; the quarter with most kinds counts. Company tells the two reasons apart for which
+a line is on many sites: boilerplate stands in documents that share little else, while the
+lines of a copied document bring their company along, even if some other lines of the copy
+were changed. Copies are left to near-duplicate removal.
+
+Defined results: a null text stays null, an empty one empty; a null site is no site, a
+line that is alone in its document has no company there; equal rows get equal texts; an empty table stays empty; other columns are kept as
 they are, whatever their names.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,8 +34,16 @@ LOG_REGISTERS = 12
 NEAR = 0.1
 
 
+#: Columns of a line's company, one for each quarter of an MD5.
+COMPANY = tuple(f"company_{n}" for n in range(4))
+
+
+def _normal(line: Column) -> Column:
+    return F.lower(F.trim(line))
+
+
 def line_key(line: Column) -> Column:
-    return F.xxhash64(F.lower(F.trim(line)))
+    return F.xxhash64(_normal(line))
 
 
 def _lines(text: Column) -> Column:
@@ -39,29 +55,38 @@ def _has_content(line: Column) -> Column:
 
 
 def spread_lines(lines: DataFrame, max_sites: int = MAX_SITES) -> DataFrame:
-    """``line`` of each key that more than ``max_sites`` distinct sites have.
+    """``line`` of each key that more than ``max_sites`` distinct sites have, in more than as
+    many kinds of company.
 
-    ``lines`` has the columns ``line`` and ``site``.
+    ``lines`` has the columns ``line``, ``site`` and ``COMPANY``; nulls don't count.
     """
     sketches = lines.groupBy("line").agg(
-        F.hll_sketch_estimate(F.hll_sketch_agg("site", F.lit(LOG_REGISTERS))).alias("sites")
+        *(
+            F.hll_sketch_estimate(F.hll_sketch_agg(kind, F.lit(LOG_REGISTERS))).alias(kind)
+            for kind in ("site", *COMPANY)
+        )
     )
+    fewer = F.least("site", F.greatest(*COMPANY))
     least, most = max_sites * (1 - NEAR) - 1, max_sites * (1 + NEAR) + 1
     known = stored(
-        sketches.filter(F.col("sites") >= least).withColumn("sure", F.col("sites") > most),
-        "spread",
-    )
-    unsure = known.filter("not sure").select("line")
-    exact = (
-        lines.join(unsure, "line", "left_semi")
-        .filter("site is not null")
-        .groupBy("line", "site")
-        .agg(F.count(F.lit(1)).alias("rows"))
-        .groupBy("line")
-        .agg(F.count(F.lit(1)).alias("sites"))
-        .filter(F.col("sites") > max_sites)
+        sketches.filter(fewer >= least).select("line", (fewer > most).alias("sure")), "spread"
     )
-    return known.filter("sure").select("line").unionByName(exact.select("line"))
+    unsure = lines.join(known.filter("not sure").select("line"), "line", "left_semi")
+
+    def above(kind: str) -> DataFrame:
+        return (
+            unsure.filter(F.col(kind).isNotNull())
+            .groupBy("line", kind)
+            .agg(F.count(F.lit(1)).alias("rows"))
+            .groupBy("line")
+            .agg(F.count(F.lit(1)).alias("kinds"))
+            .filter(F.col("kinds") > max_sites)
+            .select("line")
+        )
+
+    mixed = reduce(DataFrame.unionByName, map(above, COMPANY))
+    exact = above("site").join(mixed, "line", "left_semi")
+    return known.filter("sure").select("line").unionByName(exact)
 
 
 def remove_spread_lines(
@@ -77,37 +102,45 @@ def remove_spread_lines(
     ``removed_col`` names a further column for the number of lines removed.
     """
     text = F.col(f"`{text_col}`")
+    marked = F.transform(
+        F.filter(_lines(text), _has_content),
+        lambda line: F.struct(line_key(line).alias("line"), F.md5(_normal(line)).alias("mark")),
+    )
+
+    def quarter(mark: Column, n: int) -> Column:
+        return F.substring(mark, 1 + 8 * n, 8)
+
+    def two_least(n: int) -> Column:
+        marks = F.transform("contents", lambda x: quarter(x["mark"], n))
+        return F.slice(F.array_sort(F.array_distinct(marks)), 1, 2)
+
+    def company(n: int) -> Column:
+        first, second = (F.get(f"least_{n}", F.lit(k)) for k in range(2))
+        other = F.when(quarter(F.col("content.mark"), n) == first, second).otherwise(first)
+        return F.conv(other, 16, 10).cast("bigint").alias(COMPANY[n])
+
+    count = range(len(COMPANY))
     lines = stored(
         docs.select(
             F.col(f"`{id_col}`").alias("id"),
             F.xxhash64(text).alias("digest"),
             F.col(f"`{site_col}`").alias("site"),
-            F.explode(F.filter(_lines(text), _has_content)).alias("content"),
-        ).select(
-            "id", "digest", "site", line_key(F.col("content")).alias("line"),
-            F.length("content").alias("chars"),
-        ),
+            marked.alias("contents"),
+        )
+        .select("*", *(two_least(n).alias(f"least_{n}") for n in count))
+        .select(
+            "id", "digest", "site", *(f"least_{n}" for n in count),
+            F.explode("contents").alias("content"),
+        )
+        .select("id", "digest", "site", "content.line", *map(company, count)),
         "lines",
     )
     spread = stored(spread_lines(lines, max_sites), "spread-lines")
-    # Equal rows have equal lines: the share is taken of all of them together.
-    found = stored(
+    # Equal rows have equal lines.
+    boilerplate = stored(
         lines.join(spread, "line")
-        .groupBy("id", "digest", "line")
-        .agg(F.sum("chars").alias("chars"))
         .groupBy("id", "digest")
-        .agg(F.collect_set("line").alias("spread"), F.sum("chars").alias("chars")),
-        "found",
-    )
-    rows = lines.groupBy("id", "digest").agg(F.sum("chars").alias("all_chars"))
-    boilerplate = stored(
-        found.alias("f")
-        .join(
-            rows.alias("r"),
-            F.col("f.id").eqNullSafe(F.col("r.id")) & (F.col("f.digest") == F.col("r.digest")),
-        )
-        .filter(F.col("f.chars") * 2 <= F.col("r.all_chars"))
-        .select(F.col("f.id").alias("id"), F.col("f.digest").alias("digest"), "f.spread"),
+        .agg(F.collect_set("line").alias("spread")),
         "boilerplate",
     )
     given = F.col(f"d.`{text_col}`")

@@ -112,30 +112,35 @@ def op6_line_spread(spark: SparkSession, folder: str) -> DataFrame:
     ).select("doc_id", "text", "n_removed")
 
 
+_KINDS_OF_COMPANY = ", ".join(
+    f"""count(distinct case when md5(norm)[{at}:{at + 7}] = m{at}[1] then m{at}[2] else m{at}[1] end)"""
+    for at in (1, 9, 17, 25)
+)
 OP6_SQL = f"""
 with lines as (
     select d.rowid as row, doc_id, source, n, line,
         case when trim(line) <> '' then lower(trim(line)) end as norm
     from (select row_number() over () as rowid, * from documents) d,
         unnest(string_split(text, chr(10))) with ordinality as u(line, n)
+), marks as (
+    select row, {", ".join(
+        f"list_sort(list(distinct md5(norm)[{at}:{at + 7}])) as m{at}" for at in (1, 9, 17, 25)
+    )}
+    from lines where norm is not null group by row
 ), spread as (
-    select norm from lines where norm is not null
-    group by norm having count(distinct source) > {line_spread.MAX_SITES}
+    select norm from lines join marks using (row) where norm is not null
+    group by norm
+    having count(distinct source) > {line_spread.MAX_SITES}
+        and greatest({_KINDS_OF_COMPANY}) > {line_spread.MAX_SITES}
 ), flagged as (
-    select row, doc_id, n, line, norm, norm in (select norm from spread) as gone from lines
-), rows as (
-    select row, doc_id,
-        coalesce(sum(length(line)) filter (gone), 0) * 2
-            <= sum(length(line)) filter (norm is not null) as few,
-        string_agg(line, chr(10) order by n) as whole,
-        string_agg(line, chr(10) order by n) filter (gone is not true) as rest,
-        count(*) filter (gone) as gone
-    from flagged group by row, doc_id
+    select row, doc_id, n, line, norm in (select norm from spread) as gone from lines
 )
 select doc_id,
-    case when few and gone > 0 then coalesce(rest, '') else whole end as text,
-    cast(case when few then gone else 0 end as bigint) as n_removed
-from rows
+    case when count(*) filter (gone) > 0
+        then coalesce(string_agg(line, chr(10) order by n) filter (gone is not true), '')
+        else string_agg(line, chr(10) order by n) end as text,
+    cast(count(*) filter (gone) as bigint) as n_removed
+from flagged group by row, doc_id
 """
 
 

@@ -3,6 +3,8 @@ from __future__ import annotations
 import re
 from collections import Counter
 
+from pyspark.sql import functions as F
+
 from countinghouse.llm import line_frequency, line_spread, queries
 from tests.llm.conftest import FOLDER, ROWS
 
@@ -128,15 +130,37 @@ def test_lines_of_many_sites_go(spark):
     assert found[300] == "\nmy own much longer line than those two are"
 
 
+def test_boilerplate_goes_where_it_is_most_of_the_text(spark):
+    """Of a text of which half a dozen lines are shared, only its own stay; copies stay."""
+    footer = [f"shared footer number {n} with quite many words in it" for n in range(6)]
+    rows = [(n, "\n".join([f"own {n}", *footer]), f"s{n}") for n in range(60)]
+    copy = [f"copied line number {n}" for n in range(20)]
+    rows += [(100 + n, "\n".join(copy), f"s{n}") for n in range(30)]
+    changed = [[*copy[:n], f"changed {n}", *copy[n + 1 :]] for n in range(18)]
+    rows += [(200 + n, "\n".join(x), f"s{n}") for n, x in enumerate(changed)]
+    rows += [(300 + n, footer[0], f"s{n}") for n in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    found = {r.doc_id: r.text for r in line_spread.remove_spread_lines(docs).collect()}
+    assert {n: found[n] for n in range(60)} == {n: f"own {n}" for n in range(60)}
+    assert all(found[n] == text for n, text, _ in rows if 100 <= n < 300)
+    assert {found[300 + n] for n in range(20)} == {""}  # others show that it is boilerplate
+    alone = [(n, "all texts are this", f"s{n}") for n in range(40)]
+    docs = spark.createDataFrame(alone, "doc_id bigint, text string, source string")
+    assert {r.text for r in line_spread.remove_spread_lines(docs).collect()} == {"all texts are this"}
+
+
 def test_sketches_and_exact_counts_agree(spark):
     rows = [(f"line{sites}", f"site{n}") for sites in range(1, 40) for n in range(sites)] * 2
     lines = spark.createDataFrame(rows, "name string, site string").selectExpr(
-        "xxhash64(name) as line", "site", "name"
+        "xxhash64(name) as line", "site", "name", "0L as company_0", "null as company_1",
+        "xxhash64(site) as company_2", "1L as company_3",
     )
     for limit in (1, 10, 25):
         found = line_spread.spread_lines(lines, limit)
         names = lines.join(found, "line").select("name").distinct().collect()
         assert {row.name for row in names} == {f"line{n}" for n in range(limit + 1, 40)}
+    few = lines.withColumn("company_2", F.pmod("company_2", F.lit(9)))
+    assert line_spread.spread_lines(few, 10).count() == 0
 
 
 def test_no_python_on_the_main_path(spark):
