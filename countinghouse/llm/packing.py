@@ -8,6 +8,12 @@ that documents aren't cut into single tokens. The rounds, one after the other, a
 into windows, so each window has the target proportions but for a grain of each source
 as long as its queues last, and an empty queue leaves its room to the others.
 
+Sources that the mixture names and the largest others have queues of their own; all the
+rest share one, the tail, inside which a second level takes turns: the grains of the tail's
+sources are dealt to rounds in proportion to their tokens, a round's grains follow each
+other, and prefix sums over the rounds give every grain its place in the tail. So a source
+has its proportion however many there are; only the tail's tokens move for it.
+
 The state after any round follows from the round's number (``Rounds.handed``). So no
 task waits for another: a document knows its place in its queue from per-partition sums,
 and from that its rounds, windows and offsets, in whatever partition it lies.
@@ -30,6 +36,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from countinghouse.functions.ordering import with_running_total
 from countinghouse.llm.arrow import sliced
 from countinghouse.session import stored
 
@@ -39,7 +46,7 @@ END = 1
 GRAIN = 128
 #: Weights are in this part of a token.
 PARTS = 512
-#: Sources with a queue of their own, by tokens; the rest shares one.
+#: The largest sources that have a queue of their own beside those named in the mixture.
 MAX_QUEUES = 256
 
 
@@ -203,45 +210,70 @@ def pack(
 
     ``mixture`` gives target proportions of tokens by source; without it, and for sources
     it does not name, the target is the source's part of all tokens, so that all queues
-    last equally long.
+    last equally long. A target that is not positive, or of a source without documents,
+    can't be kept and raises ValueError.
     """
     rows = tokenized(docs, tokenizer_path, pattern, id_col, text_col, source_col)
     sums = stored(
         rows.groupBy("source", "partition").agg(F.sum("tokens").alias("tokens")), "sums"
     )
-    totals = sums.groupBy("source").agg(F.sum("tokens").alias("tokens"))
-    # At most max_queues rows come to the driver, however many sources there are.
-    largest = totals.orderBy(F.desc("tokens"), "source").limit(max_queues - 1).collect()
-    everything = sums.agg(F.sum("tokens")).first()[0] or 0
-    queues = {row["source"]: n for n, row in enumerate(largest)}
-    tokens = [row["tokens"] for row in largest]
-    tokens.append(everything - sum(tokens))
-    wanted = [
-        (mixture or {}).get(row["source"], row["tokens"] / max(1, everything)) for row in largest
-    ] + [tokens[-1] / max(1, everything)]
-    state = Rounds(tokens, [max(x, 1e-9) for x in wanted], window, grain)
+    totals = stored(sums.groupBy("source").agg(F.sum("tokens").alias("tokens")), "totals")
+    named = _named(totals, mixture or {})
+    # At most max_queues more rows come to the driver, however many sources there are.
+    others = totals.filter(~F.col("source").isin(*named)) if named else totals
+    largest = others.orderBy(F.desc("tokens"), "source").limit(max_queues - 1).collect()
+    everything = totals.agg(F.sum("tokens")).first()[0] or 0
+    tokens = [*named.values(), *(row["tokens"] for row in largest)]
+    wanted = [*(mixture or {}).values(), *(row["tokens"] / everything for row in largest)]
+    queues = {x: n for n, x in enumerate([*named, *(row["source"] for row in largest)])}
+    left = everything - sum(tokens)
+    state = Rounds([*tokens, left], [*wanted, max(left / max(1, everything), 1e-9)], window, grain)
+    # A window spans the partitions of one source.
+    order = Window.partitionBy("source").orderBy("partition")
     places = stored(
-        sums.withColumn("queue", _queue(queues))
-        .withColumn(
-            "base",
-            F.sum("tokens").over(Window.partitionBy("queue").orderBy("partition", "source"))
-            - F.col("tokens"),
-        )
-        .select("source", "partition", "queue", "base"),
+        sums.select(
+            "source",
+            "partition",
+            _queue(queues).alias("queue"),
+            (F.sum("tokens").over(order) - F.col("tokens")).alias("base"),
+        ),
         "places",
     )
+    placed = rows.join(places, ["source", "partition"]).select(
+        "id",
+        "source",
+        "queue",
+        (F.col("base") + F.col("before")).alias("at"),
+        F.lit(0).cast("bigint").alias("begin"),
+        "tokens",
+        F.col("tokens").alias("doc_tokens"),
+        "ids",
+    )
+    if left:
+        in_tail = F.col("queue") == len(queues)
+        tail = totals.filter(~F.col("source").isin(*queues)) if queues else totals
+        turns = _turns(tail, left, window, grain)
+        placed = placed.filter(~in_tail).unionByName(_in_turns(placed.filter(in_tail), turns, grain))
     kind = rows.schema["id"].dataType.simpleString()
-    return (
-        rows.join(places, ["source", "partition"])
-        .select("id", "queue", (F.col("base") + F.col("before")).alias("at"), "tokens", "ids")
-        .mapInArrow(
-            _cut(state),
-            f"`{id_col}` {kind}, start bigint, length bigint, ids binary, doc_tokens bigint,"
-            " sequence_id bigint, offset bigint",
-        )
+    return placed.drop("source").mapInArrow(
+        _cut(state),
+        f"`{id_col}` {kind}, start bigint, length bigint, ids binary, doc_tokens bigint,"
+        " sequence_id bigint, offset bigint",
     )
 
 
+def _named(totals: DataFrame, mixture: dict[str, float]) -> dict[str, int]:
+    """The tokens of each source of the mixture, in its order."""
+    wrong = [x for x, share in mixture.items() if not 0 < share < float("inf")]
+    if not mixture:
+        return {}
+    found = totals.filter(F.col("source").isin(*mixture)).collect()
+    known = {row["source"]: row["tokens"] for row in found}
+    if wrong or len(known) < len(mixture):
+        raise ValueError(f"targets that can't be kept: {wrong or sorted(set(mixture) - set(known))}")
+    return {x: known[x] for x in mixture}
+
+
 def _queue(queues: dict[str, int]) -> Column:
     if not queues:
         return F.lit(0)
@@ -249,12 +281,88 @@ def _queue(queues: dict[str, int]) -> Column:
     return F.coalesce(known[F.col("source")], F.lit(len(queues)))
 
 
+def _turns(totals: DataFrame, everything: int, window: int, grain: int) -> DataFrame:
+    """``source``, ``grain`` and ``place`` of each grain of the tail.
+
+    A round is about a window of the tail. Grain n of a source's N is due when n / N of
+    all rounds are over, later by the source's phase, which keeps small sources from
+    coming in the same round. A round holds few grains: they follow each other by source.
+    """
+    rounds = max(1, everything // window)
+    count = F.call_function("div", F.col("tokens") + grain - 1, F.lit(grain))
+    number = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("grains") - 1)).alias("grain")
+    wide = "decimal(38,0)"
+    due = (F.col("grain") * PARTS + F.col("phase")).cast(wide) * rounds
+    grains = (
+        totals.withColumn("grains", count)
+        .withColumn("phase", F.pmod(F.xxhash64("source"), F.lit(PARTS)))
+        .select("source", "tokens", "grains", "phase", number)
+        .select(
+            "source",
+            "grain",
+            F.call_function("div", due, (F.col("grains") * PARTS).cast(wide)).alias("round"),
+            F.least(F.lit(grain), F.col("tokens") - F.col("grain") * grain).alias("size"),
+        )
+    )
+    per_round = grains.groupBy("round").agg(F.sum("size").alias("held"))
+    begins = with_running_total(per_round, [F.col("round")], "held", "upto").select(
+        "round", (F.col("upto") - F.col("held")).alias("begins")
+    )
+    order = Window.partitionBy("round").orderBy("source", "grain")
+    return stored(
+        grains.withColumn("inside", F.sum("size").over(order) - F.col("size"))
+        .join(begins, "round")
+        .select("source", "grain", (F.col("begins") + F.col("inside")).cast("bigint").alias("place")),
+        "turns",
+    )
+
+
+def _in_turns(placed: DataFrame, turns: DataFrame, grain: int) -> DataFrame:
+    """The tail's documents cut into the grains of their sources, at their places in the tail."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in sliced(batch, 200):
+                rows, grains, begins, sizes, ids = [], [], [], [], []
+                columns = (part[name].to_pylist() for name in ("at", "tokens", "ids"))
+                for row, (at, tokens, packed) in enumerate(zip(*columns)):
+                    width = len(packed) // tokens
+                    for n in range(at // grain, (at + tokens - 1) // grain + 1):
+                        begin, end = max(n * grain - at, 0), min((n + 1) * grain - at, tokens)
+                        rows.append(row)
+                        grains.append(n)
+                        begins.append(begin)
+                        sizes.append(end - begin)
+                        ids.append(packed[begin * width : end * width])
+                taken = part.take(pa.array(rows, pa.int64()))
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        taken["id"], taken["source"], taken["queue"], taken["at"],
+                        pa.array(begins, pa.int64()), pa.array(sizes, pa.int64()),
+                        taken["doc_tokens"], pa.array(ids, pa.binary()), pa.array(grains, pa.int64()),
+                    ],
+                    names=[
+                        "id", "source", "queue", "at", "begin", "tokens", "doc_tokens", "ids", "grain",
+                    ],
+                )
+
+    kinds = ", ".join(f"{x.name} {x.dataType.simpleString()}" for x in placed.schema)
+    inside = F.col("at") + F.col("begin") - F.col("grain") * grain
+    return (
+        placed.mapInArrow(run, f"{kinds}, grain bigint")
+        .join(turns, ["source", "grain"])
+        .withColumn("at", F.col("place") + inside)
+        .select(*placed.columns)
+    )
+
+
 def _cut(state: Rounds):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in sliced(batch, 200):
-                at, tokens, queue = (
-                    part[name].to_numpy().astype(np.int64) for name in ("at", "tokens", "queue")
+                at, tokens, queue, begin = (
+                    part[name].to_numpy().astype(np.int64)
+                    for name in ("at", "tokens", "queue", "begin")
                 )
                 doc, start, length, place = state.pieces(at, tokens, queue)
                 # The pieces in order are the ids in order, so they share one buffer.
@@ -264,14 +372,14 @@ def _cut(state: Rounds):
                 yield pa.RecordBatch.from_arrays(
                     [
                         part["id"].take(pa.array(doc)),
-                        pa.array(start),
+                        pa.array(begin[doc] + start),
                         pa.array(length),
                         pa.LargeBinaryArray.from_buffers(
                             pa.large_binary(),
                             len(doc),
                             [None, pa.py_buffer(ends), pa.py_buffer(ids)],
                         ).cast(pa.binary()),
-                        pa.array(tokens[doc]),
+                        part["doc_tokens"].take(pa.array(doc)),
                         pa.array(place // state.window),
                         pa.array(place % state.window),
                     ],

@@ -84,7 +84,64 @@ def test_a_given_mixture(spark):
     assert abs(share - 0.75) < 0.05
 
 
+def test_many_sources_have_their_share(spark, tokens):
+    """A thousand sources, most of them in the tail: every source keeps its proportion."""
+    rows = []
+    for n in range(1_000):
+        for _ in range(1 + (n % 7 == 0) + 20 * (n < 5)):
+            rows.append((len(rows), "word " * (100 + n * 37 % 300), f"s{n:04d}"))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string").repartition(5)
+    found = packing.pack(docs, PATH, PATTERN, max_queues=4).withColumn("ids_crc32", F.crc32("ids"))
+    found = found.collect()
+    holds(found, {number: text for number, text, _ in rows}, tokens, 2_048)
+    sources = {number: source for number, _, source in rows}
+    total, held = Counter(), defaultdict(Counter)
+    for row in found:
+        total[sources[row.doc_id]] += row.length
+        held[row.sequence_id][sources[row.doc_id]] += row.length
+    whole, upto, worst = sum(total.values()), Counter(), []
+    for number in range(len(held) - 1):
+        upto.update(held[number])
+        for s in total:
+            share = total[s] / whole
+            assert abs(held[number][s] - 2_048 * share) <= 2 * packing.GRAIN
+            worst.append((abs(upto[s] - (number + 1) * 2_048 * share), s, number))
+    # Bounded however many windows: a few grains for the two levels.
+    assert max(worst)[0] <= 4 * packing.GRAIN, sorted(worst)[-9:]
+
+
+def test_targets_of_small_sources_are_kept(spark):
+    rows = [(n, "word " * 400, "abcdz"[n % 5]) for n in range(100)]
+    rows += [(1_000 + n, "word " * 900, f"big{n % 3}") for n in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    mixture = {"a": 0.125, "b": 0.125, "c": 0.125, "d": 0.125, "z": 0.5}
+    only = docs.filter("doc_id < 1000")
+    found = packing.pack(only, PATH, PATTERN, mixture=mixture, max_queues=3).collect()
+    sources = {number: source for number, _, source in rows}
+    held = Counter()
+    for row in found:
+        if row.sequence_id < 6:
+            held[sources[row.doc_id]] += row.length
+    assert all(abs(held[x] - 6 * 2_048 * share) <= 2 * packing.GRAIN for x, share in mixture.items())
+    found = packing.pack(docs, PATH, PATTERN, mixture={"z": 0.5}, max_queues=2).collect()
+    first = [row for row in found if row.sequence_id < 3]
+    share = sum(row.length for row in first if sources[row.doc_id] == "z") / (3 * 2_048)
+    # z has half a window's weight beside all others' part of the tokens.
+    others = 1 - sum(row.length for row in found if sources[row.doc_id] == "z") / sum(
+        row.length for row in found
+    )
+    assert abs(share - 0.5 / (0.5 + others)) < 0.05
+
+
+@pytest.mark.parametrize("mixture", [{"nowhere": 1.0}, {"src0": 0.0}, {"src0": float("nan")}])
+def test_targets_that_cannot_be_kept(documents, mixture):
+    with pytest.raises(ValueError, match="can't be kept"):
+        packing.pack(documents, PATH, PATTERN, mixture=mixture)
+
+
 def test_awkward_rows(awkward, no_docs, tokens):
     found = packing.pack(awkward, PATH, PATTERN).collect()
     assert sum(row.length for row in found) == sum(len(tokens(row[1])) for row in ROWS)
+    found = packing.pack(awkward, PATH, PATTERN, max_queues=1).collect()
+    assert sum(row.length for row in found) == sum(len(tokens(row[1])) for row in ROWS)
     assert packing.pack(no_docs, PATH, PATTERN).count() == 0
