@@ -12,7 +12,7 @@ Training needs no labelled table: base spans are right, other proposals around t
 wrong; snippets where two spans touch or a span is written differently, made from the
 same base spans, show what the patterns miss. It uses the base spans of at most
 ``MAX_TRAIN`` documents. A kind's threshold is the lowest score that had at least
-``PRECISION`` on snippets kept apart; a kind without such a score gets no more spans.
+``PRECISION`` on snippets kept apart, lowered half-way to the next; a kind without such a score gets no more spans.
 
 Defined results: a null or empty text has no spans; repeated rows get equal results;
 an empty table gives an empty result; further columns are left out, or kept as they are
@@ -22,8 +22,10 @@ by ``redact``.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, insort
 from collections.abc import Iterator
 from dataclasses import dataclass
+from ipaddress import IPv6Address, ip_address
 
 import numpy as np
 import pyarrow as pa
@@ -42,6 +44,8 @@ PRECISION = 0.98
 CONTEXT = 32
 #: Spans and snippets for training that come to the driver at most.
 MAX_SPANS = 8_000
+#: Snippets are made of as many spans at least, of each several times if there are fewer.
+VARIED = 1_000
 
 Span = tuple[int, int, int]
 
@@ -61,13 +65,13 @@ _AREA = re.compile(r"[0-9](?:[\x20()./-]{0,3}[0-9])*")
 _RUN = re.compile(r"[0-9]+")
 _AT = re.compile(
     r"@|\x20?[\[(]\x20?at\x20?[\])]\x20?"
-    r"|\x20at\x20(?=[\w-]{1,63}(?:\.|\x20dot\x20)[a-z]{2})"
+    r"|\x20at\x20(?=[\w-]{1,63}(?:\.|\x20?[\[(]\x20?dot\x20?[\])]\x20?|\x20dot\x20)[a-z]{2})"
 )
 _BEFORE_AT = re.compile(r"[\w.%+-]{1,64}\Z")
 _AFTER_AT = re.compile(
     r"[\w-]{1,63}(?:(?:\.|\x20?[\[(]\x20?dot\x20?[\])]\x20?|\x20dot\x20)[\w-]{1,63}){1,8}"
 )
-_IPV6 = re.compile(r"(?<![\w:])(?:[0-9a-fA-F]{1,4}:){4,7}[0-9a-fA-F]{1,4}(?![\w:])")
+_IPV6 = re.compile(r"(?<![\w:])[0-9a-fA-F:]{2,39}(?![\w:])")
 #: Words before a span that hint at a kind, and ones that hint at another number.
 _HINTS = (
     re.compile(r"mail|contact|write|address", re.I),
@@ -146,7 +150,10 @@ def proposals(text: str) -> list[Span]:
                     found.add((begin, end, PHONE))
                 if last - first == 3 and text[start:end].count(".") == 3 and count <= 12:
                     found.add((start, end, IP))
-    found.update((*m.span(), IP) for m in _IPV6.finditer(text))
+    # Anything like an IPv6 address, clock times and hardware addresses too.
+    for match in _IPV6.finditer(text) if ":" in text else ():
+        if match[0].count(":") > 1 and _RUN.search(match[0]):
+            found.add((*match.span(), IP))
     for sign in _AT.finditer(text):
         before = _BEFORE_AT.search(text, max(0, sign.start() - 64), sign.start())
         after = _AFTER_AT.match(text, sign.end())
@@ -155,6 +162,13 @@ def proposals(text: str) -> list[Span]:
     return sorted(found)
 
 
+def _is_ipv6(body: str) -> bool:
+    try:
+        return isinstance(ip_address(body), IPv6Address)
+    except ValueError:
+        return False
+
+
 def _kind_of(char: str) -> int:
     if not char:
         return 0
@@ -188,6 +202,7 @@ def features(text: str, span: Span) -> list[float]:
         float(digits[:1] or -1),
         luhn(digits) if kind == CARD else 0,
         all(int(x) <= 255 for x in runs) if kind == IP and max(lengths) <= 3 else 0,
+        _is_ipv6(body) if kind == IP else 0,
         _kind_of(before[-1:]),
         _kind_of(before.rstrip(" (+.-/")[-1:]),
         before[-1:] in ("+", ".", "-", "/", "(", ":"),
@@ -199,6 +214,31 @@ def features(text: str, span: Span) -> list[float]:
 
 
 WIDTH = len(features("1", (0, 1, 0)))
+#: Proposals that are scored at once.
+SCORED = 20_000
+
+
+class Held:
+    """The places of a text that spans hold, as disjoint stretches in order."""
+
+    def __init__(self, spans: list[Span]):
+        self.starts: list[int] = []
+        self.stops: list[int] = []
+        for start, stop, _ in sorted(spans):
+            if self.stops and start < self.stops[-1]:
+                self.stops[-1] = max(self.stops[-1], stop)
+            else:
+                self.starts.append(start)
+                self.stops.append(stop)
+
+    def free(self, span: Span) -> bool:
+        at = bisect_left(self.starts, span[1])
+        return not at or self.stops[at - 1] <= span[0]
+
+    def take(self, span: Span) -> None:
+        """Hold a free span too."""
+        insort(self.starts, span[0])
+        insort(self.stops, span[1])
 
 
 @dataclass
@@ -213,12 +253,18 @@ class Detector:
         if not _MAY_HOLD.search(text):
             return [], []
         base = base_spans(text)
-        offered = [
-            x for x in proposals(text) if not any(x[0] < b and a < x[1] for a, b, _ in base)
-        ] if self.trees else []
+        held = Held(base)
+        offered = [x for x in proposals(text) if held.free(x)] if self.trees else []
         if not offered:
             return base, base
-        scores = self.trees.chance(np.array([features(text, x) for x in offered], float))
+        scores = np.concatenate(
+            [
+                self.trees.chance(
+                    np.array([features(text, x) for x in offered[n : n + SCORED]], float)
+                )
+                for n in range(0, len(offered), SCORED)
+            ]
+        )
         likely = [n for n, x in enumerate(offered) if scores[n] >= self.thresholds[x[2]]]
         spans = [offered[n] for n in likely]
         chosen = [spans[n] for n in best_first(scores[likely].tolist(), spans)]
@@ -245,29 +291,54 @@ def _snippets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
+def _ipv6(random: np.random.Generator) -> str:
+    """An address, written out or shortened."""
+    groups = [f"{x:x}" for x in random.integers(0, 1 << 16, 8)]
+    form = random.integers(4)
+    if form == 0:
+        return ":".join(x.zfill(4) for x in groups)
+    if form == 1:
+        return ":".join(groups)
+    # A run of zeros is left out, at least two groups.
+    first, last = random.integers(1, 4), random.integers(1, 4)
+    return ("2001:db8" if random.integers(2) else ":".join(groups[:first])) + "::" + ":".join(
+        groups[8 - last :] if form == 2 else ["1"]
+    )
+
+
 def rewritten(kind: int, body: str, random: np.random.Generator) -> str:
     """The same data as the patterns don't expect it."""
     digits = _digits(body)
     if kind == EMAIL:
-        sign = (" (at) ", "[at]", " at ")[random.integers(3)]
+        sign = (" (at) ", "[at]", " at ", " [at] ", "(at)")[random.integers(5)]
+        dot = (".", " dot ", " [dot] ", "[dot]", " (dot) ")[random.integers(5)]
         name, _, domain = body.partition("@")
-        return f"{name}{sign}{domain.replace('.', ' dot ') if random.integers(2) else domain}"
+        if random.integers(2):  # names without figures are as good
+            name = re.sub(r"[0-9]", "", name).strip("._-+%") or name
+        return f"{name}{sign}{domain.replace('.', dot)}"
+    if kind == IP:
+        return _ipv6(random)
     if kind == CARD:
         sign = (" ", "-", ".", "")[random.integers(4)]
         return sign.join(digits[n : n + 4] for n in range(0, len(digits), 4))
-    if kind == PHONE:
-        local = digits[-10:]
-        form = ("({}) {}-{}", "{}-{}-{}", "{}.{}.{}", "{} {} {}")[random.integers(4)]
-        return form.format(local[:3], local[3:6], local[6:])
-    return body
+    local = digits[-10:]
+    form = ("({}) {}-{}", "{}-{}-{}", "{}.{}.{}", "{} {} {}")[random.integers(4)]
+    return form.format(local[:3], local[3:6], local[6:])
 
 
 def spoiled(kind: int, body: str, random: np.random.Generator) -> str:
     """Something of the same look that is no such data."""
     digits = _digits(body)
     if kind == EMAIL:
-        return body.replace("@", " ")
+        name, _, domain = body.partition("@")
+        form = random.integers(3)
+        return body.replace("@", " ") if form else f"{name} at {domain.partition('.')[0]}"
     if kind == IP:
+        form = random.integers(4)
+        if form == 0:  # a hardware address
+            return ":".join(f"{x:02x}" for x in random.integers(0, 256, 6))
+        if form == 1:  # clock times and the like
+            return ":".join(f"{x:02d}" for x in random.integers(0, 60, random.integers(3, 8)))
         parts = body.split(".")
         parts[random.integers(len(parts))] = str(random.integers(256, 1000))
         return ".".join(parts)
@@ -291,7 +362,8 @@ def examples(rows: list[dict]) -> Examples:
     written differently, and spoiled."""
     random = np.random.default_rng(0)
     inputs, right, spans, snippets = [], [], [], []
-    for row in rows:
+    # Few spans are varied more often.
+    for row in rows * max(1, VARIED // max(1, len(rows))):
         kind, body, before, after = row["kind"], row["body"], row["before"], row["after"]
         other = rows[random.integers(len(rows))]
         between = (" ", " ", ", ", " / ")[random.integers(4)]
@@ -326,9 +398,10 @@ def examples(rows: list[dict]) -> Examples:
 
 def best_first(scores: list[float], spans: list[Span]) -> list[int]:
     """Places of the spans that overlap no better one."""
-    chosen: list[int] = []
+    chosen, held = [], Held([])
     for n in sorted(range(len(spans)), key=lambda n: (-scores[n], spans[n])):
-        if not any(spans[n][0] < spans[x][1] and spans[x][0] < spans[n][1] for x in chosen):
+        if held.free(spans[n]):
+            held.take(spans[n])
             chosen.append(n)
     return chosen
 
@@ -354,7 +427,10 @@ def fit(rows: list[dict]) -> Detector:
         precise = np.cumsum(right) >= PRECISION * np.arange(1, len(right) + 1)
         precise[:-1] &= known[:-1] != known[1:]  # equal scores stand or fall together
         at = np.flatnonzero(precise)
-        thresholds.append(max(0.5, float(known[at[-1]])) if len(at) else 2.0)
+        # Half-way to the next lower score, the first that would be one mistake too many.
+        lower = known[at[-1] + 1 : at[-1] + 2] if len(at) else []
+        least = (known[at[-1]] + lower[0]) / 2 if len(lower) else 0.5
+        thresholds.append(max(0.5, float(least)) if len(at) else 2.0)
     return Detector(trees, tuple(thresholds))
 
 
