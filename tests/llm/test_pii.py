@@ -88,7 +88,7 @@ def test_long_texts_take_linear_time(detector):
 
 def test_a_directory_of_many_contacts(detector):
     rows = [
-        f"Person {n}: user{n}@mail{n}.example.com, +1 (569) 555-{n % 10_000:04d}, 4111 1111 1111 {n % 10_000:04d}"
+        f"Person {n}: user{n}@mail{n}.example.com, +1 (569) 555-{n % 10_000:04d} or 555 {n % 10_000:04d}"
         for n in range(40_000)
     ]
     begin = time.perf_counter()
