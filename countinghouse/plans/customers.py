@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from countinghouse.functions.dates import days_between, month_of
 from countinghouse.functions.numbers import average, money, percent
-from countinghouse.functions.ordering import tile, with_position
+from countinghouse.functions.selection import cuts, tile_ends, tile_of
 from countinghouse.operators.measures import (
     Tables,
     reference_date,
@@ -15,6 +15,7 @@ from countinghouse.operators.measures import (
     sale_net_revenue,
     share_of_total,
 )
+from countinghouse.session import stored
 
 TOP = 20
 INACTIVE_AFTER_DAYS = 180
@@ -139,44 +140,39 @@ def new_vs_returning(t: Tables) -> DataFrame:
     ).orderBy("sales_month")
 
 
-_SCORES = {"recency_score": 1, "frequency_score": 2, "monetary_score": 3}
-_SORT_KEY = "decimal(38,2)"
+def _score_keys() -> dict[str, Column]:
+    """What each score orders customers by, the best last, as whole numbers."""
+    return {
+        "recency_score": -F.col("recency_days").cast("bigint"),
+        "frequency_score": F.col("frequency"),
+        "monetary_score": (F.col("monetary") * 100).cast("bigint"),
+    }
+
+
+_SCORES = ("recency_score", "frequency_score", "monetary_score")
 
 
 def rfm_scores(t: Tables, tiles: int = 5) -> DataFrame:
     """Per purchasing customer: the three measures and their quintiles, 5 the best.
 
-    The three orders are laid end to end and sorted in a single range shuffle;
-    ties are broken by customer id. Scores come before any look at the customer
-    table, so a customer unknown there still takes up a place.
+    The customers that end the quintiles are found by narrowing; every other customer is
+    only compared with them. Ties are broken by customer id. Scores come before any look at
+    the customer table, so a customer unknown there still takes up a place.
     """
     today = reference_date(t, plus_days=1).scalar()
-    measures = customer_totals(t).select(
-        "customer_id",
-        days_between(today, F.col("last_purchase_date")).alias("recency_days"),
-        F.col("purchase_count").alias("frequency"),
-        F.col("spent").alias("monetary"),
+    measures = stored(
+        customer_totals(t).select(
+            "customer_id",
+            days_between(today, F.col("last_purchase_date")).alias("recency_days"),
+            F.col("purchase_count").alias("frequency"),
+            F.col("spent").alias("monetary"),
+        ),
+        "customer-measures",
     )
-    orders = [
-        F.struct(F.lit(place).alias("measure"), key.cast(_SORT_KEY).alias("key"))
-        for place, key in zip(
-            _SCORES.values(), [-F.col("recency_days"), F.col("frequency"), F.col("monetary")]
-        )
-    ]
-    long = measures.select("customer_id", F.inline(F.array(*orders)))
-    placed = with_position(long, [F.col("measure"), F.col("key"), F.col("customer_id")])
-    customers = F.call_function("div", F.col("position_count"), F.lit(len(_SCORES)))
-    place = F.col("position") - (F.col("measure") - 1) * customers
-    scored = placed.withColumn("score", tile(place, customers, tiles))
-
-    def pick(column: str, measure: int) -> Column:
-        return F.max(F.when(F.col("measure") == measure, F.col(column)))
-
-    return scored.groupBy("customer_id").agg(
-        (-pick("key", 1)).cast("int").alias("recency_days"),
-        pick("key", 2).cast("long").alias("frequency"),
-        pick("key", 3).alias("monetary"),
-        *(pick("score", n).alias(name) for name, n in _SCORES.items()),
+    keys, count = _score_keys(), measures.count()
+    ends = cuts(measures, keys, "customer_id", tile_ends(count, tiles), count)
+    return measures.withColumns(
+        {name: tile_of(key, "customer_id", ends[name]) for name, key in keys.items()}
     )
 
 
