@@ -73,8 +73,16 @@ OTHER_BOX = OTHER | set(
     " pagination pager toolbar".split()
 )
 PARAGRAPHS = HEADINGS | set("p blockquote pre li dt dd figure figcaption table tr".split())
-#: Words that turn another in the same class name into a remark on the layout.
-LAYOUT = {"no", "with", "without", "has"}
+#: Words of layout, which a class name may add to one of the words above. With any other
+#: word the name tells what the text is about: market-share, ad-hoc, related-work.
+COMPANIONS = set(
+    "site page post posts entry article articles story stories content contents main inner outer"
+    " top bottom left right side global primary secondary fixed sticky floating small large"
+    " box block area section sections wrapper wrap container group list lists item items row col"
+    " column columns slot unit module component panel card bar strip link links button buttons"
+    " btn icon icons image form field input label header heading title body message overlay"
+    " layer text thread count counter more tools js".split()
+)
 #: How far an element is from being text of the article.
 TEXT, HEADER, OTHERWISE = 0, 1, 2
 
@@ -83,10 +91,36 @@ _TOKEN = re.compile(
     r"|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*+>|[^>]*(?:>|\Z))",
     re.S,
 )
-_NAMED = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
+#: An attribute with its value; what stands in another attribute's value is none.
+_ATTRIBUTE = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*(?:"([^"]*)"?|'([^']*)'?|([^\s>"']+)))?""")
 _WORD = re.compile(r"[a-z]+|[A-Z]+(?![a-z])|[A-Z][a-z]+")
 
 
+def _names(rest: str) -> dict[str, str]:
+    """The class, id and role that a start tag gives, the first of each."""
+    found: dict[str, str] = {}
+    if "=" in rest:
+        for name, *values in _ATTRIBUTE.findall(rest):
+            if name.lower() in ("class", "id", "role"):
+                found.setdefault(name.lower(), "".join(values))
+    return found
+
+
+def _names_other(name: str, named: str) -> bool:
+    """Whether one of the names is that of something other than the article."""
+    other = OTHER if name in PARAGRAPHS or name == "article" else OTHER_BOX
+    for one in named.split():
+        words = {word.lower() for word in _WORD.findall(one) if len(word) > 1}
+        if words & other and words <= other | OTHER_BOX | COMPANIONS:
+            return True
+    return False
+
+
+def _is_header(one: str) -> bool:
+    words = {word.lower() for word in _WORD.findall(one) if len(word) > 1}
+    return "header" in words and words <= COMPANIONS
+
+
 class Element:
     """An open element while its page is read."""
 
@@ -177,20 +211,18 @@ class Page:
         if name in VOID:
             return
         above = self.open[-1]
-        named = " ".join(a or b or c for _, a, b, c in _NAMED.findall(rest))
-        words: set[str] = set()
-        for one in named.split():
-            parts = {word.lower() for word in _WORD.findall(one)}
-            words |= parts if not parts & LAYOUT else set()
+        names = _names(rest)
+        named = " ".join(names.values())
         inside, barred = above.inside, above.barred
-        if name == "article" and not words & OTHER:
+        other = _names_other(name, named)
+        if name == "article" and not other:
             inside = 2
-        elif (name == "main" or "role" in rest and "main" in words) and inside < 1:
+        elif (name == "main" or names.get("role", "").lower() == "main") and inside < 1:
             inside = 1
         if name not in ("html", "body", "main"):
-            if name in NEVER_TEXT or words & (OTHER if name in PARAGRAPHS else OTHER_BOX):
+            if name in NEVER_TEXT or other:
                 barred = OTHERWISE
-            elif name == "header" or "header" in words:
+            elif name == "header" or any(_is_header(x) for x in named.split()):
                 barred = max(barred, HEADER)
             elif name in HEADINGS and inside == 2 and barred == HEADER:
                 barred = TEXT  # the article's own heading

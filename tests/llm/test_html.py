@@ -24,13 +24,35 @@ def text_of(html):
 def test_article_without_the_rest():
     assert text_of(PAGE) == "Title & more\n\nOne two link.\n\nThree ’q z\n\na\n\nb\n\n1 2"
     box = "<article><{0} class='market-share'>x</{0}><p class='notice'>y</p><p>z</p></article>"
-    assert [text_of(box.format(name)) for name in ("p", "div")] == ["x\n\nz", "z"]
+    assert [text_of(box.format(name)) for name in ("p", "div")] == ["x\n\nz", "x\n\nz"]
     assert text_of("<div><p>a<p>b <b>x</b>y</div> c < 5 <p class='x") == "a\n\nb xy\n\nc < 5"
     assert [text_of(x) for x in ("", "<", "plain", "<p>" * 3, "<script>x")] == ["", "<", "plain", "", ""]
 
 
+def test_only_names_of_other_things_leave_text_out():
+    kept = [
+        '<p data-class="comment">x</p>', '<p title="a class=ads here">x</p>', "<div class='share-price'>x</div>",
+        '<div class="search-engines">x</div>', '<p class="ad-hoc">x</p>', '<div id="related-work">x</div>',
+        '<div class="market-share">x</div>', "<div data-x='1' title='role=search'>x</div>",
+        '<div class="with-sidebar">x</div>', '<div aria-label="comment" class=text>x</div>',
+        '<div title="class=" ad>x</div>', '<div class="commentary advertiser">x</div>',
+    ]
+    gone = [
+        '<div class="ad">x</div>', '<div CLASS=ad-slot>x</div>', "<div id='top-banner'>x</div>",
+        '<p class="comment">x</p>', '<div class="box related-posts">x</div>', '<div class="shareButtons">x</div>',
+        '<div role="search">x</div>', '<section class="comments-list">x</section>', '<div class="site-footer">x</div>',
+        '<div class="cookie-notice">x</div>', '<div class="a" id="newsletter-signup-form">x</div>',
+        '<div data-a="b>c" class="ad">x</div>', "<div class = 'ad_unit_2'>x</div>",
+    ]
+    for part in kept:
+        assert text_of(f"<article><p>y</p>{part}</article>") == "y\n\nx", part
+    for part in gone:
+        assert text_of(f"<article><p>y</p>{part}</article>") == "y", part
+
+
 def test_long_and_deep_pages():
-    for html in ("<div>" * 5_000 + "x", "<p><b>" * 20_000 + "x", "<" * 100_000, '<a "' * 20_000):
+    for html in ("<div>" * 5_000 + "x", "<p><b>" * 20_000 + "x", "<" * 100_000, '<a "' * 20_000,
+                 "<p " + "a=b " * 50_000 + ">x", "<p " + "a = '" * 50_000, "<div class='" + "ad-x " * 50_000 + "'>x"):
         html_template.Page(html)
 
 
