@@ -30,6 +30,8 @@ ORDERS = (1, 2, 3, 4)
 LOG_COLUMNS = 18
 #: Bound of the training sample, in documents.
 MAX_TRAIN = 6_000
+#: Features of all these documents together; the given ones have about 3 000 each.
+MAX_COLUMNS = 1 << 25
 #: Every so many-th document of the sample fits the logistic curve.
 CURVE_PART = 4
 #: Bytes of a text whose n-grams are looked up at once.
@@ -157,6 +159,18 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
+def _last_mark(found: DataFrame) -> int:
+    """Up to which hash the documents hold ``MAX_COLUMNS`` features together, at most."""
+    sizes = found.groupBy("mark").agg(F.sum(F.size("columns")).alias("held")).collect()
+    total, last = 0, -(1 << 63)
+    for row in sorted(sizes, key=lambda row: row["mark"]):
+        total += row["held"]
+        if total > MAX_COLUMNS:
+            break
+        last = row["mark"]
+    return last
+
+
 def train(
     docs: DataFrame,
     labels: DataFrame,
@@ -167,7 +181,8 @@ def train(
     text_col: str = "text",
 ) -> Model:
     """A model from at most ``max_train`` labelled documents, those with the smallest
-    hashes of their ids. Only hashed features of this bounded sample come to the driver.
+    hashes of their ids. Only hashed features of this bounded sample come to the driver,
+    ``MAX_COLUMNS`` of them at most; longer samples are cut at a hash of the features.
 
     ``usable`` tells by ``id`` which labels may be learnt from.
     """
@@ -180,15 +195,19 @@ def train(
         .agg(F.max("label").alias("label")),
         "labels",
     )
-    found = (
+    # One text of each id, the smallest, so that the model follows from the rows alone.
+    found = stored(
         bytes_of(docs, id_col, text_col)
         .join(sample, "id")
+        .groupBy("id", "label")
+        .agg(F.min("text").alias("text"))
         .select("id", "label", "text")
         .mapInArrow(_features, "label int, columns array<int>")
-        .limit(max_train)  # a repeated id has one label and many rows
-        .toArrow()
-        .combine_chunks()
+        .withColumn("mark", F.xxhash64("columns")),
+        "features",
     )
+    kept = found.filter(F.col("mark") <= _last_mark(found)).select("label", "columns")
+    found = kept.toArrow().combine_chunks()
     if not found.num_rows:
         return fit([], np.empty(0, np.int64))
     rows = [row.astype(np.int64) for row in lists(found["columns"].combine_chunks())]

@@ -3,6 +3,7 @@ from __future__ import annotations
 import zlib
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from countinghouse.llm import nbsvm, queries
@@ -50,6 +51,37 @@ def test_descent_reaches_the_optimum():
         assert loss(best) <= loss(best + random.normal(scale=0.05, size=3)) + 1e-3
 
 
+@pytest.mark.parametrize("most", [1 << 25, 6_000])
+def test_the_model_follows_from_the_rows(spark, monkeypatch, most):
+    """Repeated ids with many texts, in any partitioning: one model."""
+    monkeypatch.setattr(nbsvm, "MAX_COLUMNS", most)
+    rows = [(n % 60, f"{'good plain words' if n % 2 else '$$ buy % now'} {n % 60} {n // 60}") for n in range(1_200)]
+    labels = [(n, n % 2, 0) for n in range(60)]
+    known = spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int")
+    scores = set()
+    for parts in (1, 4, 8):
+        docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(parts)
+        model = nbsvm.train(docs, known, usable=F.lit(True), max_train=50)
+        scores.add(tuple(model.score(nbsvm.columns_of(text.encode(), nbsvm.scratch())) for _, text in rows[:120]))
+    (found,) = scores
+    right = [(score > 0.5) == bool(number % 2) for (number, _), score in zip(rows, found)]
+    assert sum(right) > 100
+
+
+def test_features_that_come_to_the_driver_are_bounded(spark, monkeypatch):
+    seen = []
+    fit = nbsvm.fit
+    monkeypatch.setattr(nbsvm, "fit", lambda rows, marks: seen.append(sum(map(len, rows))) or fit(rows, marks))
+    rows = [(n, f"{n} some text with a number of different words {n * 7919}") for n in range(80)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    known = spark.createDataFrame([(n, n % 2) for n in range(80)], "doc_id bigint, quality int")
+    for most in (0, 500, 5_000, 1 << 25):
+        monkeypatch.setattr(nbsvm, "MAX_COLUMNS", most)
+        nbsvm.train(docs, known, usable=F.lit(True))
+        assert seen[-1] <= most
+    assert seen[0] == 0 < seen[1] < seen[2] < seen[3]
+
+
 def test_awkward_rows(spark, awkward, no_docs):
     labels = spark.createDataFrame(
         [(1, 1, 0), (2, 0, 0), (6, 0, 1), (9, 1, 0), (5, None, 0), (None, 1, 0), (3, 1, 0), (3, 1, 0)],
