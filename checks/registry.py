@@ -18,7 +18,7 @@ from checks.fixed import (
     WANTED,
 )
 from countinghouse.functions.numbers import presentable
-from countinghouse.operators import cleaning, constraints, measures, quality
+from countinghouse.operators import appended, cleaning, constraints, measures, quality
 from countinghouse.plans import (
     advanced,
     customers,
@@ -32,7 +32,7 @@ from countinghouse.plans import (
     views,
 )
 from countinghouse.schemas import TABLES
-from countinghouse.session import fresh_path
+from countinghouse.session import fresh_path, stored
 from countinghouse.sources import clustered, files, star, versioned
 
 Tables = dict[str, DataFrame]
@@ -296,6 +296,34 @@ def _filtered(key: str) -> Query:
     return run
 
 
+def _key_filter(sales: DataFrame, blocks: int) -> DataFrame:
+    """The filter of two loads, each added to what was there."""
+    first, second = (
+        stored(appended.key_filter(sales.filter(F.col("sale_id") % 2 == n), "sale_id", blocks), "keys")
+        for n in range(2)
+    )
+    return stored(appended.united(first, second), "keys")
+
+
+def _appended_sales(spark: SparkSession, folder: str) -> DataFrame:
+    """Keys that a batch of late sales repeats: some it has twice, some are stored."""
+    sales = tables(spark, folder, "raw")["sales"]
+    known = sales.filter(F.col("sale_date") < BATCH_UNTIL)
+    again, twice = F.col("sale_id") % 97 == 3, F.col("sale_id") % 89 == 5
+    late = sales.filter(F.col("sale_date") >= BATCH_UNTIL)
+    batch = late.unionByName(late.filter(twice)).unionByName(known.filter(again))
+    blocks = appended.blocks_for(sales.count())
+    return appended.repeated_keys(known, batch, "sale_id", _key_filter(known, blocks), blocks)
+
+
+def _appended_items(spark: SparkSession, folder: str) -> DataFrame:
+    """Sales that a batch of lines refers to and that are not stored."""
+    sales = tables(spark, folder, "raw")["sales"].filter(F.col("sale_date") < BATCH_UNTIL)
+    batch = tables(spark, folder, "bad")["sale_items"].filter(F.col("sale_id") % 9 == 0)
+    blocks = appended.blocks_for(sales.count())
+    return appended.orphans(sales, batch, "sale_id", _key_filter(sales, blocks), blocks)
+
+
 def _default(t: Tables) -> DataFrame:
     omitted = t["sales"].drop("discount_amount")
     return constraints.with_defaults(omitted, TABLES["sales"]).select("sale_id", "discount_amount")
@@ -453,6 +481,8 @@ def queries() -> dict[str, Query]:
         **{name: _on("clean", report) for name, report in clean.items()},
         **{name: _on("raw", report) for name, report in raw.items()},
         **{name: _on("bad", report) for name, report in bad.items()},
+        "k_appended_primary_key": _appended_sales,
+        "k_appended_foreign_key": _appended_items,
         "io_csv_rejects": _csv_rejects,
         "io_insert_ignore": _insert_ignore,
         "io_csv_scan": _csv_scan,

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from checks.fixed import RANGE_FROM, RANGE_UNTIL, SELECTED_BRANCH, VIEW_TOTALS, WANTED
+from checks.fixed import BATCH_UNTIL, RANGE_FROM, RANGE_UNTIL, SELECTED_BRANCH, VIEW_TOTALS, WANTED
 from checks.oracle import growth, mean_money, money, percent, ratio, statement
 from countinghouse.schemas import TABLES
 
@@ -695,6 +695,18 @@ def _statements() -> dict[str, str]:
             SELECT sale_id, sale_item_id, product_id, quantity, {money("unit_price")} AS unit_price,
                    customer_id, branch_id, employee_id, sale_date
             FROM sale_items JOIN sales USING (sale_id) WHERE {where}"""
+    early = f"sale_date < TIMESTAMP '{BATCH_UNTIL}'"
+    q["k_appended_primary_key"] = f"""
+        SELECT sale_id, count(*) AS batch_rows,
+               sale_id IN (SELECT sale_id FROM raw_sales WHERE {early}) AS is_stored
+        FROM (SELECT sale_id FROM raw_sales WHERE NOT ({early})
+              UNION ALL SELECT sale_id FROM raw_sales WHERE NOT ({early}) AND sale_id % 89 = 5
+              UNION ALL SELECT sale_id FROM raw_sales WHERE {early} AND sale_id % 97 = 3)
+        GROUP BY sale_id HAVING batch_rows > 1 OR is_stored"""
+    q["k_appended_foreign_key"] = f"""
+        SELECT sale_id, count(*) AS batch_rows FROM bad_sale_items
+        WHERE sale_id % 9 = 0 AND sale_id NOT IN (SELECT sale_id FROM raw_sales WHERE {early})
+        GROUP BY sale_id"""
     q["io_refresh_months"] = q["clean_sales"]
     q["mart_monthly_sales_summary"] = q["v_monthly_sales_summary"]
     q["mart_executive_summary"] = q["v_executive_summary"]

@@ -11,7 +11,7 @@ from tests.conftest import FOLDER
 
 
 #: Queries whose feature is to write files, and ones that store an order or valid keys.
-WRITES = {"io_csv_scan", "io_csv_rejects", "io_csv_sink", "io_insert_ignore", "io_create_layers", "io_full_refresh",
+WRITES = {"k_appended_primary_key", "k_appended_foreign_key", "io_csv_scan", "io_csv_rejects", "io_csv_sink", "io_insert_ignore", "io_create_layers", "io_full_refresh",
           "io_views", "io_query_to_frame", "io_cached_mart", "x_layout",
           "facts_executive_summary", "facts_sales_monthly", "facts_sales_in_range",
           "facts_bucketed_net_revenue", "io_refresh_months", "mart_monthly_sales_summary",
