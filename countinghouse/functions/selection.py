@@ -54,6 +54,8 @@ def find(rows: DataFrame, sought: Sequence[Sought], total: int | None = None) ->
     """Fill in ``found`` and ``below`` of each; values are longs without nulls, and ``rows``,
     read once a round, is stored. ``total`` is the number of rows, where it is known."""
     open_ = list(sought)
+    if not open_:
+        return
     if total is not None and total <= FEW:  # nothing to narrow
         _count_values(rows, open_)
         if any(x.found is None for x in open_):

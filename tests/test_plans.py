@@ -33,7 +33,7 @@ def stored_plans(monkeypatch):
     from countinghouse import session
     from countinghouse.functions import ordering
     from countinghouse.operators import constraints
-    from countinghouse.plans import people
+    from countinghouse.plans import customers, people
 
     seen = []
 
@@ -44,7 +44,7 @@ def stored_plans(monkeypatch):
 
         return run
 
-    for module in (session, ordering, constraints, people):
+    for module in (session, ordering, constraints, customers, people):
         for name in ("stored", "checkpointed"):
             if hasattr(module, name):
                 monkeypatch.setattr(module, name, watched(getattr(session, name)))
