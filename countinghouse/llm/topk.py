@@ -16,7 +16,7 @@ Defined results: vectors that are null, empty, or hold null or non-finite compon
 and rows with a null id take no part; all rows with a query's id are its own; a
 repeated query counts once, a repeated candidate each time; of vectors of different
 lengths the common components count; further columns are left out. Scores are 64-bit
-integers.
+integers; vectors so long that a score might not fit fail with OverflowError.
 """
 
 from __future__ import annotations
@@ -92,6 +92,10 @@ def _products(left: np.ndarray, right: np.ndarray) -> np.ndarray:
     bound = int(np.abs(left).max(initial=0)) * int(np.abs(right).max(initial=0)) * left.shape[1]
     if bound < 1 << 53:
         return (left.astype(np.float64) @ right.astype(np.float64).T).astype(np.int64)
+    longest = np.abs(left).astype(np.float64).sum(axis=1).max(initial=0)
+    # Both halves of a sum must fit together.
+    if longest * float(np.abs(right).max(initial=0)) >= 1 << 62:
+        raise OverflowError("a score may need more than 64 bits")
     return left @ right.T
 
 

@@ -58,3 +58,12 @@ def test_query_like_sql(spark):
     duck.execute(f"create view embeddings as select * from '{FOLDER}/embeddings.parquet'")
     found = sorted(tuple(row) for row in queries.op5_uniform_threshold(spark, FOLDER).collect())
     assert found == sorted(duck.execute(queries.OP5_SQL).fetchall())
+
+
+def test_scores_beyond_64_bits_are_refused(spark):
+    huge = spark.createDataFrame([(50, [2.0**40, 1.0]), (1, [2.0**40, 1.0])], "vec_id bigint, embedding array<double>")
+    with pytest.raises(Exception, match="more than 64 bits"):
+        topk.top_k(huge, F.col("vec_id") % 50 == 0).collect()
+    large = spark.createDataFrame([(50, [2.0**21, 1.0]), (1, [2.0**21, 3.0])], "vec_id bigint, embedding array<double>")
+    (row,) = topk.top_k(large, F.col("vec_id") % 50 == 0).collect()
+    assert row.score == 2**58 + 3 * 2**16
