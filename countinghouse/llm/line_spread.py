@@ -5,7 +5,8 @@ HyperLogLog sketch of the sites per hash, merged by aggregation, tells how many
 distinct sites have it, and a second one in how many kinds of company it stands. Lines
 of which one estimate is near the limit are counted exactly. Lines on more than
 ``max_sites`` sites and in more than as many kinds of company are removed from every
-document.
+document that has any other line; one without is itself what the sites share, and would
+only be lost.
 
 A line's company in a document is the other line with the least MD5, by each quarter of
 the MD5; the quarter with most kinds counts. Company tells the two reasons apart for which
@@ -148,7 +149,7 @@ def remove_spread_lines(
         _lines(given),
         lambda line: ~(_has_content(line) & F.array_contains(F.col("b.spread"), line_key(line))),
     )
-    changed = F.col("b.spread").isNotNull()
+    changed = F.col("b.spread").isNotNull() & F.exists(kept, _has_content)
     # The list grows with the documents, so it is never broadcast, at no size.
     joined = docs.alias("d").join(
         boilerplate.alias("b").hint("merge"),

@@ -136,10 +136,11 @@ with lines as (
     select row, doc_id, n, line, norm in (select norm from spread) as gone from lines
 )
 select doc_id,
-    case when count(*) filter (gone) > 0
-        then coalesce(string_agg(line, chr(10) order by n) filter (gone is not true), '')
+    case when count(*) filter (gone) > 0 and count(*) filter (not gone) > 0
+        then string_agg(line, chr(10) order by n) filter (gone is not true)
         else string_agg(line, chr(10) order by n) end as text,
-    cast(count(*) filter (gone) as bigint) as n_removed
+    cast(case when count(*) filter (not gone) > 0 then count(*) filter (gone) else 0 end as bigint)
+        as n_removed
 from flagged group by row, doc_id
 """
 
