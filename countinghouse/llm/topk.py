@@ -4,13 +4,19 @@ The components are dealt over ``lists`` score lists: a list holds each vector's
 partial score. Queries and candidates come in blocks; a pair of blocks is a tile, and
 a tile is a task's work.
 
-1. Each list of each tile gives its best entries; the k-th best total among a query's
-   entries is a safe cutoff: the k best totals are at least as high.
-2. The cutoff goes back to the tiles with the query. A total that reaches it has a
-   partial score of at least cutoff / lists in some list, so entries below that
-   uniform threshold in every list are left out.
-3. The totals of the others are worked out exactly, and the k best of each tile that
-   reach the cutoff are merged by query.
+1. Each tile works out its lists and gathers the best entries of each, ``KEPT`` of them,
+   with the k best totals among them and the highest partial score that each list left
+   out. The k-th best total among a query's entries is a safe cutoff: the k best totals
+   are at least as high.
+2. The cutoff goes back with the query. A total that reaches it has a partial score of
+   at least cutoff / lists, the uniform threshold, in some list. A tile whose lists left
+   out no such entry, or none that could add up to the cutoff, has given sufficient
+   entries and isn't worked out again. Only the other tiles, and of their queries only
+   those concerned, collect all entries that reach the threshold.
+3. The totals of these are worked out exactly, and the k best of each tile that reach
+   the cutoff are merged by query with what the sufficient tiles gathered.
+
+A query moves k rows from a tile, however many near copies reach its threshold.
 
 Defined results: vectors that are null, empty, or hold null or non-finite components,
 and rows with a null id take no part; all rows with a query's id are its own; a
@@ -33,11 +39,16 @@ from countinghouse.llm.arrow import lists as lists_of
 from countinghouse.session import stored
 
 LISTS = 2
-QUERY_BLOCK = 1_024
+QUERY_BLOCK = 4_096
 CANDIDATE_BLOCK = 4_096
 #: Queries whose scores a task holds at once.
 STRIP = 128
+#: Entries of a list that a tile looks through for a query before there is a cutoff.
+KEPT = 64
 FOUND = "query_id bigint, vec_id bigint, score bigint"
+#: ``rest`` and ``rests``: the highest partial score that the lists of the tile left out, and
+#: the sum of all lists' highest; null where nothing is left out.
+GATHERED = f"{FOUND}, query_block int, candidate_block int, rest bigint, rests bigint"
 
 
 def scaled(vectors: DataFrame, factor: int, id_col: str, vector_col: str) -> DataFrame:
@@ -54,32 +65,29 @@ def scaled(vectors: DataFrame, factor: int, id_col: str, vector_col: str) -> Dat
     )
 
 
-def tiles(queries: DataFrame, candidates: DataFrame, counts: tuple[int, int]) -> DataFrame:
-    """The rows of each tile: every query block with every candidate block, sent as rows of
-    the two blocks, never as pairs of rows."""
-    query_blocks = max(1, ceil(counts[0] / QUERY_BLOCK))
-    candidate_blocks = max(1, ceil(counts[1] / CANDIDATE_BLOCK))
-
-    def block(blocks: int) -> Column:
-        # By the vector too: rows that share an id needn't share a block.
-        return F.pmod(F.xxhash64("id", "vector"), F.lit(blocks)).cast("int")
+def in_blocks(vectors: DataFrame, name: str, count: int, size: int) -> tuple[DataFrame, int]:
+    """The vectors with the number of their block, and the number of blocks."""
+    blocks = max(1, ceil(count / size))
+    # By the vector too: rows that share an id needn't share a block.
+    block = F.pmod(F.xxhash64("id", "vector"), F.lit(blocks)).cast("int")
+    return vectors.withColumn(name, block), blocks
 
-    def every(blocks: int) -> Column:
-        return F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
 
-    asked = queries.select(
-        "id", "vector", "cutoff", F.lit(True).alias("asks"),
-        block(query_blocks).alias("query_block"),
-        every(candidate_blocks).alias("candidate_block"),
-    )
+def tiles(queries: DataFrame, candidates: DataFrame) -> DataFrame:
+    """The rows of each tile: those that ask and those that are given, sent as rows of the two
+    blocks, never as pairs of rows."""
+    tile = ("query_block", "candidate_block")
+    asked = queries.select("id", "vector", "cutoff", F.lit(True).alias("asks"), *tile)
     given = candidates.select(
-        "id", "vector", F.lit(None).cast("long").alias("cutoff"), F.lit(False).alias("asks"),
-        every(query_blocks).alias("query_block"),
-        block(candidate_blocks).alias("candidate_block"),
+        "id", "vector", F.lit(None).cast("long").alias("cutoff"), F.lit(False).alias("asks"), *tile
     )
     return asked.unionByName(given)
 
 
+def _every(name: str, blocks: int) -> Column:
+    return F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias(name)
+
+
 def _matrix(vectors: list[np.ndarray], width: int) -> np.ndarray:
     out = np.zeros((len(vectors), width), np.int64)
     for row, vector in enumerate(vectors):
@@ -112,11 +120,46 @@ def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     return np.arange(len(scores))
 
 
-def _tile(k: int, parts: int):
-    """Phase 1 for queries without a cutoff, phases 2 and 3 for those with one."""
+def _gather(
+    scores: list[np.ndarray], known: np.ndarray, others: np.ndarray, k: int, kept: int
+):
+    """Phase 1: the k best totals among the best entries of the lists, and what they left out."""
+    left = np.flatnonzero(others)
+    out = np.ones((len(scores), len(left)), bool)
+    for missed, part in zip(out, scores):
+        missed[_best(part[left], known[left], max(k, kept))] = False
+    found = left[~out.all(axis=0)]
+    totals = sum(part[found] for part in scores)
+    chosen = _best(totals, known[found], k)
+    rest = rests = None
+    if out.all(axis=0).any():
+        highest = [int(part[left][missed].max()) for part, missed in zip(scores, out)]
+        rest, rests = max(highest), sum(highest)
+    return found[chosen], totals[chosen], rest, rests
+
+
+def _collect(
+    scores: list[np.ndarray], known: np.ndarray, others: np.ndarray, k: int, cutoff: int
+):
+    """Phases 2 and 3: of the entries that reach the uniform threshold in a list, the k best
+    totals that reach the cutoff."""
+    uniform = -(-cutoff // len(scores))
+    reached = scores[0] >= uniform
+    for more in scores[1:]:
+        reached |= more >= uniform
+    found = np.flatnonzero(reached & others)
+    totals = sum(part[found] for part in scores)
+    found, totals = found[totals >= cutoff], totals[totals >= cutoff]
+    chosen = _best(totals, known[found], k)
+    return found[chosen], totals[chosen], None, None
+
+
+def _tile(k: int, parts: int, kept: int, query_block: str, candidate_block: str):
+    """Gathers for queries without a cutoff, collects for those with one."""
 
     def run(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
+        tile = table[query_block][0].as_py(), table[candidate_block][0].as_py()
         asks = table["asks"].combine_chunks().to_numpy(zero_copy_only=False)
         ids = table["id"].combine_chunks().to_numpy()
         vectors = lists_of(table["vector"].combine_chunks())
@@ -126,41 +169,31 @@ def _tile(k: int, parts: int):
         candidates, known = _matrix([vectors[n] for n in order], width), ids[order]
         cutoffs = table["cutoff"].combine_chunks().to_pylist()
         slices = np.array_split(np.arange(width), parts)
-        halves = [np.ascontiguousarray(candidates[:, part]) for part in slices]
-        out: list[list[np.ndarray]] = [[], [], []]
+        pieces = [np.ascontiguousarray(candidates[:, part]) for part in slices]
+        out: list[list] = [[] for _ in range(5)]
         for start in range(0, len(asked), STRIP):
             strip = asked[start : start + STRIP]
             queries = _matrix([vectors[n] for n in strip], width)
-            partial = [_products(queries[:, part], half) for part, half in zip(slices, halves)]
+            partial = [_products(queries[:, part], piece) for part, piece in zip(slices, pieces)]
             for row, n in enumerate(strip):
                 others = known != ids[n]
                 scores = [part[row] for part in partial]
                 if cutoffs[n] is None:
-                    left = np.flatnonzero(others)
-                    found = np.unique(
-                        np.concatenate([left[_best(x[left], known[left], k)] for x in scores])
-                    )
-                    totals = sum(x[found] for x in scores)
+                    found, totals, rest, rests = _gather(scores, known, others, k, kept)
                 else:
-                    # One list has at least its part of a total that reaches the cutoff.
-                    uniform = -(-cutoffs[n] // parts)
-                    reached = scores[0] >= uniform
-                    for more in scores[1:]:
-                        reached |= more >= uniform
-                    found = np.flatnonzero(reached & others)
-                    totals = sum(x[found] for x in scores)
-                    found, totals = found[totals >= cutoffs[n]], totals[totals >= cutoffs[n]]
-                chosen = _best(totals, known[found], k)
-                out[0].append(np.full(len(chosen), ids[n]))
-                out[1].append(known[found[chosen]])
-                out[2].append(totals[chosen])
-        columns = [np.concatenate(x) if x else np.empty(0, np.int64) for x in out]
-        return pa.table(
-            {
-                name: pa.array(column.astype(np.int64), pa.int64())
-                for name, column in zip(("query_id", "vec_id", "score"), columns)
-            }
-        )
+                    found, totals, rest, rests = _collect(scores, known, others, k, cutoffs[n])
+                out[0].append(np.full(len(found), ids[n]))
+                out[1].append(known[found])
+                out[2].append(totals)
+                out[3] += [rest] * len(found)
+                out[4] += [rests] * len(found)
+        rows = len(out[3])
+        numbers = [np.concatenate(x) if x else np.empty(0, np.int64) for x in out[:3]]
+        columns = [pa.array(x.astype(np.int64), pa.int64()) for x in numbers]
+        columns += [pa.array(np.full(rows, block), pa.int32()) for block in tile]
+        columns += [pa.array(x, pa.int64()) for x in out[3:]]
+        names = "query_id vec_id score query_block candidate_block rest rests".split()
+        return pa.table(dict(zip(names, columns)))
 
     return run
 
@@ -176,34 +209,66 @@ def top_k(
     k: int = 5,
     factor: int = 256,
     parts: int = LISTS,
+    kept: int = KEPT,
     id_col: str = "vec_id",
     vector_col: str = "embedding",
 ) -> DataFrame:
     """``query_id``, ``rank`` (from 1), ``vec_id`` and ``score`` of the k highest inner
     products of each query with the other rows, where a component x counts as
     floor(factor * x)."""
-    candidates = stored(scaled(vectors, factor, id_col, vector_col), "candidates")
+    # Of equal rows no query needs more than k: a hot row stays small in its block.
+    candidates = stored(
+        scaled(vectors, factor, id_col, vector_col)
+        .groupBy("id", "vector")
+        .agg(F.count(F.lit(1)).alias("copies"))
+        .select("id", "vector", F.explode(F.sequence(F.lit(1), F.least("copies", F.lit(k)))))
+        .drop("col"),
+        "candidates",
+    )
     queries = stored(
         scaled(vectors.filter(is_query), factor, id_col, vector_col)
         .groupBy("id")
         .agg(F.min("vector").alias("vector")),
         "queries",
     )
-    counts = queries.count(), candidates.count()
-    open_ = queries.withColumn("cutoff", F.lit(None).cast("long"))
-    by_tile = ("query_block", "candidate_block")
-    gathered = (
-        tiles(open_, candidates, counts).groupBy(*by_tile).applyInArrow(_tile(k, parts), FOUND)
+    given, given_blocks = in_blocks(
+        candidates, "candidate_block", candidates.count(), CANDIDATE_BLOCK
+    )
+    asked, asked_blocks = in_blocks(queries, "query_block", queries.count(), QUERY_BLOCK)
+    tile = ("query_block", "candidate_block")
+    work = _tile(k, parts, kept, *tile)
+    gathered = stored(
+        tiles(
+            asked.select("*", F.lit(None).cast("long").alias("cutoff"), _every(tile[1], given_blocks)),
+            given.select("*", _every(tile[0], asked_blocks)),
+        )
+        .groupBy(*tile)
+        .applyInArrow(work, GATHERED),
+        "gathered",
     )
     # A query with fewer than k entries has so few candidates that all of them are listed;
     # its cutoff is the lowest total.
-    cutoffs = stored(
-        _ranked(gathered, k).groupBy("query_id").agg(F.min("score").alias("cutoff")), "cutoffs"
+    cutoffs = _ranked(gathered, k).groupBy("query_id").agg(F.min("score").alias("cutoff"))
+    open_ = stored(insufficient(gathered, cutoffs, parts), "open")
+    again = tiles(
+        open_.join(queries, F.col("query_id") == F.col("id")),
+        given.join(open_.select(*tile).distinct(), "candidate_block"),
     )
-    closed = queries.join(cutoffs, F.col("id") == F.col("query_id")).select(
-        "id", "vector", "cutoff"
+    found = again.groupBy(*tile).applyInArrow(work, GATHERED).select("query_id", "vec_id", "score")
+    sufficient = gathered.join(open_, ["query_id", "candidate_block"], "left_anti").select(
+        "query_id", "vec_id", "score"
     )
-    found = tiles(closed, candidates, counts).groupBy(*by_tile).applyInArrow(
-        _tile(k, parts), FOUND
+    return _ranked(sufficient.unionByName(found), k).select(
+        "query_id", F.col("rank").cast("int"), "vec_id", "score"
     )
-    return _ranked(found, k).select("query_id", F.col("rank").cast("int"), "vec_id", "score")
+
+
+def insufficient(gathered: DataFrame, cutoffs: DataFrame, parts: int) -> DataFrame:
+    """The queries with their ``cutoff`` and the tiles that left out what may reach it: an entry
+    at the uniform threshold, and highest entries that add up to the cutoff."""
+    tile = ("query_id", "query_block", "candidate_block")
+    left = gathered.groupBy(*tile).agg(F.max("rest").alias("rest"), F.max("rests").alias("rests"))
+    # rest >= ceil(cutoff / parts), without a quotient or an overflow.
+    uniform = F.col("rest").cast("decimal(20,0)") * parts >= F.col("cutoff")
+    reaches = uniform & (F.col("rests") >= F.col("cutoff"))
+    return left.join(cutoffs, "query_id").filter(reaches).select(*tile, "cutoff")

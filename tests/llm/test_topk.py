@@ -31,9 +31,17 @@ def plain(rows, k):
 
 
 @pytest.mark.parametrize(
-    "blocks, k, parts", [((1_024, 8_192), 5, 2), ((3, 16), 5, 2), ((2, 7), 1, 3), ((2, 3), 300, 4)]
+    "blocks, k, parts, kept",
+    [
+        ((1_024, 8_192), 5, 2, 64),
+        ((1_024, 8_192), 5, 2, 1),
+        ((3, 16), 5, 2, 6),
+        ((2, 7), 1, 3, 1),
+        ((2, 90), 3, 1, 3),
+        ((2, 3), 300, 4, 64),
+    ],
 )
-def test_like_brute_force(spark, monkeypatch, blocks, k, parts):
+def test_like_brute_force(spark, monkeypatch, blocks, k, parts, kept):
     pick = random.Random(1)
     rows = [(n, [pick.randint(-3, 3) / 256 for _ in range(5)]) for n in range(160)]
     rows += [(300 + n, [0.1] * 5) for n in range(30)] + [(7, [0.5] * 5), (50, [9.0] * 5)]
@@ -43,7 +51,7 @@ def test_like_brute_force(spark, monkeypatch, blocks, k, parts):
     frame = frame.withColumn("id", F.lit(1)).withColumn("vector", F.lit(1))
     monkeypatch.setattr(topk, "QUERY_BLOCK", blocks[0])
     monkeypatch.setattr(topk, "CANDIDATE_BLOCK", blocks[1])
-    found = topk.top_k(frame, F.col("vec_id") % 50 == 0, k=k, parts=parts)
+    found = topk.top_k(frame, F.col("vec_id") % 50 == 0, k=k, parts=parts, kept=kept)
     assert sorted(tuple(row) for row in found.collect()) == plain(rows, k)
 
 
@@ -67,3 +75,27 @@ def test_scores_beyond_64_bits_are_refused(spark):
     large = spark.createDataFrame([(50, [2.0**21, 1.0]), (1, [2.0**21, 3.0])], "vec_id bigint, embedding array<double>")
     (row,) = topk.top_k(large, F.col("vec_id") % 50 == 0).collect()
     assert row.score == 2**58 + 3 * 2**16
+
+
+def test_few_tiles_are_worked_out_again(spark, monkeypatch):
+    """Of the given vectors; in a hot group of near copies the result stays whole."""
+    entries, stored = {}, topk.stored
+
+    def counted(frame, name):
+        kept = stored(frame, name)
+        entries[name] = kept.count()
+        return kept
+
+    monkeypatch.setattr(topk, "stored", counted)
+    vectors = spark.read.parquet(f"{FOLDER}/embeddings.parquet")
+    assert topk.top_k(vectors, F.col("vec_id") % 50 == 0).count() == 5 * entries["queries"]
+    assert entries["gathered"] == 5 * entries["queries"]
+    assert entries["open"] <= entries["queries"] / 2
+    pick = random.Random(3)
+    near = [(n, [round(pick.uniform(0.9, 1.0), 3) for _ in range(6)]) for n in range(400)]
+    near += [(401, [0.1] * 6)] * 50
+    frame = spark.createDataFrame(near, "vec_id bigint, embedding array<double>")
+    monkeypatch.setattr(topk, "CANDIDATE_BLOCK", 200)
+    found = topk.top_k(frame, F.col("vec_id") % 50 == 0, kept=5)
+    assert sorted(tuple(row) for row in found.collect()) == plain(near, 5)
+    assert entries["open"] > 0 and entries["candidates"] == 405
