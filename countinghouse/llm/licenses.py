@@ -3,10 +3,12 @@
 A text is cut into sentences, each normalised to lower-case words with single blanks.
 A sentence that belongs to a license is recognised by its whole normal form and known
 by an identifier; where a wrapped line, a semicolon or an abbreviation cut it, its pieces
-are taken together. Comment marks are no words. The identifiers of a document, in order and without the unknown
-sentences between them, are matched against the rules from left to right: at each
-place the first rule of the list whose sequence follows is taken, so rules are
-ordered from the most to the least specific, and matching goes on behind it.
+are taken together. Comment marks are no words. A notice with a subject, the name of a
+license in one of its usual forms and a reference is known by the license it names, a line
+of source code by its SPDX expression. The identifiers of a document, in order and with at
+most ``max_gap`` unknown pieces between them, are matched against the rules from left to
+right: at each place the first rule of the list whose sequence follows is taken, so rules
+are ordered from the most to the least specific, and matching goes on behind it.
 
 Defined results: a null or empty text has no match; repeated rows each give their
 matches; an empty table gives an empty result; further columns are left out.
@@ -150,6 +152,93 @@ SENTENCES |= {
     f"{SPDX_WORDS} {re.sub('[^a-z0-9]+', ' ', name.lower())}": f"spdx-{name}" for name in SPDX
 }
 
+#: Others that occur in expressions, and what may follow ``WITH``.
+SPDX_OTHER = (
+    "GPL-2.0 GPL-3.0 LGPL-2.1 LGPL-3.0 AGPL-3.0 EPL-2.0 0BSD CC-BY-NC-4.0 CC-BY-NC-SA-4.0"
+).split()
+SPDX_EXCEPTIONS = (
+    "Classpath-exception-2.0 GCC-exception-3.1 LLVM-exception Linux-syscall-note"
+).split()
+EXPRESSION = "spdx-expression"
+
+# Names of licenses in notices, in normal form.
+NAMES = {
+    "mit": "MIT",
+    "bsd 3 clause": "BSD-3-Clause",
+    "3 clause bsd": "BSD-3-Clause",
+    "new bsd": "BSD-3-Clause",
+    "modified bsd": "BSD-3-Clause",
+    "bsd 2 clause": "BSD-2-Clause",
+    "2 clause bsd": "BSD-2-Clause",
+    "simplified bsd": "BSD-2-Clause",
+    "isc": "ISC",
+    "zlib": "Zlib",
+    "unlicense": "Unlicense",
+}
+#: Names that need a version: the name's forms, the version, the license.
+VERSIONED = [
+    (("apache", "apache software"), "2 0", "Apache-2.0"),
+    (("mozilla public", "mpl"), "2 0", "MPL-2.0"),
+    (("eclipse public", "epl"), "2 0", "EPL-2.0"),
+    (("boost software", "bsl"), "1 0", "BSL-1.0"),
+    (("gnu general public", "gnu gpl", "gpl"), "2", "GPL-2.0"),
+    (("gnu general public", "gnu gpl", "gpl"), "3", "GPL-3.0"),
+    (("gnu lesser general public", "gnu lgpl", "lgpl"), "2 1", "LGPL-2.1"),
+    (("gnu lesser general public", "gnu lgpl", "lgpl"), "3", "LGPL-3.0"),
+    (("gnu affero general public", "gnu agpl", "agpl"), "3", "AGPL-3.0"),
+]
+LATER = (" or later", " or any later version", " or at your option any later version")
+
+
+def _versions(version: str) -> list[str]:
+    whole = version.removesuffix(" 0")
+    numbers = {version, whole, f"{whole} 0"} if " " not in whole else {version}
+    return [f"{mark}{number}" for mark in ("", "version ", "v", "v ") for number in numbers]
+
+
+def notice_names() -> dict[str, str]:
+    """The licenses that a notice may name, by the whole normal form of the name."""
+    known = {}
+    for name, license_ in NAMES.items():
+        known |= {f"{name}{word}": license_ for word in ("", " license", " licence")}
+    for forms, version, license_ in VERSIONED:
+        gnu = "GPL" in license_
+        for name in forms:
+            for number in _versions(version):
+                for word in (" license ", " licence ", " "):
+                    known[f"{name}{word}{number}"] = f"{license_}-only" if gnu else license_
+                    for later in LATER if gnu else ():
+                        known[f"{name}{word}{number}{later}"] = f"{license_}-or-later"
+                known |= {
+                    f"{name} {number}{word}": license_ for word in (" license", " licence") if not gnu
+                }
+            if gnu and " " not in name:
+                known[f"{name}v{version}"] = f"{license_}-only"
+    return known
+
+
+NOTICE_NAMES = notice_names()
+_NOTICE = re.compile(
+    r"\b(?:licensed|released|distributed|available|published|provided) under (?:either )?"
+    r"(?:the )?(?:terms (?:and conditions )?of )?(?:the )?"
+    f"({'|'.join(sorted(NOTICE_NAMES, key=len, reverse=True))})"
+    r"(?= |$)(?: licen[sc]e)?((?: (?:see|which|the license|a copy|as found|in)\b.*)?)$"
+)
+#: Words that the subject of a notice, and the reference behind the name, have at most.
+NOTICE_WORDS = 25
+#: Unknown pieces between two sentences of a rule, at most.
+MAX_GAP = 20
+
+# Titles of license texts with the date below them.
+SENTENCES |= {
+    "gnu general public license version 3 29 june 2007": "gpl-3-title",
+    "gnu general public license version 2 june 1991": "gpl-2-title",
+    "gnu lesser general public license version 3 29 june 2007": "lgpl-3-title",
+    "gnu lesser general public license version 2 1 february 1999": "lgpl-2.1-title",
+    "gnu affero general public license version 3 19 november 2007": "agpl-3-title",
+    "eclipse public license v 2 0": "epl-2-title",
+}
+
 # Ordered rules: sequence of sentence identifiers, then the license it shows.
 RULES = [
     (("mit-title", "mit-grant", "mit-condition", "mit-disclaimer"), "MIT"),
@@ -204,10 +293,16 @@ RULES = [
     *(((f"spdx-{name}",), name) for name in SPDX),
     (("unlicense-grant",), "Unlicense"),
     (("all-rights-reserved",), "LicenseRef-All-Rights-Reserved"),
+    (("lgpl-3-title",), "LGPL-3.0-only"),
+    (("lgpl-2.1-title",), "LGPL-2.1-only"),
+    (("agpl-3-title",), "AGPL-3.0-only"),
+    (("epl-2-title",), "EPL-2.0"),
+    *(((f"notice-{name}",), name) for name in sorted(set(NOTICE_NAMES.values()))),
+    ((EXPRESSION,), ""),  # the license that the line itself gives
 ]
 
 #: Every known sentence holds one of these; sentences without are unknown at once.
-CUES = ("licens", "software", "copyright", "rights", "warrant", "redistribut")
+CUES = ("licen", "software", "copyright", "rights", "warrant", "redistribut")
 #: Where a piece of a sentence ends: a stop, semicolon or colon before white space, or a
 #: line's end unless the next line goes on in lower case, as wrapped sentences do, with or
 #: without a comment mark.
@@ -244,11 +339,65 @@ def _in_slot(run: str, slots: list[tuple[str, str, str]]) -> tuple[str | None, b
     return None, may
 
 
+def notice(sentence: str) -> str | None:
+    """The identifier of a notice that names one license."""
+    found = _NOTICE.search(sentence) if " under " in sentence else None
+    if not found or "licen" not in sentence:
+        return None
+    subject, reference = sentence[: found.start()].split(), found[2].split()
+    if max(len(subject), len(reference)) > NOTICE_WORDS or {"not", "or", "neither"} & set(subject):
+        return None
+    return f"notice-{NOTICE_NAMES[found[1]]}"
+
+
+_SPDX_KNOWN = {name.lower(): name for name in [*SPDX, *SPDX_OTHER]}
+_SPDX_WITH = {name.lower(): name for name in SPDX_EXCEPTIONS}
+
+
+def spdx_expression(line: str) -> str | None:
+    """The expression of licenses that a line holds, with names and operators spelt as usual."""
+    tokens = re.findall(r"[\w.+-]+|[()]|\S", re.split(r"\*/|-->", line)[0])
+    spelt, shape = [], ""
+    for token in tokens:
+        name = token.lower()
+        if name in ("and", "or", "with") or token in "()":
+            spelt.append(token.upper())
+            shape += {"and": "&", "or": "|", "with": "w"}.get(name, token)
+        elif name in _SPDX_WITH:
+            spelt.append(_SPDX_WITH[name])
+            shape += "x"
+        elif name.removesuffix("+") in _SPDX_KNOWN:
+            spelt.append(_SPDX_KNOWN[name.removesuffix("+")] + "+" * name.endswith("+"))
+            shape += "l"
+        else:
+            return None
+    shown = " ".join(spelt).replace("( ", "(").replace(" )", ")")
+    return shown if _whole(shape.replace("lwx", "l")) else None
+
+
+def _whole(shape: str) -> bool:
+    """Whether operands (l), operators (& and |) and parentheses make one expression."""
+    depth, wants = 0, True
+    for mark in shape:
+        if mark not in ("(l" if wants else ")&|"):
+            return False
+        depth += {"(": 1, ")": -1}.get(mark, 0)
+        if depth < 0:
+            return False
+        wants = mark in "(&|"
+    return not wants and not depth
+
+
 def recognised(
-    text: str, table: dict[str, str], begins: set[str], slots: list[tuple[str, str, str]]
+    text: str,
+    table: dict[str, str],
+    begins: set[str],
+    slots: list[tuple[str, str, str]],
+    notices: bool = True,
 ) -> list[tuple[int, int, str]]:
     """First piece, last piece and identifier of the known sentences, the longest at each
-    place. An empty piece ends a sentence, as between paragraphs."""
+    place; behind the identifier of an expression, after a blank, the expression. An empty
+    piece ends a sentence, as between paragraphs."""
     pieces = _BORDER.split(text)
     normal = [normal_form(piece) for piece in pieces]
     out, at = [], 0
@@ -257,11 +406,14 @@ def recognised(
         for end in range(at, len(pieces)):
             if not normal[end]:
                 break
-            more = normal[end]
+            more, said = normal[end], None
             if run == SPDX_WORDS:  # a line holds all of it, whatever follows
-                more = normal_form(pieces[end].split("\n")[0])
+                line = pieces[end].split("\n")[0]
+                more, said = normal_form(line), spdx_expression(line) if notices else None
             run = f"{run} {more}".strip()
             name, may = _in_slot(run, slots)
+            if notices and not name:
+                name = f"{EXPRESSION} {said}" if said else notice(run) if end == at else None
             name = table.get(run, name)
             if name:
                 best = (at, end, name)
@@ -274,16 +426,20 @@ def recognised(
 
 
 def matched(
-    sequence: list[tuple[int, int, str]], rules: list[tuple[tuple[str, ...], str]]
+    sequence: list[tuple[int, int, str]],
+    rules: list[tuple[tuple[str, ...], str]],
+    max_gap: int = MAX_GAP,
 ) -> list[tuple[int, str, int, int]]:
     """Rule, license, and places of the first and last piece of each match."""
     out, at = [], 0
-    names = [name for *_, name in sequence]
+    names = [name.split(" ")[0] for *_, name in sequence]
+    near = [b[0] - a[1] <= max_gap + 1 for a, b in zip(sequence, sequence[1:])]
     while at < len(names):
         for number, (wanted, license_) in enumerate(rules):
-            if tuple(names[at : at + len(wanted)]) == wanted:
-                end = at + len(wanted) - 1
-                out.append((number, license_, sequence[at][0], sequence[end][1]))
+            end = at + len(wanted) - 1
+            if tuple(names[at : end + 1]) == wanted and all(near[at:end]):
+                shown = license_ or sequence[at][2].partition(" ")[2]
+                out.append((number, shown, sequence[at][0], sequence[end][1]))
                 at = end
                 break
         at += 1
@@ -294,14 +450,15 @@ def scan(
     docs: DataFrame,
     table: dict[str, str] | None = None,
     rules: list[tuple[tuple[str, ...], str]] | None = None,
+    max_gap: int = MAX_GAP,
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:
     """``id_col``, ``rule``, ``license``, ``first`` and ``last`` (places of pieces) of
-    each match."""
+    each match. With a table of the caller's own, only its sentences are known."""
     rules = RULES if rules is None else rules
     slots = SLOTS if table is None else []
-    known = SENTENCES if table is None else table
+    known, notices = (SENTENCES, True) if table is None else (table, False)
     certain = all(any(cue in sentence for cue in CUES) for sentence in known)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -311,7 +468,9 @@ def scan(
                 found = [
                     (row, *match)
                     for row, text in enumerate(part["text"].to_pylist())
-                    for match in matched(recognised(text, known, begins, slots), rules)
+                    for match in matched(
+                        recognised(text, known, begins, slots, notices), rules, max_gap
+                    )
                 ]
                 rows, numbers, licenses, firsts, lasts = zip(*found) if found else [()] * 5
                 yield pa.RecordBatch.from_arrays(

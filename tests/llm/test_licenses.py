@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import random
 import re
 from collections import Counter
 
@@ -134,6 +135,77 @@ def test_standard_headers_plain_and_in_comments(spark):
 
 
 def test_rules_name_known_sentences():
-    known = set(licenses.SENTENCES.values())
+    known = set(licenses.SENTENCES.values()) | {licenses.EXPRESSION}
+    known |= {f"notice-{name}" for name in licenses.NOTICE_NAMES.values()}
     assert all(set(wanted) <= known for wanted, _ in licenses.RULES)
     assert all(any(cue in text for cue in licenses.CUES) for text in licenses.SENTENCES)
+
+
+def test_notices_titles_and_expressions(spark):
+    notices = [
+        ("This project is licensed under the MIT License - see the LICENSE file for details.", "MIT"),
+        ("Licensed under MIT.", "MIT"),
+        ("This project is licensed under the Apache License, Version 2.0.", "Apache-2.0"),
+        ("Released under the BSD 3-Clause License.", "BSD-3-Clause"),
+        ("The code is distributed under the GNU General Public License v3.0.", "GPL-3.0-only"),
+        ("Our tool is licensed under the GNU GPL, version 2 or later.", "GPL-2.0-or-later"),
+        ("Everything here is available under the LGPL v2.1 licence: see below", "LGPL-2.1-only"),
+        ("Parts are licensed under the LGPL v2.1; others are not.", "LGPL-2.1-only"),
+        ("                GNU GENERAL PUBLIC LICENSE\n                  Version 3, 29 June 2007\n", "GPL-3.0-only"),
+        ("GNU LESSER GENERAL PUBLIC LICENSE\nVersion 2.1, February 1999", "LGPL-2.1-only"),
+        ("// SPDX-License-Identifier: MIT OR Apache-2.0\nint main() {}", "MIT OR Apache-2.0"),
+        ("/* SPDX-License-Identifier: (gpl-2.0+ with linux-syscall-note or MIT) and ISC */",
+         "(GPL-2.0+ WITH Linux-syscall-note OR MIT) AND ISC"),
+        ("SPDX-License-Identifier: EPL-2.0", "EPL-2.0"),
+        ("SPDX-License-Identifier: MIT OR", None),
+        ("SPDX-License-Identifier: MIT Apache-2.0", None),
+        ("SPDX-License-Identifier: (MIT OR ISC", None),
+        ("This program and the accompanying materials are made available under the terms of the"
+         " Eclipse Public License 2.0 which accompanies this distribution.", "EPL-2.0"),
+        ("This text is not licensed under the MIT license.", None),
+        ("It was released under pressure and the license of the bar was lost.", None),
+        ("Licensed under the Apache License.", None),
+    ]
+    docs = spark.createDataFrame([(n, text) for n, (text, _) in enumerate(notices)], "doc_id bigint, text string")
+    found = [(row.doc_id, row.license) for row in licenses.scan(docs).collect()]
+    assert sorted(found) == [(n, name) for n, (_, name) in enumerate(notices) if name]
+
+
+def test_sentences_far_apart_are_no_sequence(spark):
+    title, _, grant = MIT.partition("\n")
+    for far in (5, 5_000):
+        text = f"{title}\n" + "Something else.\n" * far + grant
+        rules = [row.rule for row in licenses.scan(spark.createDataFrame([(1, text)], "doc_id int, text string")).collect()]
+        names = [licenses.RULES[rule][0] for rule in rules]
+        if far < licenses.MAX_GAP:
+            assert names == [("mit-title", "mit-grant", "mit-condition")]
+        else:
+            assert names == [("mit-title",), ("mit-grant", "mit-condition")]
+
+
+def test_like_a_plain_matcher_with_its_own_table(spark):
+    table = {"alpha beta": "a", "gamma": "b", "delta epsilon zeta": "c"}
+    rules = [(("a", "b", "c"), "ABC"), (("a", "b"), "AB"), (("b", "c"), "BC"), (("c",), "C")]
+    said = {"a": "Alpha, beta.", "b": "GAMMA!", "c": "delta epsilon\nzeta.", "-": "Unknown words."}
+    pick = random.Random(8)
+    rows = [(n, "".join(pick.choices("abc-", (3, 3, 3, 2), k=pick.randint(0, 30)))) for n in range(200)]
+    wanted = []
+    for n, letters in rows:
+        at = 0
+        while at < len(letters):
+            found = next(
+                (
+                    (rule, hit)
+                    for rule, (names, _) in enumerate(rules)
+                    if (hit := re.compile("-{0,2}".join(names)).match(letters, at))
+                ),
+                None,
+            )
+            if found:
+                wanted.append((n, found[0], rules[found[0]][1], at, found[1].end() - 1))
+            at = found[1].end() if found else at + 1
+    docs = spark.createDataFrame(
+        [(n, " ".join(said[x] for x in letters)) for n, letters in rows], "doc_id bigint, text string"
+    )
+    found = licenses.scan(docs, table, rules, max_gap=2).collect()
+    assert sorted(tuple(row) for row in found) == sorted(wanted) and len(wanted) > 200
