@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import math
+import random
 import zlib
 
 import numpy as np
@@ -93,3 +95,86 @@ def test_awkward_rows(spark, awkward, no_docs):
     none = nbsvm.train(awkward, labels.limit(0), usable=F.lit(True))
     assert {r.score for r in nbsvm.scored(awkward, none).collect()} == {0.5}
     assert nbsvm.scored(no_docs, model).count() == 0
+
+
+def plain_columns(text):
+    """Distinct hashed n-grams, by whole numbers of Python."""
+    found = set()
+    for order in nbsvm.ORDERS:
+        for start in range(len(text) - order + 1):
+            code = order
+            for byte in text[start : start + order]:
+                code = code << 8 | byte
+            found.add((code * 0x9E3779B97F4A7C15) % (1 << 64) >> 64 - nbsvm.LOG_COLUMNS)
+    return found
+
+
+def plain_scores(trained, labels, texts):
+    """The method step by step with sets and dictionaries; the dual is solved by projected
+    gradients instead of by coordinates."""
+    rows = [plain_columns(text) for text in trained]
+    seen = [n for n in range(len(rows)) if n % nbsvm.CURVE_PART]
+    counts = [{}, {}]
+    for n in seen:
+        for column in rows[n]:
+            counts[labels[n]][column] = counts[labels[n]].get(column, 0) + 1
+    sums = [sum(count.values()) + (1 << nbsvm.LOG_COLUMNS) for count in counts]
+
+    def scaled(row):
+        value = {
+            c: math.log((counts[1].get(c, 0) + 1) / sums[1] / ((counts[0].get(c, 0) + 1) / sums[0]))
+            for c in row
+        }
+        length = math.sqrt(sum(x * x for x in value.values()))
+        return {c: x / length for c, x in value.items()} if length else {}
+
+    def product(a, b):
+        return sum(x * b.get(c, 0) for c, x in a.items())
+
+    values, signs = [scaled(rows[n]) for n in seen], np.array([2 * labels[n] - 1 for n in seen])
+    gram = np.array([[product(a, b) for b in values] for a in values]) * np.outer(signs, signs)
+    most = np.array([len(signs) / (2 * (signs == sign).sum()) for sign in signs])
+    alpha, step = np.zeros(len(signs)), 1 / np.linalg.eigvalsh(gram)[-1]
+    for _ in range(20_000):
+        alpha = np.clip(alpha - step * (gram @ alpha - 1), 0, most)
+    weights = {}
+    for a, sign, value in zip(alpha, signs, values):
+        for c, x in value.items():
+            weights[c] = weights.get(c, 0) + a * sign * x
+
+    apart = [n for n in range(len(rows)) if n % nbsvm.CURVE_PART == 0]
+    margins = np.array([product(scaled(rows[n]), weights) for n in apart])
+    ones = sum(labels[n] for n in apart)
+    wanted = [(ones + 1) / (ones + 2) if labels[n] else 1 / (len(apart) - ones + 2) for n in apart]
+    slope = intercept = 0.0
+    for _ in range(40_000):
+        off = 1 / (1 + np.exp(-(slope * margins + intercept))) - wanted
+        slope, intercept = slope - 0.5 * (off * margins).mean(), intercept - 0.5 * off.mean()
+    return [
+        1 / (1 + math.exp(-slope * product(scaled(plain_columns(t)), weights) - intercept))
+        for t in texts
+    ]
+
+
+def test_scores_like_plain_code(spark):
+    pick = random.Random(5)
+    words = "the of a tree house $$ buy now click ## good story water".split()
+    texts, labels = [], []
+    for n in range(60):
+        label = n // 4 % 2
+        weights = [3, 3, 3, 2, 2, 1, 1, 1, 1, 1, 2, 2, 2] if label else [1, 1, 1, 1, 1, 3, 3, 2, 3, 2, 1, 1, 1]
+        texts.append(" ".join(pick.choices(words, weights, k=pick.randint(8, 25))).encode())
+        labels.append(label)
+    slot = nbsvm.scratch()
+    rows = [nbsvm.columns_of(text, slot) for text in texts]
+    assert all(set(row.tolist()) == plain_columns(text) for row, text in zip(rows, texts))
+    model = nbsvm.fit(rows, np.array(labels))
+    asked = texts + [b"", b"x", "Größe ist gut".encode(), b"buy now " * 300]
+    wanted = plain_scores(texts, labels, asked)
+    docs = spark.createDataFrame(
+        [(n, text.decode()) for n, text in enumerate(asked)] + [(len(asked), None)], "doc_id bigint, text string"
+    )
+    found = [row.score for row in nbsvm.scored(docs, model).orderBy("doc_id").collect()]
+    assert found.pop() == found[60]  # null like empty
+    assert np.abs(np.array(found) - wanted).max() < 0.02
+    assert max(wanted) - min(wanted) > 0.5
