@@ -173,24 +173,19 @@ def _stitch(path: str, pattern: str):
     def run(table: pa.Table) -> pa.Table:
         code = coder(path, pattern)
         table = table.sort_by("part").combine_chunks()
-        chunks: list[dict] = []
-        copies = 0
         columns = {name: table[name].combine_chunks() for name in table.column_names}
         numbers = {name: lists(columns[name]) for name in ("ends", "counts", "ids")}
-        for n, (part, start) in enumerate(
-            zip(columns["part"].to_pylist(), columns["start"].to_pylist())
-        ):
-            copies += part == 0
-            if part == len(chunks):
-                chunks.append(
-                    {"start": start, "text": columns["text"][n].as_py()}
-                    | {name: numbers[name][n] for name in numbers}
-                )
+        chunks = [
+            {"start": start, "text": columns["text"][n].as_py()}
+            | {name: numbers[name][n] for name in numbers}
+            for n, start in enumerate(columns["start"].to_pylist())
+        ]
         ids = stitched(chunks, code).astype(np.int32)
         return pa.table(
             {
-                "id": pa.array([columns["id"][0].as_py()] * copies, columns["id"].type),
-                "ids": list_array([ids] * copies, pa.int32()),
+                "id": columns["id"][:1],
+                "ids": list_array([ids], pa.int32()),
+                "copies": columns["copies"][:1],
             }
         )
 
@@ -229,6 +224,7 @@ def encode(
     whole = given.filter(F.length("text") <= chunk).mapInArrow(
         _encode_whole(ranks_path, pattern), f"id {kind}, ids array<int>"
     )
+    keys = ["id", "digest", "part", "start", "last", "text"]
     columns = f"id {kind}, digest string, part bigint, start bigint, last boolean, text string"
     long = given.filter(F.length("text") > chunk).withColumn("digest", F.md5("text"))
     parallelism = max(
@@ -237,14 +233,20 @@ def encode(
     )
     scanned = (
         long.mapInArrow(_cut(chunk, overlap), columns)
+        # Rows of equal id and text are one before they move; their number stays with them.
+        .groupBy(*keys)
+        .agg(F.count(F.lit(1)).alias("copies"))
         .repartition(parallelism, "id", "digest", "part")
         .mapInArrow(
             _scan(ranks_path, pattern),
-            f"{columns}, ends array<bigint>, counts array<bigint>, ids array<int>",
+            f"{columns}, copies bigint, ends array<bigint>, counts array<bigint>, ids array<int>",
         )
     )
-    joined = scanned.groupBy("id", "digest").applyInArrow(
-        _stitch(ranks_path, pattern), f"id {kind}, ids array<int>"
+    joined = (
+        scanned.groupBy("id", "digest")
+        .applyInArrow(_stitch(ranks_path, pattern), f"id {kind}, ids array<int>, copies bigint")
+        .select("id", "ids", F.explode(F.sequence(F.lit(1).cast("long"), "copies")))
+        .drop("col")
     )
     return whole.unionByName(joined).withColumnRenamed("id", id_col)
 

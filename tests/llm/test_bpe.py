@@ -37,6 +37,7 @@ def test_awkward_rows(spark, awkward, no_docs, whole, chunk, overlap):
     pick = random.Random(0)
     atoms = ["a", "'", "'re", " ", "  ", "\n", "1", "!", "don't", "x" * 50, " " * 30, " ", "日本"]
     rows = [(n, "".join(pick.choices(atoms, k=pick.randint(0, 200)))) for n in range(100)]
+    rows += [(202, "hot text " * 20)] * 150 + [(None, "hot text " * 20)] * 3
     rows += [(200, "z" * 5_000), (201, " " * 900 + "a")] + [row[:2] for row in ROWS]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string")
     found = bpe.encode(docs, RANKS, PATTERN, chunk=chunk, overlap=overlap).collect()
