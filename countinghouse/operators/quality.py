@@ -12,6 +12,9 @@ from countinghouse.functions.dates import day_of
 
 Tables = dict[str, DataFrame]
 
+#: Bits of a filter of lost keys, as a power of two: one megabyte.
+FILTER_BITS = 23
+
 
 def _missing(column: str) -> Column:
     return F.count_if(F.col(column).isNull())
@@ -102,9 +105,50 @@ def lost_keys(child: DataFrame, parent: DataFrame, key: str) -> DataFrame:
     return child.select(key).dropna().distinct().join(parent.select(key), key, "left_anti")
 
 
+def _places(column: str) -> list[Column]:
+    """The bits of a key in a filter: three parts of its hash."""
+    code = F.xxhash64(F.lit(column), F.col(column))
+    mask = F.lit((1 << FILTER_BITS) - 1).cast("bigint")
+    return [F.shiftrightunsigned(code, n).bitwiseAND(mask) for n in (0, 23, 41)]
+
+
+def _filter_of(lost: dict[str, DataFrame]) -> Column:
+    """A Bloom filter of the keys in each column, an array of 64-bit words, as a scalar subquery."""
+    words = next(iter(lost.values())).sparkSession.range(1 << (FILTER_BITS - 6))
+    parts = [words.selectExpr("id as word", "0L as bits")]
+    for column, keys in lost.items():
+        places = keys.select(F.explode(F.array(*_places(column))).alias("place"))
+        parts.append(
+            places.selectExpr(
+                "shiftright(place, 6) as word", "shiftleft(1L, cast(place & 63 as int)) as bits"
+            )
+        )
+    united = reduce(DataFrame.unionByName, parts).groupBy("word").agg(F.bit_or("bits").alias("bits"))
+    return united.agg(F.sort_array(F.collect_list(F.struct("word", "bits")))["bits"]).scalar()
+
+
+def perhaps_lost(child: DataFrame, lost: dict[str, DataFrame]) -> DataFrame:
+    """The rows of ``child`` that may have a lost key in some column, and few others.
+
+    The size of a filter is fixed, and it goes to the rows, so only rows that it lets pass
+    have to be moved to be compared with the lost keys. With millions of lost keys it lets
+    more pass, in the end all.
+    """
+    words, found = _filter_of(lost), F.lit(False)
+    for column in lost:
+        hit = F.col(column).isNotNull()
+        for place in _places(column):
+            word = F.get(words, F.shiftright(place, 6).cast("int"))
+            bit = place.bitwiseAND(F.lit(63)).cast("int")
+            hit &= F.call_function("getbit", word, bit) == 1
+        found |= hit
+    return child.filter(found)
+
+
 def orphans(child: DataFrame, parent: DataFrame, key: str) -> DataFrame:
     """Rows whose known key has no parent."""
-    return child.join(lost_keys(child, parent, key), key, "left_semi")
+    lost = lost_keys(child, parent, key)
+    return perhaps_lost(child, {key: lost}).join(lost, key, "left_semi")
 
 
 def orphan_sales_customer(tables: Tables) -> DataFrame:
@@ -122,15 +166,16 @@ def orphan_sales_employee(tables: Tables) -> DataFrame:
 def orphan_sale_items(tables: Tables) -> DataFrame:
     """Items whose sale or product is missing."""
     items = tables["sale_items"]
-    sales = lost_keys(items, tables["sales"], "sale_id").withColumn("_sale", F.lit(True))
-    products = lost_keys(items, tables["products"], "product_id").withColumn(
-        "_product", F.lit(True)
-    )
+    sales = lost_keys(items, tables["sales"], "sale_id")
+    products = lost_keys(items, tables["products"], "product_id")
+    unknown = "sale_id is null or product_id is null"
+    perhaps = perhaps_lost(items.filter(f"not ({unknown})"), {"sale_id": sales, "product_id": products})
     return (
-        items.join(products, "product_id", "left")
-        .join(sales, "sale_id", "left")
-        .filter("_sale or _product or sale_id is null or product_id is null")
+        perhaps.join(products.withColumn("_product", F.lit(True)), "product_id", "left")
+        .join(sales.withColumn("_sale", F.lit(True)), "sale_id", "left")
+        .filter("_sale or _product")
         .select(*items.columns)
+        .unionByName(items.filter(unknown))
     )
 
 
