@@ -45,7 +45,6 @@ _BUILDERS = {
 }
 #: One layout for the three ways of looking up lines.
 CLUSTER_KEYS, CLUSTER_FILES = ("customer_id", "branch_id", "product_id"), 512
-_LAYOUTS: dict[tuple[str, str], str] = {}
 _CACHE: dict[tuple[str, str, str], Tables] = {}
 
 
@@ -268,16 +267,12 @@ def _layout(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _clustered(*keys: str) -> Query:
-    """Lines looked up by some keys in the one layout that is clustered by all of them."""
+    """Lines looked up by some keys in a layout that is clustered by all of them; the time of
+    a run includes storing it, whatever ran before."""
 
     def run(spark: SparkSession, folder: str) -> DataFrame:
-        lines = measures.sale_lines(tables(spark, folder, "clean"))
-        key = (spark.sparkContext.applicationId, folder)
-        if key not in _LAYOUTS:
-            root = fresh_path(spark, "lines")
-            clustered.write_clustered(lines, root, CLUSTER_KEYS, ["sale_item_id"], CLUSTER_FILES)
-            _LAYOUTS[key] = root
-        root = _LAYOUTS[key]
+        lines, root = measures.sale_lines(tables(spark, folder, "clean")), fresh_path(spark, "lines")
+        clustered.write_clustered(lines, root, CLUSTER_KEYS, ["sale_item_id"], CLUSTER_FILES)
         wanted = {key: WANTED[key] for key in keys}
         return presentable(clustered.lookup(spark, root, lines.schema, **wanted))
 

@@ -9,7 +9,7 @@ from pathlib import Path
 import pytest
 from pyspark.sql import functions as F
 
-from checks.registry import CLUSTER_FILES, CLUSTER_KEYS, tables
+from checks.registry import CLUSTER_FILES, CLUSTER_KEYS, queries, tables
 from countinghouse.operators.measures import sale_lines
 from countinghouse.session import fresh_path
 from countinghouse.sources import clustered
@@ -63,6 +63,21 @@ def test_the_plan_reads_the_chosen_files_only(spark, layout):
     assert "EqualTo(product_id,17)" in plan.toString()
 
 
+def test_each_query_stores_the_layout_itself(spark, monkeypatch):
+    """A query does the same work whatever ran before it in the session."""
+    seen, write = [], clustered.write_clustered
+
+    def watched(df, root, keys, tie, files):
+        seen.append((root, list(keys), files))
+        return write(df, root, keys, tie, 4)
+
+    monkeypatch.setattr(clustered, "write_clustered", watched)
+    for name in ("x_clustered_customer", "x_clustered_branch_product", "x_clustered_branch_product"):
+        queries()[name](spark, "/root/testdata/sf0.001")
+    assert len({root for root, _, _ in seen}) == 3
+    assert {(*keys, files) for _, keys, files in seen} == {(*CLUSTER_KEYS, CLUSTER_FILES)}
+
+
 def test_bits_of_all_keys_are_interleaved(spark):
     frame = spark.createDataFrame([(a, b) for a in range(4) for b in range(4)], "a int, b bigint")
     code = clustered.morton(frame, ["a", "b"], {"a": [1, 2, 3], "b": [1, 2, 3]}, bits=2)
